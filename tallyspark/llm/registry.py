@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .lines import OP2_SQL, op2_line_dedup
 from .mixing import OP1_SQL, op1_mix_sources
 
-QUERIES = {"op1_mix_sources": op1_mix_sources}
-ORACLES = {"op1_mix_sources": OP1_SQL}
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_line_dedup": op2_line_dedup}
+ORACLES = {"op1_mix_sources": OP1_SQL, "op2_line_dedup": OP2_SQL}
