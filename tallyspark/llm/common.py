@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +21,6 @@ def scratch(spark: SparkSession) -> str:
     """A folder that all executors share: the session's checkpoint folder, or one of our own where none is set (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        import tempfile
-
         base = "file://" + tempfile.mkdtemp(prefix="tallyspark-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
@@ -56,5 +59,22 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, for those that do not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_tallyspark_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    folder = tempfile.mkdtemp(prefix="tallyspark-")  # on the driver, which serves the file to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    place = Path(folder) / "tallyspark_package.zip"
+    with zipfile.ZipFile(place, "w", zipfile.ZIP_DEFLATED) as out:
+        for f in sorted(package.rglob("*.py")):
+            out.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(place))
+    context._tallyspark_shipped = True
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

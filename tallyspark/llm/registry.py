@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .langid import op6_language_id
 from .lines import OP2_SQL, op2_line_dedup
 from .mixing import OP1_SQL, op1_mix_sources
 from .neardup import op8_minhash_near_dedup
+from .toxicity import op10_toxicity
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_line_dedup": op2_line_dedup, "op8_minhash_near_dedup": op8_minhash_near_dedup}
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_line_dedup": op2_line_dedup, "op6_language_id": op6_language_id, "op10_toxicity": op10_toxicity, "op8_minhash_near_dedup": op8_minhash_near_dedup}
 ORACLES = {"op1_mix_sources": OP1_SQL, "op2_line_dedup": OP2_SQL}
