@@ -7,7 +7,8 @@ from .lines import OP2_SQL, op2_line_dedup
 from .media import op3_media_columns
 from .mixing import OP1_SQL, op1_mix_sources
 from .neardup import op8_minhash_near_dedup
+from .pieces import op9_sentencepiece
 from .toxicity import op10_toxicity
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_line_dedup": op2_line_dedup, "op3_media_columns": op3_media_columns, "op6_language_id": op6_language_id, "op10_toxicity": op10_toxicity, "op8_minhash_near_dedup": op8_minhash_near_dedup}
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_line_dedup": op2_line_dedup, "op3_media_columns": op3_media_columns, "op6_language_id": op6_language_id, "op9_sentencepiece": op9_sentencepiece, "op10_toxicity": op10_toxicity, "op8_minhash_near_dedup": op8_minhash_near_dedup}
 ORACLES = {"op1_mix_sources": OP1_SQL, "op2_line_dedup": OP2_SQL}
