@@ -1,14 +1,67 @@
-"""A training-corpus pipeline over `documents`, stage by stage."""
+"""A training-corpus pipeline over `documents`: language, boilerplate, near-duplicates, source mix, pieces.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.llm.common import materialize, read, ship
+from tallyspark.llm.langid import UNKNOWN, learned, predict
+from tallyspark.llm.lines import dedup_lines
+from tallyspark.llm.mixing import letter_weight, mix_sources, repeat_rows
+from tallyspark.llm.neardup import keep_one
+from tallyspark.llm.pieces import encode_documents
+
+#: Documents whose language is less likely than this are rejected.
+LEAST_LANGUAGE_SCORE = 0.5
+#: A source's line is boilerplate if over this share of its documents, and at least so many, hold it.
+LINE_RATIO, LINE_DOCUMENTS = 0.03, 3
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a letter (null text among them) or of no clear language."""
+    ship(spark)
+    rows = predict(docs, learned(docs), keep=docs.columns)
+    return rows.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts lines that are common in their source out of texts, and drops documents of which nothing is left by that."""
+    rows = dedup_lines(docs, site=F.col("source"), text=F.col("text"), ratio=LINE_RATIO, min_pages=LINE_DOCUMENTS)
+    rows = rows.filter((F.col("n_dropped") == 0) | (F.col("n_dropped") < F.col("n_lines")))
+    new = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_dropped") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
+    return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of five-word-shingle similarity of 0.8 or more stays."""
+    ship(spark)
+    return keep_one(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; texts of more letters and spaces are likelier to be drawn."""
+    return repeat_rows(mix_sources(docs, weight=letter_weight(F.col("text"))), docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixed documents as piece ids."""
+    ship(spark)
+    return encode_documents(docs)
+
+
+STAGES = [("language_id", identify_language), ("line_dedup", drop_boilerplate), ("near_dedup", drop_near_duplicates), ("mix_sources", mix), ("sentencepiece", encode)]
+#: SQL cannot express the language, similarity and sampling stages; tests/llm holds them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Applies STAGES to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies STAGES to documents, each written and read again."""
+    docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = materialize(stage(spark, docs, sf_dir))
     return docs

@@ -26,6 +26,12 @@ def quality_weight(quality: Column) -> Column:
     return F.coalesce(F.lit(0.5) + F.lit(1.5) * quality.cast("double"), F.lit(1.0))
 
 
+def letter_weight(text: Column) -> Column:
+    """Sampling weight of a text from its share of letters and spaces: 0.5 to 2, and 1 for null and empty ones."""
+    share = F.char_length(F.regexp_replace(text, r"[^\p{L} ]+", "")) / F.nullif(F.char_length(text), F.lit(0))
+    return F.coalesce(F.lit(0.5) + F.lit(1.5) * share, F.lit(1.0))
+
+
 def sampling_key(row_key: Column, weight: Column, seed: str = SEED) -> Column:
     """-ln(u) / weight: exponential with the document's weight as its rate, so the smallest keys are a weighted sample
     without replacement. u in (0, 1] comes from the MD5 of seed and row key: reruns agree."""
@@ -117,7 +123,8 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def repeat_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """Each row as often as `copies` says."""
-    return mixed.withColumn("__copy", F.explode(F.expr("sequence(1L, copies)"))).select(*[col(c) for c in columns]) if "copies" in mixed.columns else mixed
+    again = mixed.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return again.select(*[col(c) for c in columns])
 
 
 #: For DuckDB: the same keys and targets, with plain row-by-row prefix sums.
