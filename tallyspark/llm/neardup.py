@@ -21,8 +21,8 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 #: Pairs whose sketches differ in more bits are estimated at under 0.6 similarity; a pair at 0.8 lies 4.9 standard deviations below.
 MOST_DIFFERING = 96
-#: Buckets up to this size are paired by a join; larger ones in blocks of BLOCK members.
-SMALL_BUCKET, BLOCK = 64, 1000
+#: Buckets up to this size are paired by a join; larger ones in blocks of about BLOCK members.
+SMALL_BUCKET, BLOCK = 16, 500
 STAR_ROUNDS = 2
 _MULTIPLIERS = np.random.default_rng(8).integers(0, 2**63, SAMPLES, dtype=U64) * U64(2) + U64(1)
 _SEATS = mix(np.arange(1, SAMPLES + 1, dtype=U64))
@@ -91,13 +91,17 @@ def shingle_set(text: str, width: int) -> frozenset:
     return frozenset(zip(*(words[k:] for k in range(width)), strict=False)) if len(words) >= width else frozenset([tuple(words)] if words else [])
 
 
+def _alike(p: frozenset, q: frozenset, over: int, under: int) -> bool:
+    both = len(p & q)
+    return both > 0 and under * both >= over * (len(p) + len(q) - both)
+
+
 def _verify(batches: Iterator[pa.RecordBatch], width: int, over: int, under: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for x, y in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
             p, q = shingle_set(x.as_py(), width), shingle_set(y.as_py(), width)
-            both = len(p & q)
-            keep.append(under * both >= over * (len(p) + len(q) - both) and both > 0)
+            keep.append(_alike(p, q, over, under))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -106,17 +110,32 @@ def _differing(x: str, y: str) -> Column:
     return functools.reduce(lambda p, q: p + q, [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(SKETCH_BITS // 64)])
 
 
-def _cross(key: tuple, rows) -> object:
-    """Pairs of different components in one block of a bucket, or between two, whose sketches are close."""
+def _cross(key: tuple, rows, width: int, over: int, under: int) -> object:
+    """Links between different components in one block of a bucket, or between two blocks: sketches first, then full sets.
+    A pair is only looked at in the first band that it shares, and not once links found here connect it."""
     import pandas as pd
 
-    i, j = key[1], key[2]
-    left, right = rows[rows.chunk == i], rows[rows.chunk == j]
-    p, q = (np.array(x.sketch.tolist(), np.int64).view(U64) for x in (left, right))
-    ids, comp, found = right.node.to_numpy(), right.component.to_numpy(), []
-    for k, (node, own) in enumerate(zip(left.node, left.component, strict=True)):
-        near = (np.bitwise_count(q ^ p[k]).sum(1) <= MOST_DIFFERING) & (comp != own) & ((ids > node) if i == j else True)
-        found += [(min(node, other), max(node, other)) for other in ids[near]]
+    band, i, j = key
+    bands, sketches = (np.array(rows[c].tolist(), np.int64) for c in ("bands", "sketch"))
+    sketches, chunk, ids = sketches.view(U64), rows.chunk.to_numpy(), rows.node.to_numpy()
+    codes, root = np.unique(rows.component.to_numpy(), return_inverse=True)
+    place = (bands == band).argmax(1)
+    texts, sets, found = rows.text.tolist(), {}, []
+
+    def full(k: int) -> frozenset:
+        if k not in sets:
+            sets[k] = shingle_set.__wrapped__(texts[k], width)
+        return sets[k]
+
+    right = np.flatnonzero(chunk == j)
+    for p in np.flatnonzero(chunk == i):
+        others = right[(root[right] != root[p]) & ((ids[right] > ids[p]) if i == j else True)]
+        others = others[np.bitwise_count(sketches[others] ^ sketches[p]).sum(1) <= MOST_DIFFERING]
+        others = others[(bands[others] == bands[p]).argmax(1) == place[p]]
+        for q in others:
+            if root[p] != root[q] and _alike(full(p), full(q), over, under):
+                found.append((min(ids[p], ids[q]), max(ids[p], ids[q])))
+                root[root == root[q]] = root[p]
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
@@ -175,7 +194,7 @@ def near_duplicates(df: DataFrame, *, text: str = "text", row_key: str = "doc_id
         star = still.join(centre, "band").filter("component <> centre.component").select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b"))
         links = links.union(check.links(star))
     if not still.isEmpty():
-        links = links.union(check.links(_all_pairs(still, nodes)))
+        links = links.union(_rest(still, nodes, check))
     found = components(links)
     release(df.sparkSession)
     labelled = signed.join(found, "node", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
@@ -193,18 +212,23 @@ def _open(members: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(labelled.join(several, "band"))
 
 
-def _all_pairs(still: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of different components in the same bucket whose sketches are close; large buckets in blocks, in numpy."""
-    drawn = materialize(still.join(nodes.select("node", "sketch"), "node"))
-    few = drawn.filter(F.col("size") <= SMALL_BUCKET)
+def _rest(still: DataFrame, nodes: DataFrame, check: _Verifier) -> DataFrame:
+    """Links between different components in the same bucket: pairs of small buckets by a join, large ones in blocks, in which
+    the full sets are compared in place, so that no more rows come out than there are members."""
+    few = still.filter(F.col("size") <= SMALL_BUCKET).join(nodes.select("node", "sketch"), "node")
     x = few.select("band", F.col("node").alias("a"), F.col("component").alias("component_a"), F.col("sketch").alias("sketch_a"))
     y = few.select("band", F.col("node").alias("b"), F.col("component").alias("component_b"), F.col("sketch").alias("sketch_b"))
     close = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & (_differing("sketch_a", "sketch_b") <= MOST_DIFFERING)
-    pairs = x.join(y, "band").filter(close).select("a", "b")
-    many = drawn.filter(F.col("size") > SMALL_BUCKET).withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+    links = check.links(x.join(y, "band").filter(close).select("a", "b"))
+    many = still.filter(F.col("size") > SMALL_BUCKET).withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+    if many.isEmpty():
+        return links
+    many = many.join(nodes.select("node", "bands", "sketch"), "node").join(check.texts, "node")
     many = many.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     many = many.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
-    return pairs.union(many.select("band", "i", "j", "chunk", "node", "component", "sketch").groupBy("band", "i", "j").applyInPandas(_cross, "a long, b long"))
+    rule = check.rule
+    found = many.select("band", "i", "j", "chunk", "node", "component", "bands", "sketch", "text").groupBy("band", "i", "j").applyInPandas(lambda key, rows: _cross(key, rows, *rule), "a long, b long")
+    return links.union(materialize(found))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

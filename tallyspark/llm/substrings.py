@@ -100,7 +100,10 @@ def _first(keys: list[np.ndarray], d: np.ndarray, t: np.ndarray, lo: np.ndarray)
 
 
 _PARSED = "route long, other long, d long, t long, lo long, hi long, kind int"
-_PHRASE, _MARK, _ASK = 0, 1, 2
+_PHRASE, _MARK, _ASK, _ASK_HOT = 0, 1, 2, 3
+#: Phrases of one trigger, up to so many, are compared in one task with all their bytes; those of a trigger that stands in more
+#: different phrases go window by window, whose hashes spread over all tasks.
+HOT_TRIGGER = 2000
 
 
 def _rows(route, other, d, t, lo, hi, kind) -> pa.RecordBatch:
@@ -148,7 +151,7 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | None:
     return tuple(out.column(c).to_numpy() for c in ("route", "other", "d", "t", "lo", "hi", "kind"))
 
 
-def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _dictionary(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
     """All phrases of some triggers: later places of an equal phrase are marked; where a trigger has several phrases, their
     first places are asked for, window by window."""
     rows = _whole(batches)
@@ -165,45 +168,89 @@ def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     group = np.cumsum(new) - 1
     fresh = np.ones(len(order), bool)
     fresh[1:] = new[1:] | (phrase[1:] != phrase[:-1])
-    several = np.bincount(group, fresh)[group] > 1 if len(order) else np.zeros(0, bool)
-    for at, what in ((marks, _MARK), (order[later], _MARK), (order[~later & several], _ASK)):
+    many = np.bincount(group, fresh)[group] if len(order) else np.zeros(0)
+    asked = ~later & (many > 1)
+    for at, what in ((marks, _MARK), (order[later], _MARK), (order[asked & (many <= hot)], _ASK), (order[asked & (many > hot)], _ASK_HOT)):
         yield _rows(route[at], other[at], d[at], t[at], lo[at], hi[at], np.full(len(at), what))
 
 
+_COMPARED = _PARSED + ", raw binary"
+
+
+def _with_raw(batch: pa.RecordBatch, raw: list[bytes] | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw if raw is not None else [None] * len(batch), pa.binary())], names=[*batch.schema.names, "raw"])
+
+
+def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every window start of some ranges: which range it is of, and the start."""
+    many = hi - lo + 1
+    which = np.repeat(np.arange(len(lo)), many)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many) + lo[which]
+
+
+def _two_hashes(data: np.ndarray, at: np.ndarray, length: int) -> list[np.ndarray]:
+    return [_span_hash(_sums(data, table), at, at + length) for table in (_TABLE, _OTHER)]
+
+
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Documents with the window ranges asked for, to the windows' hashes."""
+    """Documents with the window ranges asked for, to the phrases' bytes, or for triggers of very many phrases to the windows' hashes."""
     parsed, size = [], 0
     for batch in batches:
         d, t, asks = batch.column("d").to_numpy(), batch.column("t").to_numpy(), batch.column("asks")
         for first, last, data, offsets in text_chunks(batch.column("text")):
             lists = asks.slice(first, last - first)
-            n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
             flat = lists.flatten()
-            lo, hi = (flat.field(c).to_numpy() for c in ("lo", "hi"))
-            row = np.repeat(np.arange(last - first), n)
-            many = hi - lo + 1
-            row = np.repeat(row, many)
-            start = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
-            at = start + offsets[row]
-            a, b = (_span_hash(_sums(data, table), at, at + length) for table in (_TABLE, _OTHER))
-            parsed.append((a, b, d[first + row], t[first + row], start, start))
+            lo, hi, route, kind = (flat.field(c).to_numpy() for c in ("lo", "hi", "route", "kind"))
+            row = np.repeat(np.arange(last - first), np.diff(lists.offsets.to_numpy()))
+            whole = np.flatnonzero(kind == _ASK)
+            if len(whole):
+                begin, end = offsets[row[whole]] + lo[whole], offsets[row[whole]] + hi[whole] + length
+                raw = [data[a:b].tobytes() for a, b in zip(begin, end, strict=True)]
+                none = np.zeros(len(whole), np.int64)
+                yield _with_raw(_rows(route[whole], none, d[first + row[whole]], t[first + row[whole]], lo[whole], hi[whole], none + _ASK), raw)
+            hot = np.flatnonzero(kind == _ASK_HOT)
+            which, start = _spread(lo[hot], hi[hot])
+            own = row[hot][which]
+            parsed.append((*_two_hashes(data, start + offsets[own], length), d[first + own], t[first + own], start, start))
             size += 8 * len(start)
             if size >= GATHERED_BYTES:
-                yield from _local(parsed)
+                yield from map(_with_raw, _local(parsed))
                 parsed, size = [], 0
-    yield from _local(parsed)
+    yield from map(_with_raw, _local(parsed))
 
 
-def _equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Later places of equal windows, as marks."""
-    rows = _whole(batches)
-    if rows is None:
+def _equal(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Later places of equal windows, as marks. Windows of phrases are hashed here; two equal ones have the same trigger, and so
+    come to the same task."""
+    marks, windows = [], []
+    for batch in batches:
+        if not len(batch):
+            continue
+        route, other, d, t, lo, hi, kind = (batch.column(c).to_numpy() for c in ("route", "other", "d", "t", "lo", "hi", "kind"))
+        m, w, p = (np.flatnonzero(kind == k) for k in (_MARK, _PHRASE, _ASK))
+        marks.append((d[m], t[m], lo[m], hi[m]))
+        windows.append((route[w].view(U64), other[w].view(U64), d[w], t[w], lo[w]))
+        for k in range(0, len(p), 20_000):
+            part = p[k : k + 20_000]
+            pieces = batch.column("raw").take(pa.array(part)).to_pylist()
+            begin = np.concatenate([[0], np.cumsum([len(x) for x in pieces])])[:-1]
+            which, start = _spread(lo[part], hi[part])
+            data = np.frombuffer(b"".join(pieces), np.uint8)
+            windows.append((*_two_hashes(data, begin[which] + start - lo[part][which], length), d[part][which], t[part][which], start))
+    if not windows:
         return
-    route, other, d, t, lo, hi, kind = rows
-    some, marks = np.flatnonzero(kind == _PHRASE), np.flatnonzero(kind == _MARK)
-    order, later = _first([route[some], other[some]], d[some], t[some], lo[some])
-    at = np.concatenate([marks, some[order[later]]])
-    yield _rows(route[at], other[at], d[at], t[at], lo[at], hi[at], np.full(len(at), _MARK))
+    a, b, d, t, lo = (np.concatenate(x) for x in zip(*windows, strict=True))
+    order, later = _first([a, b], d, t, lo)
+    gone = order[later]
+    gone = gone[np.lexsort((lo[gone], t[gone], d[gone]))]
+    new = np.ones(len(gone), bool)
+    new[1:] = (d[gone][1:] != d[gone][:-1]) | (t[gone][1:] != t[gone][:-1]) | (lo[gone][1:] != lo[gone][:-1] + 1)
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(gone)) - 1 if len(gone) else head
+    marks.append((d[gone][head], t[gone][head], lo[gone][head], lo[gone][tail]))
+    d, t, lo, hi = (np.concatenate(x) for x in zip(*marks, strict=True))
+    none = np.zeros(len(d), np.int64)
+    yield _rows(none, none, d, t, lo, hi, none + _MARK)
 
 
 def _cover(raw: bytes, marks: list[tuple[int, int]], length: int) -> tuple[bytes, int]:
@@ -217,7 +264,7 @@ def _cover(raw: bytes, marks: list[tuple[int, int]], length: int) -> tuple[bytes
     return np.frombuffer(raw, np.uint8)[~gone].tobytes(), int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1))
 
 
-def dedup_substrings(df: DataFrame, *, text: str = "text", row_key: str = "doc_id", length: int = LENGTH, gram: int | None = None, keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
+def dedup_substrings(df: DataFrame, *, text: str = "text", row_key: str = "doc_id", length: int = LENGTH, gram: int | None = None, keep: list[str] | None = None, with_text: bool = False, hot: int = HOT_TRIGGER) -> DataFrame:
     """Columns `keep` with n_bytes, n_removed, n_spans and kept_sha256 (and kept, the bytes left, on demand).
 
     A byte goes if a string of `length` bytes that covers it also starts earlier: in a row of a smaller key, or earlier in the
@@ -227,9 +274,10 @@ def dedup_substrings(df: DataFrame, *, text: str = "text", row_key: str = "doc_i
 
     Prefix-free parsing, with exact results: rolling-hash triggers, at least one in every string of `length` bytes, cut texts
     into phrases; equal phrases of the dictionary are told by their hashes, and of their places in the parse all but the
-    first are marked whole. Only where a trigger stands in different phrases can a string be shared in part; the windows of
-    those phrases' first places are hashed (128 bits) and compared in turn. Every comparison drops repeats within a task
-    before the shuffle, so a passage in a third of all documents reaches one task only once from each other task.
+    first are marked whole. Only where a trigger stands in different phrases can a string be shared in part; the first places
+    of those phrases meet by trigger, and all their suffixes of `length` bytes are put into an order (by 128-bit hash, as
+    only equality counts) that shows which came earlier. Places of phrases and hashed windows that repeat within a task are
+    dropped before the shuffle, so a passage in a third of all documents reaches one task only once from each other task.
     """
     gram = gram or max(4, length * GRAM // LENGTH)
     spark = df.sparkSession
@@ -237,13 +285,17 @@ def dedup_substrings(df: DataFrame, *, text: str = "text", row_key: str = "doc_i
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = {"d": F.coalesce(col(row_key).cast("long"), F.lit(2**63 - 1)), "t": F.xxhash64(col(text))}
     rows = df.select(*[c.alias(n) for n, c in key.items()], col(text).alias("text"))
-    parsed = rows.mapInArrow(lambda it: _parse(it, length, gram), _PARSED)
-    known = materialize(parsed.repartition(parts, "route").mapInArrow(_dictionary, _PARSED).select("d", "t", "lo", "hi", "kind"))
+    repeats = not rows.groupBy("d").count().filter("count > 1").isEmpty()
+    if not repeats:  # the key alone orders rows
+        key["t"] = F.lit(0).cast("long")
+        rows = df.select(*[c.alias(n) for n, c in key.items()], col(text).alias("text"))
+    known = materialize(rows.mapInArrow(lambda it: _parse(it, length, gram), _PARSED).repartition(parts, "route").mapInArrow(lambda it: _dictionary(it, hot), _PARSED).select("route", "d", "t", "lo", "hi", "kind"))
     release(spark)
-    asks = known.filter(F.col("kind") == _ASK).distinct().groupBy("d", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("asks"))
-    asked = rows.dropDuplicates(["d", "t"]) if _repeats(rows) else rows
-    windows = asked.join(asks.hint("shuffle_hash"), ["d", "t"]).select("d", "t", "text", "asks").mapInArrow(lambda it: _windows(it, length), _PARSED)
-    shared = materialize(windows.repartition(parts, "route").mapInArrow(_equal, _PARSED).select("d", "t", "lo", "hi"))
+    asks = known.filter(F.col("kind") >= _ASK).distinct().groupBy("d", "t").agg(F.collect_list(F.struct("lo", "hi", "route", "kind")).alias("asks"))
+    asked = rows.dropDuplicates(["d", "t"]) if repeats else rows
+    windows = asked.join(asks.hint("shuffle_hash"), ["d", "t"]).select("d", "t", "text", "asks").mapInArrow(lambda it: _windows(it, length), _COMPARED)
+    shared = materialize(windows.repartition(parts, "route").mapInArrow(lambda it: _equal(it, length), _PARSED).select("d", "t", "lo", "hi"))
+    del windows, asks, asked
     release(spark)
     marks = known.filter(F.col("kind") == _MARK).select("d", "t", "lo", "hi").union(shared).groupBy("d", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("__marks"))
     marked = df.select(*[col(c) for c in keep], col(text).alias("__text"), *[c.alias(f"__{n}") for n, c in key.items()])
@@ -270,9 +322,5 @@ def dedup_substrings(df: DataFrame, *, text: str = "text", row_key: str = "doc_i
     return marked.mapInArrow(finish, StructType([*kept_fields, *fields]))
 
 
-def _repeats(rows: DataFrame) -> bool:
-    return not rows.groupBy("d", "t").count().filter("count > 1").isEmpty()
-
-
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(read(spark, sf_dir, "documents"))

@@ -15,12 +15,14 @@ from .common import col, read
 from .langid import fold
 from .wordhash import NOT_LETTER, U64, find_words, mix, text_chunks, word_hashes
 
+#: Words, and as many stems, are hashed to this many bits.
 FEATURE_BITS = 18
+FEATURES = 2 ** (FEATURE_BITS + 1)
 #: The classifier is fitted on about this many labelled rows of each label, of texts up to so many characters.
-DOCS_PER_LABEL, LONGEST = 6000, 60_000
+DOCS_PER_LABEL, LONGEST = 2500, 20_000
 STEPS, RATE, FIRST_BIAS = 200, 0.1, -6.0
 #: Words of fewer sampled documents have no weight; weights shrink by SHRINK, and by SHRINK_SMALL over the sample's size.
-LEAST_DOCUMENTS, SHRINK, SHRINK_SMALL = 3, 2e-5, 0.05
+LEAST_DOCUMENTS, SHRINK, SHRINK_SMALL = 3, 1e-5, 0.05
 #: Besides itself, a word counts by its first bytes, so that forms of a word that the sample lacks still score.
 STEM_BYTES = 5
 #: A sentence is called offending from this score on.
@@ -31,20 +33,26 @@ _ENDS[[ord(c) for c in ".!?\n"]] = True
 
 
 def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the words of some rows: features (itself, its stem), start and end; and which of them begin a sentence, in which row.
+    """Of the sentences of some rows: their features, one after the other and each once a sentence; where each sentence's
+    begin; and each sentence's first byte, last byte and row.
 
-    Words are runs of letters; sentences end with . ! ? or a line. Sentences without words do not count.
+    Words are runs of letters; a feature is a word or its stem. Sentences end with . ! ? or a line; those without words do
+    not count.
     """
     starts, ends = find_words(data, offsets, NOT_LETTER)
-    whole = word_hashes(data, starts, ends)
-    stem = mix(word_hashes(data, starts, np.minimum(ends, starts + STEM_BYTES)) + U64(1))
-    features = (np.stack([whole, stem], 1) >> U64(64 - FEATURE_BITS)).astype(np.int32)
     row = np.searchsorted(offsets, starts, "right") - 1
     number = np.cumsum(_ENDS[data])[starts] if len(starts) else np.zeros(0, np.int64)
     first = np.ones(len(starts), bool)
     first[1:] = (number[1:] != number[:-1]) | (row[1:] != row[:-1])
-    begins = np.flatnonzero(first)
-    return features, starts, ends, begins, row[begins]
+    head = np.flatnonzero(first)
+    own = np.cumsum(first).astype(U64) - U64(1) if len(starts) else np.zeros(0, U64)
+    keys = []
+    for kind, hashes in enumerate((word_hashes(data, starts, ends), mix(word_hashes(data, starts, np.minimum(ends, starts + STEM_BYTES)) + U64(1)))):
+        keys.append((own << U64(FEATURE_BITS + 1)) | U64(kind << FEATURE_BITS) | (hashes >> U64(64 - FEATURE_BITS)))
+    seen = np.unique(np.concatenate(keys))
+    features = (seen & U64(FEATURES - 1)).astype(np.int32)
+    begins = np.searchsorted(seen, np.arange(len(head), dtype=U64) << U64(FEATURE_BITS + 1))
+    return features, begins, starts[head], ends[np.append(head[1:], len(starts)) - 1] if len(head) else head, row[head]
 
 
 @dataclass
@@ -53,7 +61,7 @@ class Model:
     weights: np.ndarray
 
     def sentence_odds(self, features: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        return self.bias + (np.add.reduceat(self.weights[features].sum(1), begins) if len(begins) else np.zeros(0, np.float32))
+        return self.bias + (np.add.reduceat(self.weights[features], begins) if len(begins) else np.zeros(0, np.float32))
 
     def documents(self, odds: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
         """Noisy-or: 1 - product of (1 - p). A row without sentences scores as one sentence without words."""
@@ -64,11 +72,11 @@ class Model:
 
 def fit(features: np.ndarray, begins: np.ndarray, row: np.ndarray, label: np.ndarray, weight: np.ndarray) -> Model:
     """Adam on the weighted log loss of the documents' noisy-or, over all of the sample at each step; no randomness."""
-    model = Model(FIRST_BIAS, np.zeros(2**FEATURE_BITS, np.float32))
+    model = Model(FIRST_BIAS, np.zeros(FEATURES, np.float32))
     if not len(begins) or not (0 < label.sum() < len(label)):
         return model
     size = np.diff(np.append(begins, len(features)))
-    held = np.unique(features.astype(np.int64) * len(label) + np.repeat(row, size)[:, None]) // len(label)
+    held = np.unique(features.astype(np.int64) * len(label) + np.repeat(row, size)) // len(label)
     used, documents = np.unique(held, return_counts=True)
     features = np.searchsorted(used, features)
     rare = documents < LEAST_DOCUMENTS
@@ -77,11 +85,11 @@ def fit(features: np.ndarray, begins: np.ndarray, row: np.ndarray, label: np.nda
     shrink = SHRINK + SHRINK_SMALL / len(label)
     weight = weight / weight.sum()
     for step in range(1, STEPS + 1):
-        odds = w[-1] + np.add.reduceat(w[:-1][features].sum(1), begins)
+        odds = w[-1] + np.add.reduceat(w[:-1][features], begins)
         clean = np.bincount(row, np.logaddexp(0, odds), len(label))
         push = np.where(label > 0, -1 / np.expm1(np.clip(clean, 1e-9, 500)), 1.0) * weight
         slope = push[row] / (1 + np.exp(np.clip(-odds, -500, 500)))
-        grad = np.append(np.bincount(features.ravel(), np.repeat(np.repeat(slope, size), 2), len(used)), slope.sum())
+        grad = np.append(np.bincount(features, np.repeat(slope, size), len(used)), slope.sum())
         grad[:-1] += shrink * w[:-1]
         grad[:-1][rare] = 0
         moment = 0.9 * moment + 0.1 * grad
@@ -93,17 +101,15 @@ def fit(features: np.ndarray, begins: np.ndarray, row: np.ndarray, label: np.nda
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, weight, text) to (label, weight, features, begins) a row."""
+    """(place, label, weight, text) to (place, label, weight, features, begins) a row."""
     for batch in batches:
         for lo, hi, data, offsets in text_chunks(batch.column("text")):
-            features, starts, _, begins, row = sentences(data, offsets)
-            word = np.searchsorted(starts, offsets)
+            features, begins, _, _, row = sentences(data, offsets)
             cut = np.searchsorted(row, np.arange(hi - lo + 1))
+            word = np.append(begins, len(features))[cut]
             part = batch.slice(lo, hi - lo)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("label"), part.column("weight"), pa.array([features[word[r] : word[r + 1]].ravel() for r in range(hi - lo)], pa.list_(pa.int32())), pa.array([begins[cut[r] : cut[r + 1]] - word[r] for r in range(hi - lo)], pa.list_(pa.int32()))],
-                names=["label", "weight", "features", "begins"],
-            )
+            lists = ([features[word[r] : word[r + 1]] for r in range(hi - lo)], [begins[cut[r] : cut[r + 1]] - word[r] for r in range(hi - lo)])
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("place", "label", "weight")], *[pa.array(x, pa.list_(pa.int32())) for x in lists]], names=["place", "label", "weight", "features", "begins"])
 
 
 def train(docs: DataFrame, labels: DataFrame, *, docs_per_label: int = DOCS_PER_LABEL) -> Model:
@@ -118,37 +124,36 @@ def train(docs: DataFrame, labels: DataFrame, *, docs_per_label: int = DOCS_PER_
     quota = F.when(F.col("label") > 0, share.get(1, 1.0)).otherwise(share.get(0, 1.0))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000))
     chosen = one.filter(draw < quota * 1_000_000).select(F.col("doc_id").alias("__id"), "label", (1 / quota).cast("double").alias("weight"))
-    rows = docs.select("doc_id", "text").filter(F.length("text") <= LONGEST).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "label", "weight", "text")
-    table = rows.select("label", "weight", "text").mapInArrow(_extract, "label int, weight double, features array<int>, begins array<int>").toArrow()
+    rows = docs.select("doc_id", "text").filter(F.length("text") <= LONGEST).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    rows = rows.select(F.xxhash64("doc_id", "text").alias("place"), "label", "weight", "text")
+    table = rows.mapInArrow(_extract, "place long, label int, weight double, features array<int>, begins array<int>").toArrow()
     if not table.num_rows:
-        return fit(np.zeros((0, 2), np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
-    order = sorted(range(table.num_rows), key=lambda i: (table["label"][i].as_py(), table["features"][i].as_py()))  # whatever order tasks end in
-    table = table.take(order).combine_chunks()
+        return fit(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+    table = table.sort_by("place").combine_chunks()  # whatever order tasks end in
     features, begins = (table[c].combine_chunks() for c in ("features", "begins"))
     n, m = (np.diff(x.offsets.to_numpy()) for x in (features, begins))
-    where = np.concatenate([[0], np.cumsum(n // 2)])[:-1]
-    return fit(features.flatten().to_numpy().reshape(-1, 2), begins.flatten().to_numpy().astype(np.int64) + np.repeat(where, m), np.repeat(np.arange(len(m)), m), table["label"].to_numpy(), table["weight"].to_numpy())
+    where = np.concatenate([[0], np.cumsum(n)])[:-1]
+    return fit(features.flatten().to_numpy(), begins.flatten().to_numpy().astype(np.int64) + np.repeat(where, m), np.repeat(np.arange(len(m)), m), table["label"].to_numpy(), table["weight"].to_numpy())
 
 
 def score(df: DataFrame, model: Model, *, text: str = "text", keep: list[str]) -> DataFrame:
     """Columns `keep` of `df` with score (0 to 1), predicted (1 from 0.5 on) and offending: byte spans and scores of the
     sentences that score OFFENDING or more. Null texts score as empty ones. Whole texts are read."""
     keep = [c for c in keep if c.lower() not in OUTPUTS]
-    shared = df.sparkSession.sparkContext.broadcast(model)  # 2 ** FEATURE_BITS weights
+    shared = df.sparkSession.sparkContext.broadcast(model)  # FEATURES weights
     span = StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("score", DoubleType())])
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch.column("__text")):
-                features, starts, ends, begins, row = sentences(data, offsets)
+                features, begins, opens, closes, row = sentences(data, offsets)
                 odds = shared.value.sentence_odds(features, begins)
                 total = shared.value.documents(odds, row, hi - lo)
                 found: list[list[dict]] = [[] for _ in range(hi - lo)]
-                last = np.append(begins[1:], len(starts)) - 1
                 for s in np.flatnonzero(odds >= np.log(OFFENDING / (1 - OFFENDING))):
                     r = row[s]
-                    found[r].append({"start": int(starts[begins[s]] - offsets[r]), "end": int(ends[last[s]] - offsets[r]), "score": float(1 / (1 + np.exp(-float(odds[s]))))})
+                    found[r].append({"start": int(opens[s] - offsets[r]), "end": int(closes[s] - offsets[r]), "score": float(1 / (1 + np.exp(-float(odds[s]))))})
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(total, pa.float64()), pa.array((total >= 0.5).astype(np.int32)), pa.array(found, spans)], names=[*keep, *OUTPUTS])
 

@@ -38,16 +38,15 @@ def test_documents_against_brute_force(docs, none, spark, length):
     assert S.dedup_substrings(none).collect() == []
 
 
-def test_periods_ties_and_long_texts(spark, monkeypatch):
-    monkeypatch.setattr(S, "PART_BYTES", 700)
-    monkeypatch.setattr(S, "GATHERED_BYTES", 900)
+@pytest.mark.parametrize("hot", [1, 2000])
+def test_periods_ties_and_long_texts(spark, hot):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("ab") for _ in range(rng.randrange(1, 9)))
     base = " ".join(word() for _ in range(600))
     texts = ["a" * 500, "ab" * 300, base, base[200:900], base[:150] + "é" * 40 + base[100:400], "z" * 99, "z" * 100, "", base]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
     want = brute([(i, t.encode()) for i, t in enumerate(texts)], 40)
-    got = S.dedup_substrings(df, length=40, keep=["doc_id"], with_text=True).collect()
+    got = S.dedup_substrings(df, length=40, keep=["doc_id"], with_text=True, hot=hot).collect()
     for r in got:
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[(r.doc_id, texts[r.doc_id].encode())]
         assert hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256
@@ -61,3 +60,13 @@ def test_every_window_has_a_trigger_of_its_own_bytes():
     covered = Counter((r, w) for r, a, b in zip(row, lo, hi, strict=True) for w in range(a, b + 1))
     assert set(covered.values()) == {1} and len(covered) == sum(max(0, n - 59) for n in (1000, 50, 1950))
     assert len(set(phrase.tolist())) < len(phrase)
+
+
+def test_long_rows_are_cut_without_losing_a_window(monkeypatch):
+    monkeypatch.setattr(S, "PART_BYTES", 700)
+    data = np.random.default_rng(2).integers(97, 123, 5000, dtype=np.uint8)
+    seen = Counter()
+    for part, cuts, _, base in S._cut(data, np.array([0, 5000]), 100):
+        _, lo, hi, _, _ = S.phrases(part, cuts, 100, 32)
+        seen.update(w + base for a, b in zip(lo, hi, strict=True) for w in range(a, b + 1))
+    assert set(seen) == set(range(4901)) and set(seen.values()) == {1}
