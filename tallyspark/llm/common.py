@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows and bytes that Spark hands to Python at a time, at most: a batch of long texts is held several times over on its way.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
 
 
 def scratch(spark: SparkSession) -> str:
@@ -62,8 +64,18 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits of Arrow batches to ARROW_BATCH; smaller limits stay. Results do not depend on them."""
+    for key, most in ARROW_BATCH.items():
+        now = spark.conf.get(key, None)
+        now = int(now.rstrip("bB")) if now and now.rstrip("bB").lstrip("-").isdigit() else 0
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a session, for those that do not have it installed."""
+    """Sends this package to the executors, once a session, for those that do not have it installed, and bounds Arrow batches."""
+    bound_batches(spark)
     context = spark.sparkContext
     if getattr(context, "_tallyspark_shipped", False):
         return

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ MAX_WORDS, MAX_GRAMS = 240_000, 80_000
 GRAMS = (4, 3, 2, 1)
 #: Words of more letters are no words: they are scored by their n-grams and kept out of the model.
 LONGEST_WORD = 40
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 400_000
 OUTPUTS = ["lang_pred", "score"]
 _OPEN, _CLOSE = "\x02", "\x03"
 
@@ -84,16 +85,22 @@ class Model:
     @classmethod
     def of(cls, counts: list[tuple[str, int, str, int]], docs: dict[str, int]) -> Model:
         """From (language, 0 or n, token, count) and the labelled rows of each language."""
+        types = {"lang": pa.string(), "kind": pa.int32(), "token": pa.string(), "n": pa.int64()}
+        return cls.of_table(pa.table({c: pa.array([x[i] for x in counts], kind) for i, (c, kind) in enumerate(types.items())}), docs)
+
+    @classmethod
+    def of_table(cls, counts: pa.Table, docs: dict[str, int]) -> Model:
+        """From columns lang, kind (0 or n), token and n, and the labelled rows of each language."""
         languages = sorted(docs)
         at = {name: i for i, name in enumerate(languages)}
         total = sum(docs.values())
         out = cls(languages, np.log(np.array([docs[x] / total for x in languages])) if languages else np.zeros(0))
         for kind in (0, *GRAMS):
-            rows = [(token, at[lang], n) for lang, k, token, n in counts if k == kind]
-            tokens = {t: i for i, t in enumerate(dict.fromkeys(t for t, _, _ in rows))}
+            rows = counts.filter(pc.equal(counts["kind"], kind)).combine_chunks()
+            token = pa.concat_arrays([pa.array([], pa.string()), *rows["token"].chunks]).dictionary_encode()
+            tokens = token.dictionary.to_pylist()
             seen = np.zeros((len(tokens), len(languages)))
-            for token, lang, n in rows:
-                seen[tokens[token], lang] += n
+            np.add.at(seen, (token.indices.to_numpy(), np.array([at[x] for x in rows["lang"].to_pylist()], np.int64)), rows["n"].to_numpy())
             mass = seen.sum(0) + 0.5 * (len(tokens) + 1)
             logs = np.log((seen + 0.5) / mass).astype(np.float32)
             keys = np.array([token_hash(t) for t in tokens], U64)
@@ -189,35 +196,37 @@ def train(labelled: DataFrame, *, row_key: str = "doc_id", docs_per_language: in
     most = F.when(F.col("kind") == 0, MAX_WORDS // len(docs)).otherwise(MAX_GRAMS // len(docs))
     rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "token"))
     kept = counts.filter((F.col("n") > 1) | (F.col("kind") > 0)).withColumn("rank", rank).filter(F.col("rank") <= most)
-    return Model.of([(r.lang, r.kind, r.token, r.n) for r in kept.select("lang", "kind", "token", "n").collect()], docs)
+    return Model.of_table(kept.select("lang", "kind", "token", "n").toArrow(), docs)
 
 
 def predict(df: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """`df` (its columns `keep`, all by default) with lang_pred and score. Whole texts are read; `und` and 0 for null or
     for texts without a letter, or if no language was learned. Columns named as an output are replaced."""
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in OUTPUTS]
-    chars = max(50_000, CHUNK_CHARS * 8 // max(8, len(model.languages)))
+    chars = max(20_000, CHUNK_CHARS * 8 // max(8, len(model.languages)))
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_WORDS and MAX_GRAMS
 
+    source = text if text in keep else "__text"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column("__text").to_pylist()]
-            names, scores, lo = [], [], 0
-            while lo < len(texts):
-                hi, size = lo + 1, len(texts[lo])
-                while hi < len(texts) and size + len(texts[hi]) <= chars:
-                    size, hi = size + len(texts[hi]), hi + 1
-                got = shared.value.predict(texts[lo:hi])
-                names += got[0]
-                scores.append(got[1])
+            lengths = pc.fill_null(pc.utf8_length(batch.column(source)), 0).to_numpy()
+            lo = 0
+            while lo < len(lengths):  # a batch for each run of rows, so that only such a run is held as Python strings
+                hi, size = lo + 1, lengths[lo]
+                while hi < len(lengths) and size + lengths[hi] <= chars:
+                    size, hi = size + lengths[hi], hi + 1
+                part = batch.slice(lo, hi - lo)
+                names, scores = shared.value.predict([t or "" for t in part.column(source).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *OUTPUTS])
                 lo = hi
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*keep, *OUTPUTS])
+        pa.default_memory_pool().release_unused()
 
     fields = [f for f in df.schema.fields if f.name in keep]
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     schema = StructType([*[next(f for f in fields if f.name == c) for c in keep], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return df.select(*[col(c) for c in keep], col(text).alias("__text")).mapInArrow(run, schema)
+    return df.select(*[col(c) for c in keep], *([] if source in keep else [col(text).alias(source)])).mapInArrow(run, schema)
 
 
 def fold(key: Column, folds: int) -> Column:
