@@ -103,6 +103,7 @@ def _verify(batches: Iterator[pa.RecordBatch], width: int, over: int, under: int
             p, q = shingle_set(x.as_py(), width), shingle_set(y.as_py(), width)
             keep.append(_alike(p, q, over, under))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    shingle_set.cache_clear()  # the worker may stay idle, and sets of long texts are large
 
 
 def _differing(x: str, y: str) -> Column:

@@ -44,6 +44,8 @@ _cache: dict[str, np.ndarray] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if n > 2 * CHUNK_BYTES:  # for one very long text: not kept
+        return _powers(_RATIO, n), _powers(_INVERSE, n)
     if len(_cache.get("up", ())) < n:
         _cache["up"], _cache["down"] = _powers(_RATIO, n), _powers(_INVERSE, n)
     return _cache["up"][:n], _cache["down"][:n]
