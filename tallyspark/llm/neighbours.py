@@ -19,8 +19,10 @@ TREES, LEAF, SAMPLE = 6, 1500, 20_000
 LINKS, BACK = 32, 32
 #: Rounds of NN-descent, and the share of new links under which they end early; a member of a neighbourhood is offered so many others.
 DESCENTS, SETTLED, OFFERS = 3, 0.02, 8
-#: Greedy search: best nodes kept, nodes expanded in a round, rounds; seeds a tree gives a query; candidates scored exactly.
-BEAM, EXPAND, ROUNDS, SEEDS, RESCORE = 256, 64, 6, 8, 64
+#: Greedy search: best nodes kept, nodes expanded in a round; seeds a tree gives a query; candidates scored exactly, at least.
+BEAM, EXPAND, SEEDS, RESCORE = 256, 64, 8, 64
+#: Scores of half-float codes that differ by less may be in either order: each is wrong by 2 ** -10 at most.
+BLUR = 2.0**-9
 
 
 @dataclass
@@ -182,17 +184,24 @@ def _offers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(sims, pa.list_(pa.float32()))], names=["node", "ids", "sims"])
 
 
-def build_graph(codes: DataFrame, trees: Trees, n: int) -> DataFrame:
+def _dealt(codes: DataFrame, trees: Trees, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(node, code, tree, leaf, part) and, by leaf, the number of parts: a leaf of over 2 * LEAF is dealt to several. Given the
+    `sizes` of other codes, to their parts."""
+    placed = materialize(_in_leaves(codes, trees))
+    if sizes is None:
+        sizes = materialize(placed.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / (2 * LEAF)).alias("parts")))
+    placed = placed.join(sizes, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
+    return placed.drop("parts"), sizes
+
+
+def build_graph(codes: DataFrame, placed: DataFrame, n: int) -> DataFrame:
     """NN-descent: (node, ids, sims) with the LINKS nearest found of each node.
 
-    The first links are those within leaves of the trees (a leaf of over LEAF vectors is dealt to several parts). Then, round
+    The first links are those within the parts of leaves of `placed` (see _dealt). Then, round
     by round, every node's neighbourhood (links both ways, with codes joined on) offers its members to each other:
     neighbours of neighbours. A node's lists are merged, the best stay; links into popular nodes are followed from the
     BACK nearest only, so no neighbourhood outgrows LINKS + BACK.
     """
-    placed = materialize(_in_leaves(codes, trees))
-    sizes = placed.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / (2 * LEAF)).alias("parts"))
-    placed = placed.join(sizes, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
     lists = placed.groupBy("tree", "leaf", "part").applyInPandas(_leaf_links, _LISTS)
     graph = materialize(_merged(lists.withColumn("old", F.lit(False)), LINKS))
     for _ in range(DESCENTS if n > 2 * LEAF else 0):
@@ -234,13 +243,25 @@ def _advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("query"), *[pa.array(x, pa.list_(t)) for x, t in zip(out, (pa.int64(), pa.float32(), pa.bool_()), strict=True)]], names=["query", "ids", "sims", "done"])
 
 
-def search_graph(queries: DataFrame, graph: DataFrame, codes: DataFrame, trees: Trees) -> DataFrame:
-    """Greedy search for (node, code) queries: (query, candidate), up to RESCORE each.
+def _leaf_seeds(nodes, asked) -> object:
+    """Of a part of a leaf, the SEEDS nodes nearest to each query."""
+    import pandas as pd
+
+    if not len(nodes) or not len(asked):
+        return pd.DataFrame({"query": np.zeros(0, np.int64), "node": np.zeros(0, np.int64)})
+    x, ids, queries = _halves(nodes.code.tolist()), nodes.node.to_numpy(), asked.node.to_numpy()
+    at = np.vstack([_best(_halves(asked.code.tolist()[lo : lo + 500]) @ x.T, SEEDS) for lo in range(0, len(asked), 500)])
+    return pd.DataFrame({"query": np.repeat(queries, at.shape[1]), "node": ids[at].ravel()})
+
 
-    A query begins at SEEDS nodes of its leaf in each tree. In each round the EXPAND best nodes of its beam that were not
-    expanded yet are joined with their links, whose codes lie beside them, and the beam takes the best of all scores; it ends
-    when no beam has a node left to expand, after ROUNDS at most. Adjacency is dealt to partitions by node once and cached
-    (from written tables, so a lost executor's part is made again); each round only moves the frontier and the beams.
+def search_graph(queries: DataFrame, graph: DataFrame, codes: DataFrame, begin: DataFrame, k: int) -> DataFrame:
+    """Greedy search for (node, code) queries: (query, candidate), RESCORE each at least, if so many were found.
+
+    A query starts at its own node and at the nodes that `begin` (query, node) gives it. In each round the EXPAND best nodes
+    of its beam that were not expanded yet are joined with their links, whose codes lie beside them, and the beam takes the
+    best of all scores; it ends when no beam has a node left to expand (what leaves a beam does not come back). Nodes of the
+    beam that codes cannot tell from the k-th best are candidates, however many. Adjacency is dealt to partitions by node once
+    and cached (from written tables, so a lost executor's part is made again); each round only moves the frontier and the beams.
     """
     spark = queries.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -248,26 +269,24 @@ def search_graph(queries: DataFrame, graph: DataFrame, codes: DataFrame, trees:
     links = links.mapInArrow(_packed, "node long, ids array<bigint>, codes binary")
     links = materialize(links).repartition(parts, "node").sortWithinPartitions("node").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        rank = F.row_number().over(Window.partitionBy("tree", "leaf").orderBy(F.xxhash64("node")))
-        seeds = _in_leaves(codes, trees).select("tree", "leaf", "node", rank.alias("rank")).filter(F.col("rank") <= SEEDS).select("tree", "leaf", "node")
-        begin = _in_leaves(queries, trees).select(F.col("node").alias("query"), "tree", "leaf").join(seeds, ["tree", "leaf"])
-        frontier = materialize(begin.select("query", "node").distinct())
+        own = queries.select(F.col("node").alias("query"), "node")
+        frontier = materialize(begin.union(own).distinct())
         asked = queries.select(F.col("node").alias("query"), "code")
         state = spark.createDataFrame([], _STATE)
-        for turn in range(ROUNDS + 1):
+        while True:
             reached = frontier.join(asked, "query").join(links, "node").select("query", "code", "ids", "codes").mapInArrow(_scored, "query long, ids array<bigint>, sims array<float>")
             fresh = reached.withColumn("done", F.transform("ids", lambda _: F.lit(False)))
             both = fresh.union(state).groupBy("query").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("ids", "sims", "done")])
             state = materialize(both.mapInArrow(_advance, _STATE))
-            if turn == ROUNDS:
-                break
             todo = F.slice(F.filter(F.arrays_zip("ids", "done"), lambda x: ~x["done"]), 1, EXPAND)
             state = state.withColumn("todo", F.transform(todo, lambda x: x["ids"]))
             frontier = state.select("query", F.explode("todo").alias("node"))
             if frontier.isEmpty():
                 break
             state = state.withColumn("done", F.zip_with("ids", "done", lambda i, d: d | F.array_contains(F.col("todo"), i))).drop("todo")
-        return materialize(state.select("query", F.explode(F.slice("ids", 1, RESCORE)).alias("candidate")))
+        least = F.try_element_at("sims", F.least(F.lit(k), F.size("sims"))) - F.lit(BLUR)
+        close = F.size(F.filter("sims", lambda x: x >= least))  # a beam is in order of its scores
+        return materialize(state.select("query", F.explode(F.slice("ids", F.lit(1), F.greatest(F.lit(RESCORE), close))).alias("candidate")))
     finally:
         links.unpersist()
 
@@ -308,9 +327,12 @@ def nearest(df: DataFrame, is_query: Column, *, row_key: str = "vec_id", vector:
     share = min(1.0, SAMPLE / n)
     drawn = codes.filter(F.pmod(F.xxhash64("node", F.lit("trees")), F.lit(1_000_000)) < int(share * 1e6)).orderBy("node").limit(2 * SAMPLE)
     trees = Trees.fit(_halves([r.code for r in drawn.select("code").collect()]) if depth else np.zeros((1, 1), np.float32), depth)
-    graph = build_graph(codes, trees, n)
+    placed, sizes = _dealt(codes, trees)
+    graph = build_graph(codes, placed, n)
     wanted = materialize(_placed(nodes.join(asked.select("node").distinct(), "node"), largest, True))
-    found = search_graph(wanted, graph, codes, trees)
+    by = ["tree", "leaf", "part"]
+    begin = placed.groupBy(*by).cogroup(_dealt(wanted, trees, sizes)[0].groupBy(*by)).applyInPandas(_leaf_seeds, "query long, node long")
+    found = search_graph(wanted, graph, codes, begin, k + 1)
     found = found.union(wanted.select(F.col("node").alias("query"), F.col("node").alias("candidate"))).distinct()
     vec = lambda key, name: nodes.select(F.col("node").alias(key), F.col("vec").alias(name))
     scored = materialize(found.join(vec("query", "asked"), "query").join(vec("candidate", "vec"), "candidate").select("query", "candidate", "asked", "vec").mapInArrow(_exact, "query long, node long, score double"))

@@ -54,3 +54,27 @@ def test_trees_split_evenly():
     sample = np.random.default_rng(0).normal(size=(4096, 10)).astype(np.float32)
     sizes = np.bincount(N.Trees.fit(sample, 4, 1).leaves(sample)[:, 0], minlength=16)
     assert sizes.min() > 200 and sizes.max() < 320
+
+
+def recall(spark, x, k=20, step=20):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = N.nearest(df, F.col("id") % step == 0, k=k).collect()
+    want = brute(np.arange(len(x)), x, range(0, len(x), step), k)
+    return sum(r.vec_id in {i for i, _ in want[r.query_id]} for r in got) / (k * len(want))
+
+
+def test_clusters_larger_than_the_links_are_entered(spark, monkeypatch):
+    monkeypatch.setattr(N, "LEAF", 400)
+    monkeypatch.setattr(N, "SAMPLE", 1000)
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(60, 64)), 50, 0) + 0.05 * rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert recall(spark, x) >= 0.99
+
+
+def test_neighbours_in_another_cluster_are_found(spark):
+    """Each direction has a cluster of short and one of long vectors: the long ones are nearest to the short ones."""
+    rng = np.random.default_rng(7)
+    x = np.repeat(rng.normal(size=(20, 64)), 100, 0)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True) + 0.005 * rng.normal(size=x.shape)) * np.tile(np.repeat([0.3, 1.0], 50), 20)[:, None]
+    assert recall(spark, x) >= 0.95
