@@ -13,12 +13,12 @@ from tallyspark.llm.common import materialize, read, ship
 from tallyspark.llm.langid import UNKNOWN, learned, predict
 from tallyspark.llm.lines import dedup_lines
 from tallyspark.llm.mixing import letter_weight, mix_sources, repeat_rows
-from tallyspark.llm.neardup import keep_one
+from tallyspark.llm.neardup import keep_one, near_duplicates
 from tallyspark.llm.pieces import encode_documents
 
 #: Documents whose language is less likely than this are rejected.
 LEAST_LANGUAGE_SCORE = 0.5
-#: A source's line is boilerplate if over this share of its documents, and at least so many, hold it.
+#: A source's line is boilerplate if over this share of its documents, and at least so many, hold it; near copies count as one.
 LINE_RATIO, LINE_DOCUMENTS = 0.03, 3
 
 
@@ -30,8 +30,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts lines that are common in their source out of texts, and drops documents of which nothing is left by that."""
-    rows = dedup_lines(docs, site=F.col("source"), text=F.col("text"), ratio=LINE_RATIO, min_pages=LINE_DOCUMENTS)
+    """Cuts lines that are common in their source out of texts, and drops documents of which nothing is left by that.
+
+    Documents that drop_near_duplicates would find alike count as one, so that a group of copies does not make boilerplate of
+    its own lines: it gets there whole, and one of it stays."""
+    ship(spark)
+    found = near_duplicates(docs)
+    page = F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.xxhash64("text_key"))
+    alike = materialize(found.select("doc_id", "text_key", page.alias("page")).distinct())
+    rows = dedup_lines(docs, site=F.col("source"), text=F.col("text"), ratio=LINE_RATIO, min_pages=LINE_DOCUMENTS, alike=alike)
     rows = rows.filter((F.col("n_dropped") == 0) | (F.col("n_dropped") < F.col("n_lines")))
     new = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_dropped") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
     return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])

@@ -27,12 +27,14 @@ def page_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(html, BLOCK_TAG, "\n"), ANY_TAG, "")
 
 
-def dedup_lines(df: DataFrame, *, site: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def dedup_lines(df: DataFrame, *, site: Column, text: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES, alike: DataFrame | None = None) -> DataFrame:
     """`df` with kept_text (the lines left, joined again), n_lines and n_dropped (of lines that are not blank).
 
     A line (without blanks at its ends) is dropped from all pages of a site if over `ratio` of the site's pages, and at
     least `min_pages`, hold it, counted once a page. Blank lines stay. Null text: null, 0 and 0. Null sites are one site.
-    Repeated rows count as pages of their own. Input columns named as an output are replaced.
+    Repeated rows count as pages of their own, unless `alike` (doc_id, text_key, page; each pair of the first two once) names
+    their page: rows of `df` (its doc_id, the MD5 of its text) of the same page then count as one, here and in the site's
+    pages, and a line counts if any of them holds it. Input columns named as an output are replaced.
 
     Pages are counted by 64-bit line hashes with map-side sums, so neither a hot site nor a hot line meets in one task.
     A site has at most (mean lines a page) / ratio boilerplate lines, so its list of them is bounded; those lists join the
@@ -42,8 +44,14 @@ def dedup_lines(df: DataFrame, *, site: Column, text: Column, ratio: float = RAT
     bare = lambda line: F.trim(line, F.lit(BLANKS))
     hashed = lambda lines: F.transform(F.filter(F.transform(lines, bare), lambda x: x != ""), lambda x: F.xxhash64(x))
     seen = base.select("__site", F.array_distinct(hashed(F.col("__lines"))).alias("h"))
-    totals = materialize(df.groupBy(site.alias("total_site")).agg(F.count(F.lit(1)).alias("pages")))
-    held = seen.select("__site", F.explode("h").alias("h")).groupBy("__site", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
+    counted, lines = df.select(site.alias("__site")), seen.select("__site", F.explode("h").alias("h"))
+    if alike is not None:
+        seen = materialize(base.select("__site", F.array_distinct(hashed(F.col("__lines"))).alias("h"), F.col("doc_id").alias("__id"), F.md5(text.cast("binary")).alias("__text")))  # no text is shuffled
+        seen = materialize(seen.join(alike, F.col("__id").eqNullSafe(F.col("doc_id")) & F.col("__text").eqNullSafe(F.col("text_key"))).select("__site", "page", "h"))
+        counted = seen.select("__site", "page").distinct()
+        lines = seen.select("__site", "page", F.explode("h").alias("h")).distinct()
+    totals = materialize(counted.groupBy(F.col("__site").alias("total_site")).agg(F.count(F.lit(1)).alias("pages")))
+    held = lines.groupBy("__site", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
     common = held.join(totals, F.col("__site").eqNullSafe(F.col("total_site"))).filter(F.col("n") > ratio * F.col("pages"))
     common = materialize(common.groupBy(F.col("__site").alias("__common_site")).agg(F.collect_list("h").alias("__common")))
     none = F.array().cast("array<bigint>")

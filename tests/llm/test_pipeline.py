@@ -40,3 +40,17 @@ def test_every_operator_has_one_query():
     import re
 
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES) == list(range(1, 11))
+
+
+def test_groups_of_copies_are_no_boilerplate(spark, tmp_path):
+    """A third of a source are copies of one document and a third near copies of another; one of each stays, uncut."""
+    text = lambda name: "\n".join(" ".join(f"{name}{i}x{j}" for j in range(40)) for i in range(5))
+    rows = [(k, text("copy")) for k in range(20)]
+    rows += [(20 + k, text("near").replace("near2x7", f"changed{k}")) for k in range(20)]
+    rows += [(40 + k, "Common header\n" + text(f"own{k}a")) for k in range(20)]
+    table = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    cut = materialize(C.drop_boilerplate(spark, table, str(tmp_path)))
+    left = {r.doc_id: r.text for r in cut.collect()}
+    assert left == {i: t.removeprefix("Common header\n") for i, t in rows}
+    stay = {r.doc_id for r in C.drop_near_duplicates(spark, cut, str(tmp_path)).collect()}
+    assert stay == {0, 20, *range(40, 60)}
