@@ -157,15 +157,16 @@ CHANGED, LOST = (97, 11), (193, 7)
 
 def op5_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
-    raw = warc_record(F.col("page_id"), F.col("url"), F.col("html"))
-    hurt = F.when(F.col("page_id") % CHANGED[0] == CHANGED[1], F.sha2(F.concat(F.lit("#"), F.expr("substring(raw, 2)")), 256))
-    hashed = pages.withColumn("raw", raw).select(F.col("page_id").alias("record_key"), F.octet_length("raw").cast("long").alias("length"), F.sha2("raw", 256).alias("digest"), hurt.alias("hurt"))
-    hashed = materialize(hashed)
-    manifest = materialize(lay_out(hashed.select("record_key", "digest", "length")))
-    hurt = hashed.filter("hurt is not null").select(F.col("record_key").alias("k"), F.col("digest").alias("d"), "hurt").distinct()
-    there = manifest.join(hurt, (F.col("record_key") == F.col("k")) & (F.col("digest") == F.col("d")), "left")
-    lost = F.coalesce(F.col("record_key") % LOST[0] == LOST[1], F.lit(False))
-    replica = materialize(there.select("file", "offset", "length", F.when(lost, F.lit(None)).otherwise(F.coalesce("hurt", "digest")).alias("digest")))
+    pages = pages.withColumn("raw", warc_record(F.col("page_id"), F.col("url"), F.col("html")))
+    hashed = pages.select(F.col("page_id").alias("record_key"), F.octet_length("raw").cast("long").alias("length"), F.sha2("raw", 256).alias("digest"))
+    manifest = materialize(lay_out(hashed))
+    # The replica: every record's bytes, the damage done to them, and their own hashes; the manifest only says where a record lies.
+    hit = lambda rule: F.coalesce(F.col("page_id") % rule[0] == rule[1], F.lit(False))
+    held = F.when(~hit(LOST), F.when(hit(CHANGED), F.concat(F.lit("#"), F.expr("substring(raw, 2)"))).otherwise(F.col("raw")))
+    held = pages.withColumn("held", held).select(F.col("page_id").alias("k"), F.sha2("raw", 256).alias("d"), F.octet_length("held").cast("long").alias("size"), F.sha2("held", 256).alias("hash"))
+    held = materialize(held.distinct())
+    there = manifest.join(held, F.col("record_key").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("d")), "left")
+    replica = materialize(there.select("file", "offset", F.coalesce("size", "length").alias("length"), F.col("hash").alias("digest")))
     found, _ = audit(manifest, replica)
     return found.select("file", "offset", "length", F.col("record_key").alias("page_id"), "copies", "digest", "found_digest", "kind")
 

@@ -58,3 +58,14 @@ def test_layout_is_even_and_keeps_copies(spark):
         for r in own:
             assert r.offset == at
             at += r.length * r.copies
+
+
+def test_the_query_hashes_every_record_of_the_replica(spark, tmp_path, monkeypatch):
+    """A false digest in the manifest is found for a page that is not among the damaged ones."""
+    rows = [(i, f"http://a/{i}", f"<p>é{i}</p>") for i in range(250)] + [(None, None, None), (1, "http://a/1", "<p>é1</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    hurt = {i: "missing" if i % 193 == 7 else "changed" for i in range(250) if i % 193 == 7 or i % 97 == 11}
+    assert {r.page_id: r.kind for r in W.op5_warc_audit(spark, str(tmp_path)).collect()} == hurt
+    lay_out = W.lay_out
+    monkeypatch.setattr(W, "lay_out", lambda records: lay_out(records).withColumn("digest", F.when(F.col("record_key") == 50, "false").otherwise(F.col("digest"))))
+    assert {r.page_id for r in W.op5_warc_audit(spark, str(tmp_path)).collect()} == {50, *hurt}
