@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes that Spark hands to Python at a time, at most: a batch of long texts is held several times over on its way.
-ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def scratch(spark: SparkSession) -> str:
@@ -53,10 +53,15 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
-def without(df: DataFrame, names: list[str]) -> DataFrame:
-    """`df` without columns of these names, in any case: an operator's own output columns win over clashing input columns."""
-    lower = {n.lower() for n in names}
-    return df.select(*[col(c) for c in df.columns if c.lower() not in lower])
+def packed(df: DataFrame, own: dict[str, Column]) -> DataFrame:
+    """All columns of `df` as one struct, `row`, beside an operator's own: whatever a table's columns are called, they clash with nothing."""
+    return df.select(F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(df.columns)], F.lit(0).alias("none")).alias("row"), *[c.alias(n) for n, c in own.items()])
+
+
+def unpacked(names: list[str], but: list[str]) -> list[Column]:
+    """The columns that packed() took, by their names, without those named as one of `but` in any case."""
+    lower = {n.lower() for n in but}
+    return [F.col(f"row.c{i}").alias(c) for i, c in enumerate(names) if c.lower() not in lower]
 
 
 def col(name: str) -> Column:

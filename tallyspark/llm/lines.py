@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, materialize, read, without
+from .common import materialize, packed, read, unpacked
 
 #: A line is boilerplate if more than this share of its site's pages hold it, and at least so many pages.
 RATIO = 0.1
 MIN_PAGES = 3
+#: Sites of over one in MOST_HOT_SITES of all pages are dealt to several tasks, SITE_TASKS at most.
+MOST_HOT_SITES, SITE_TASKS = 1000, 200
 OUTPUTS = ["kept_text", "n_lines", "n_dropped"]
 #: The tags that end a line of a web page, and any other tag.
 BLOCK_TAG = r"(?i)</?(?:p|br|div|li|ul|ol|h[1-6]|article|section|title|body|head|nav|footer|header|script|style|table|tr|td)\b[^>]*>"
@@ -31,40 +33,50 @@ def dedup_lines(df: DataFrame, *, site: Column, text: Column, ratio: float = RAT
     """`df` with kept_text (the lines left, joined again), n_lines and n_dropped (of lines that are not blank).
 
     A line (without blanks at its ends) is dropped from all pages of a site if over `ratio` of the site's pages, and at
-    least `min_pages`, hold it, counted once a page. Blank lines stay. Null text: null, 0 and 0. Null sites are one site.
+    least `min_pages`, hold it, counted once a page: with the ratio alone (`min_pages` 1) every line of a site of a few pages
+    would go. Blank lines stay. Null text: null, 0 and 0. Null sites are one site. An empty table gives an empty result.
     Repeated rows count as pages of their own, unless `alike` (doc_id, text_key, page; each pair of the first two once) names
     their page: rows of `df` (its doc_id, the MD5 of its text) of the same page then count as one, here and in the site's
-    pages, and a line counts if any of them holds it. Input columns named as an output are replaced.
+    pages, and a line counts if any of them holds it. Input columns named as an output are replaced; others clash with nothing.
 
     Pages are counted by 64-bit line hashes with map-side sums, so neither a hot site nor a hot line meets in one task.
     A site has at most (mean lines a page) / ratio boilerplate lines, so its list of them is bounded; those lists join the
-    pages by site, broadcast only if Spark finds the written table small enough.
+    pages by site, broadcast only if Spark finds the written table small enough. Else sites of over a thousandth of all
+    pages (a thousand of them at most, which bounds their broadcast) are dealt to several tasks, with a copy of their list each.
     """
-    base = df.withColumns({"__site": site, "__lines": F.split(text, "\n")})
     bare = lambda line: F.trim(line, F.lit(BLANKS))
     hashed = lambda lines: F.transform(F.filter(F.transform(lines, bare), lambda x: x != ""), lambda x: F.xxhash64(x))
-    seen = base.select("__site", F.array_distinct(hashed(F.col("__lines"))).alias("h"))
-    counted, lines = df.select(site.alias("__site")), seen.select("__site", F.explode("h").alias("h"))
+    split = {"site": site, "lines": F.split(text, "\n")}
+    seen = df.select(site.alias("site"), F.array_distinct(hashed(F.split(text, "\n"))).alias("h"))
+    counted, lines = df.select(site.alias("site")), seen.select("site", F.explode("h").alias("h"))
     if alike is not None:
-        seen = materialize(base.select("__site", F.array_distinct(hashed(F.col("__lines"))).alias("h"), F.col("doc_id").alias("__id"), F.md5(text.cast("binary")).alias("__text")))  # no text is shuffled
-        seen = materialize(seen.join(alike, F.col("__id").eqNullSafe(F.col("doc_id")) & F.col("__text").eqNullSafe(F.col("text_key"))).select("__site", "page", "h"))
-        counted = seen.select("__site", "page").distinct()
-        lines = seen.select("__site", "page", F.explode("h").alias("h")).distinct()
-    totals = materialize(counted.groupBy(F.col("__site").alias("total_site")).agg(F.count(F.lit(1)).alias("pages")))
-    held = lines.groupBy("__site", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    common = held.join(totals, F.col("__site").eqNullSafe(F.col("total_site"))).filter(F.col("n") > ratio * F.col("pages"))
-    common = materialize(common.groupBy(F.col("__site").alias("__common_site")).agg(F.collect_list("h").alias("__common")))
+        seen = materialize(df.select(site.alias("site"), F.array_distinct(hashed(F.split(text, "\n"))).alias("h"), F.col("doc_id").alias("id"), F.md5(text.cast("binary")).alias("digest")))  # no text is shuffled
+        seen = materialize(seen.join(alike, F.col("id").eqNullSafe(F.col("doc_id")) & F.col("digest").eqNullSafe(F.col("text_key"))).select("site", "page", "h"))
+        counted = seen.select("site", "page").distinct()
+        lines = seen.select("site", "page", F.explode("h").alias("h")).distinct()
+    totals = materialize(counted.groupBy(F.col("site").alias("total_site")).agg(F.count(F.lit(1)).alias("pages")))
+    everything = totals.agg(F.sum("pages")).first()[0] or 0
+    tasks = F.least(F.ceil(F.col("pages") * MOST_HOT_SITES / F.lit(max(1, everything))), F.lit(SITE_TASKS)).cast("int")
+    totals = totals.withColumn("tasks", F.when(F.col("pages") * MOST_HOT_SITES > everything, tasks).otherwise(1))
+    same = F.col("site").eqNullSafe(F.col("total_site"))
+    held = lines.groupBy("site", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
+    common = held.join(totals, same).filter(F.col("n") > ratio * F.col("pages"))
+    common = common.groupBy("site").agg(F.collect_list("h").alias("common"), F.first("tasks").alias("tasks"))
+    common = materialize(common.select(F.col("site").alias("common_site"), "common", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task")))
+    hot = F.broadcast(totals.filter("tasks > 1").select("total_site", "tasks"))  # fewer than MOST_HOT_SITES rows
+    base = packed(df, split).join(hot, same, "left").withColumn("own_task", F.pmod(F.xxhash64("lines"), F.coalesce("tasks", F.lit(1))).cast("int"))
     none = F.array().cast("array<bigint>")
-    rows = base.join(common, F.col("__site").eqNullSafe(F.col("__common_site")), "left")
-    rows = rows.withColumn("__hit", F.when(F.col("__common").isNull(), none).otherwise(F.array_intersect(hashed(F.col("__lines")), F.col("__common"))))
-    kept = F.when(F.size("__hit") == 0, F.col("__lines")).otherwise(F.filter("__lines", lambda x: (bare(x) == "") | ~F.array_contains(F.col("__hit"), F.xxhash64(bare(x)))))
-    rows = rows.withColumn("__kept", kept)
+    rows = base.join(common, F.col("site").eqNullSafe(F.col("common_site")) & (F.col("own_task") == F.col("task")), "left")
+    rows = rows.withColumn("hit", F.when(F.col("common").isNull(), none).otherwise(F.array_intersect(hashed(F.col("lines")), F.col("common"))))
+    kept = F.when(F.size("hit") == 0, F.col("lines")).otherwise(F.filter("lines", lambda x: (bare(x) == "") | ~F.array_contains(F.col("hit"), F.xxhash64(bare(x)))))
+    rows = rows.withColumn("kept", kept)
     filled = lambda lines: F.coalesce(F.size(F.filter(lines, lambda x: bare(x) != "")), F.lit(0))
-    out = {"kept_text": F.array_join("__kept", "\n"), "n_lines": F.greatest(filled(F.col("__lines")), F.lit(0)).cast("long"), "n_dropped": F.greatest(filled(F.col("__lines")) - filled(F.col("__kept")), F.lit(0)).cast("long")}
-    return without(rows, OUTPUTS).select(*[col(c) for c in df.columns if c.lower() not in OUTPUTS], *[c.alias(n) for n, c in out.items()])
+    out = {"kept_text": F.array_join("kept", "\n"), "n_lines": F.greatest(filled(F.col("lines")), F.lit(0)).cast("long"), "n_dropped": F.greatest(filled(F.col("lines")) - filled(F.col("kept")), F.lit(0)).cast("long")}
+    return rows.select(*unpacked(df.columns, OUTPUTS), *[c.alias(n) for n, c in out.items()])
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages without the lines of over RATIO of their host's pages (MIN_PAGES at least). Null pages: null, 0 and 0."""
     pages = read(spark, sf_dir, "pages").select("page_id", host(F.col("url")).alias("host"), "html")
     return dedup_lines(pages, site=F.col("host"), text=page_text(F.col("html"))).drop("html")
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, col, materialize, read, without
+from .common import WORD, col, materialize, packed, read, unpacked
 
 #: By the rank of a source in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -26,12 +26,6 @@ def quality_weight(quality: Column) -> Column:
     return F.coalesce(F.lit(0.5) + F.lit(1.5) * quality.cast("double"), F.lit(1.0))
 
 
-def letter_weight(text: Column) -> Column:
-    """Sampling weight of a text from its share of letters and spaces: 0.5 to 2, and 1 for null and empty ones."""
-    share = F.char_length(F.regexp_replace(text, r"[^\p{L} ]+", "")) / F.nullif(F.char_length(text), F.lit(0))
-    return F.coalesce(F.lit(0.5) + F.lit(1.5) * share, F.lit(1.0))
-
-
 def sampling_key(row_key: Column, weight: Column, seed: str = SEED) -> Column:
     """-ln(u) / weight: exponential with the document's weight as its rate, so the smallest keys are a weighted sample
     without replacement. u in (0, 1] comes from the MD5 of seed and row key: reruns agree."""
@@ -72,59 +66,89 @@ def mix_sources(df: DataFrame, *, source: str = "source", size: Column | None =
     of one row. Prefix sums run over ranges of the key first (about sqrt(n) of them) and then over the rows of the single
     range in which the target falls: no task sees all rows of a hot source, and no text is shuffled.
 
-    Null sources are one source, last in order. Size 0 (null or blank text): taken 0, in no way counted. Rows that agree in
-    key, size and text are taken alike. An empty table gives an empty result. Input columns named as one of the outputs
-    are replaced.
+    Null sources are one source, last in order. Size 0 (null or blank text): taken 0, in no way counted. Repeated rows, alike
+    in key and in all columns, are rows of their own, of which as many are taken as come nearest the target: which ones cannot
+    be told. Null row keys share one sampling key's draw and are told apart by their other columns. An empty table gives an
+    empty result. Input columns named as one of the outputs are replaced; other names clash with nothing.
     """
     size = word_count(col("text")) if size is None else size
     weight = F.lit(1.0) if weight is None else weight
     tie = F.xxhash64(*[col(c) for c, kind in df.dtypes if not kind.startswith("map")])
-    own = {"__source": col(source), "__size": F.coalesce(size.cast("long"), F.lit(0)), "__key": sampling_key(col(row_key), weight, seed), "__tie": tie}
+    own = {"source": col(source), "size": F.coalesce(size.cast("long"), F.lit(0)), "key": sampling_key(col(row_key), weight, seed), "tie": tie}
     slim = materialize(df.select(*[c.alias(n) for n, c in own.items()]))
     ranges = max(16, 2 ** round(math.log2(max(1, slim.count())) / 2))
-    bucket = F.least(F.floor(F.lit(float(ranges)) * (1 - F.exp(-F.col("__key")))), F.lit(ranges - 1)).cast("int")
-    by_range = materialize(slim.groupBy(F.col("__source").alias("source"), bucket.alias("b")).agg(F.sum("__size").alias("words")))
+    bucket = F.least(F.floor(F.lit(float(ranges)) * (1 - F.exp(-F.col("key")))), F.lit(ranges - 1)).cast("int")
+    by_range = materialize(slim.groupBy("source", bucket.alias("b")).agg(F.sum("size").alias("words")))
     targets = source_targets(by_range.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))).otherwise(0).cast("long")
     rest = F.when(F.col("epochs") < max_epochs, F.col("target") - F.col("epochs") * F.col("source_size")).otherwise(0.0)
     targets = materialize(targets.withColumn("epochs", whole).withColumn("rest", F.greatest(rest, F.lit(0.0))))
+    same = F.col("source").eqNullSafe(F.col("s"))
     # The first range of each source whose end lies beyond the rest of the target, and the words before it.
     upto = F.sum("words").over(Window.partitionBy("source").orderBy("b"))
-    crossing = by_range.withColumn("end", upto).join(targets.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s"))).filter(F.col("end") > F.col("rest"))
-    crossing = crossing.groupBy("source").agg(F.min("b").alias("cut_b"), F.min_by(F.col("end") - F.col("words"), "b").alias("before"))
-    plan = materialize(targets.join(crossing.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s"))
-    # Within that range, row by row; rows alike in key and tie count as one.
-    edge = slim.join(plan.select("source", "cut_b", "before", "rest"), F.col("__source").eqNullSafe(F.col("source")) & (bucket == F.col("cut_b")))
-    edge = edge.groupBy("source", "before", "rest", "__key", "__tie").agg(F.sum("__size").alias("words"))
-    end = F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy("__key", "__tie"))
-    kept = edge.withColumn("end", end).filter((F.col("end") - F.col("words") / 2.0 <= F.col("rest")) & (F.col("rest") > 0))
-    cut = kept.groupBy("source").agg(F.max(F.struct("__key", "__tie")).alias("cut"))
-    plan = materialize(plan.join(cut.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s"))
-    plan = plan.select(*[F.col(c).alias(f"__plan_{c}") for c in plan.columns])
-    part = F.when(bucket == F.col("__plan_cut_b"), F.struct("__key", "__tie") <= F.col("__plan_cut")).otherwise(bucket < F.coalesce(F.col("__plan_cut_b"), F.lit(ranges)))
-    extra = F.when((F.col("__plan_rest") > 0) & (F.col("__size") > 0), F.coalesce(part, F.lit(False)).cast("long")).otherwise(0)
-    rows = df.withColumns(own).join(plan, F.col("__source").eqNullSafe(F.col("__plan_source"))).withColumn("__copies", F.when(F.col("__size") > 0, F.col("__plan_epochs") + extra).otherwise(0).cast("long"))
-    out = {"size": F.col("__size"), "source_size": F.col("__plan_source_size"), "target": F.col("__plan_target"), "copies": F.col("__copies"), "taken": F.col("__size") * F.col("__copies")}
-    return without(rows, OUTPUTS).select(*[col(c) for c in df.columns if c.lower() not in OUTPUTS], *[c.alias(n) for n, c in out.items()])
-
-
-def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs` with column __quality: the mean quality label of its doc_id, if any."""
-    mean = labels.groupBy(F.col("doc_id").alias("__label_id")).agg(F.avg(F.col("quality").cast("double")).alias("__quality"))
-    return docs.join(mean, F.col("doc_id") == F.col("__label_id"), "left").drop("__label_id")
+    crossing = by_range.withColumn("end", upto).join(targets.select(F.col("source").alias("s"), "rest"), same).filter(F.col("end") > F.col("rest"))
+    crossing = crossing.groupBy(F.col("source").alias("s")).agg(F.min("b").alias("cut_b"), F.min_by(F.col("end") - F.col("words"), "b").alias("before"))
+    plan = materialize(targets.join(crossing, same, "left").drop("s"))
+    # Within that range, group by group of rows alike: the last group of which a row is taken, and how many of it.
+    edge = slim.filter("size > 0").join(plan.select(F.col("source").alias("s"), "cut_b", "before", "rest"), same & (bucket == F.col("cut_b")))
+    edge = edge.groupBy("source", "before", "rest", "key", "tie", F.col("size").alias("each")).agg(F.count(F.lit(1)).alias("rows"))
+    ahead = F.col("before") + F.sum(F.col("each") * F.col("rows")).over(Window.partitionBy("source").orderBy("key", "tie", "each")) - F.col("each") * F.col("rows")
+    room = F.least(F.floor((F.col("rest") - F.col("ahead")) / F.col("each") + 0.5), F.col("rows"))
+    last = edge.withColumn("ahead", ahead).withColumn("room", room).filter((F.col("room") > 0) & (F.col("rest") > 0))
+    last = last.groupBy(F.col("source").alias("s")).agg(F.max(F.struct("key", "tie", "each", "room", "rows")).alias("cut"))
+    plan = materialize(plan.join(last, same, "left").drop("s"))
+    plan = plan.select(F.col("source").alias("s"), F.struct(*[c for c in plan.columns if c != "source"]).alias("plan"))
+    rows = packed(df, own).join(plan, same)
+    place, cut = F.struct("key", "tie", F.col("size").alias("each")), F.struct("plan.cut.key", "plan.cut.tie", "plan.cut.each")
+    inside = F.when(bucket == F.col("plan.cut_b"), F.coalesce(place <= cut, F.lit(False))).otherwise(bucket < F.coalesce(F.col("plan.cut_b"), F.lit(ranges)))
+    taking = (F.col("plan.rest") > 0) & (F.col("size") > 0)
+    rows = rows.withColumn("extra", F.when(taking, inside.cast("long")).otherwise(0))
+    if not plan.filter("plan.cut.room < plan.cut.rows").isEmpty():  # a target falls among repeats of a row
+        split = F.coalesce(taking & (bucket == F.col("plan.cut_b")) & (place == cut) & (F.col("plan.cut.room") < F.col("plan.cut.rows")), F.lit(False))
+        rows = rows.filter(~split).unionByName(_first_repeats(materialize(rows.filter(split).withColumn("part", F.spark_partition_id()))))
+    copies = F.when(F.col("size") > 0, F.col("plan.epochs") + F.col("extra")).otherwise(0).cast("long")
+    out = {"size": F.col("size"), "source_size": F.col("plan.source_size"), "target": F.col("plan.target"), "copies": copies, "taken": F.col("size") * copies}
+    return rows.select(*unpacked(df.columns, OUTPUTS), *[c.alias(n) for n, c in out.items()])
+
+
+def _first_repeats(rows: DataFrame) -> DataFrame:
+    """Repeats of a row, written with the part they came from: `extra` is 1 for as many as there is room for. They are numbered
+    by part first, so that a row repeated very often meets in no one task."""
+    upto = F.sum("n").over(Window.partitionBy("s").orderBy("part"))
+    sizes = rows.groupBy("s", "part").agg(F.count(F.lit(1)).alias("n")).select(F.col("s").alias("of"), F.col("part").alias("p"), (upto - F.col("n")).alias("before"))
+    number = F.row_number().over(Window.partitionBy("s", "part").orderBy("tie"))
+    numbered = rows.withColumn("number", number).join(sizes, F.col("s").eqNullSafe(F.col("of")) & (F.col("part") == F.col("p")))
+    return numbered.withColumn("extra", (F.col("before") + F.col("number") <= F.col("plan.cut.room")).cast("long")).drop("part", "number", "of", "p", "before")
+
+
+def with_quality(docs: DataFrame, labels: DataFrame, *, row_key: str = "doc_id", output: str = "quality") -> DataFrame:
+    """`docs` with the mean quality label of their key, if any. Null keys have none, and are dealt by their text's hash so
+    that they do not meet in one task."""
+    mean = labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("label_id")).agg(F.avg(F.col("quality").cast("double")).alias("quality"), F.lit(0).cast("long").alias("zero"))
+    spread = F.when(col(row_key).isNull(), F.xxhash64(*[col(c) for c, kind in docs.dtypes if not kind.startswith("map")])).otherwise(F.lit(0))
+    rows = packed(docs, {"key": col(row_key), "spread": spread}).join(mean, (F.col("key") == F.col("label_id")) & (F.col("spread") == F.col("zero")), "left")
+    return rows.select(*unpacked(docs.columns, [output]), F.col("quality").alias(output))
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents, weighted by their quality labels. Null and blank texts have size 0 and are not taken; null
+    sources are one source; rows alike are taken one by one; an empty table gives no rows."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
     docs = materialize(with_quality(docs, read(spark, sf_dir, "labels")))
-    mixed = mix_sources(docs, size=F.col("words"), weight=quality_weight(F.col("__quality")))
+    mixed = mix_sources(docs, size=F.col("words"), weight=quality_weight(F.col("quality")))
     return mixed.select("doc_id", "size", "source", "source_size", "target", "copies", "taken")
 
 
 def repeat_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Each row as often as `copies` says."""
-    again = mixed.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return again.select(*[col(c) for c in columns])
+    """Columns of each row as often as `copies` says."""
+    again = mixed.filter("copies > 0").select(F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(columns)]).alias("row"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return again.select(*unpacked(columns, []))
+
+
+def number_copies(rows: DataFrame, *, row_key: str = "doc_id", text: str = "text", output: str = "copy") -> DataFrame:
+    """`rows` with a number from 1 on for rows of the same key and text."""
+    number = F.row_number().over(Window.partitionBy("key", "hash").orderBy("hash"))
+    return packed(rows, {"key": col(row_key), "hash": F.xxhash64(col(text))}).select(*unpacked(rows.columns, [output]), number.cast("long").alias(output))
 
 
 #: For DuckDB: the same keys and targets, with plain row-by-row prefix sums.
@@ -154,7 +178,7 @@ WITH quality AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END AS epochs FROM targets
 ), placed AS (
   SELECT b.*, p.source_size, p.target, p.epochs, p.target - p.epochs * p.source_size AS rest,
-    sum(b.size) OVER (PARTITION BY b.source ORDER BY b.k, b.doc_id) - b.size / 2.0 AS middle
+    sum(b.size) OVER (PARTITION BY b.source ORDER BY b.k, b.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - b.size / 2.0 AS middle
   FROM base b JOIN plan p ON b.source IS NOT DISTINCT FROM p.source
 ), counted AS (
   SELECT *, CASE WHEN size = 0 THEN 0 ELSE CAST(epochs AS BIGINT) + CASE WHEN epochs < 3 AND rest > 0 AND middle <= rest THEN 1 ELSE 0 END END AS copies FROM placed

@@ -8,12 +8,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from .common import col, read
-from .wordhash import U64, mix, powers
+from .wordhash import U64, forget, mix, powers, text_chunks
 
 #: The vocabulary, unless a caller names another; it is read on the driver and sent along.
 MODEL_PATH = os.path.join("/opt/tokenizers", "piece_bpe_32k.model")
@@ -22,10 +23,12 @@ SEED = 9
 SHARPNESS, RANK_SHIFT = 1.5, 10.0
 #: A byte of a character without a piece weighs so much as a share of the lightest piece.
 BYTE_SHARE = 0.1
-CHUNK_CHARS = 600_000
+#: Bytes of text encoded at a time; units of more characters go block by block, of so many; cells of lattices made at once, and kept.
+CHUNK_CHARS, LONG_UNIT, BLOCK_CHARS, CELLS, CACHED_CELLS = 400_000, 4096, 32_768, 300_000, 4_000_000
 #: SentencePiece's mark for a space, and a code outside Unicode that stands for the mark itself in a text.
 SPACE, OWN_MARK = 0x2581, 0x110000
 _CODES = 0x110001
+_STEP = 0xD1342543DE82EF95
 
 
 def _code_table() -> np.ndarray:
@@ -59,6 +62,8 @@ class Vocabulary:
     single_weight: np.ndarray
     byte_weight: float
     inner_space: bool  # some piece has a space after another character
+    bytes: np.ndarray | None = None  # all of raw, and where each begins: made on first use
+    cuts: np.ndarray | None = None
 
     @classmethod
     def load(cls, path: str, sharpness: float = SHARPNESS) -> Vocabulary:
@@ -100,9 +105,19 @@ class Vocabulary:
         mark = chr(SPACE)
         return cls(raw, byte_ids, keys[order], np.array([i for i, _ in pieces], np.int32)[order], weights[order], max((len(p) for _, p in pieces), default=1), single, single_id, single_weight, float(weights.min() * BYTE_SHARE) if len(weights) else 1.0, any(mark in p.lstrip(mark) for _, p in pieces))
 
+    def spell(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all pieces, one after the other, and where each piece's begin."""
+        if self.bytes is None:
+            self.bytes, self.cuts = np.frombuffer(b"".join(self.raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in self.raw])])
+        size = np.diff(self.cuts)[ids]
+        begin = np.concatenate([[0], np.cumsum(size)])
+        at = np.arange(begin[-1], dtype=np.int64)
+        at += np.repeat(self.cuts[ids] - begin[:-1], size)
+        return self.bytes[at], begin
+
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text that these pieces spell, without the space that encoding puts before it."""
-        return b"".join([self.raw[i] for i in ids])[1:].decode("utf-8", "replace")
+        return self.spell(np.asarray(ids, np.int64))[0][1:].tobytes().decode("utf-8", "replace")
 
 
 def _known(v: Vocabulary, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,15 +136,12 @@ def _known(v: Vocabulary, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids, weights
 
 
-def _lattice(v: Vocabulary, codes: np.ndarray, sums: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """For strings of n characters: by string, end and length, the id of the piece that ends there, and the running
-    probability of the lengths given that a segmentation has a boundary at that end (forward filtering)."""
-    most = min(n, v.longest)
-    m = len(starts)
+def _pieces(v: Vocabulary, codes: np.ndarray, sums: np.ndarray, down: np.ndarray, at: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For strings whose characters lie at `at` (a row each, with a last column for the place after): by string, end and
+    length, the id and weight of the piece that ends there."""
+    m, n = at.shape[0], at.shape[1] - 1
     ids = np.full((m, n + 1, most), -1, np.int32)
-    weights = np.zeros((m, n + 1, most))
-    down = powers(len(sums))[1]
-    at = starts[:, None] + np.arange(n + 1)[None, :]
+    weights = np.zeros((m, n + 1, most), np.float32)
     grid = sums[at]
     chars = codes[at[:, :-1]]
     one = v.single_id[chars]
@@ -140,11 +152,18 @@ def _lattice(v: Vocabulary, codes: np.ndarray, sums: np.ndarray, starts: np.ndar
     with np.errstate(over="ignore"):
         for k in range(2, most + 1):
             ids[:, k:, k - 1], weights[:, k:, k - 1] = _known(v, mix((grid[:, k:] - grid[:, :-k]) * down[at[:, :-k]] + U64(k)))
-    ahead = np.zeros((m, n + 1 + most))  # the chance of a boundary, `most` zeros before the string
+    return ids, weights
+
+
+def _lattice(v: Vocabulary, codes: np.ndarray, sums: np.ndarray, down: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For strings of n characters: by string, end and length, the id of the piece that ends there, and the running
+    probability of the lengths given that a segmentation has a boundary at that end (forward filtering)."""
+    most = min(n, v.longest)
+    ids, weights = _pieces(v, codes, sums, down, starts[:, None] + np.arange(n + 1)[None, :], most)
+    ahead = np.zeros((len(starts), n + 1 + most))  # the chance of a boundary, `most` zeros before the string
     ahead[:, most] = 1
     for i in range(1, n + 1):
-        part = ahead[:, i : i + most][:, ::-1] * weights[:, i]
-        run = np.cumsum(part, 1)
+        run = np.cumsum(ahead[:, i : i + most][:, ::-1] * weights[:, i], 1)
         total = run[:, -1:]
         weights[:, i] = run / total
         ahead[:, most + i] = total[:, 0]
@@ -153,129 +172,300 @@ def _lattice(v: Vocabulary, codes: np.ndarray, sums: np.ndarray, starts: np.ndar
     return ids, weights
 
 
-def _uniform(seed: np.ndarray, step: int) -> np.ndarray:
+def _cached_lattice(v: Vocabulary, codes: np.ndarray, sums: np.ndarray, down: np.ndarray, starts: np.ndarray, names: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """_lattice() for units of ascending names, with the row of each. Short units come back all the time, so the lattices of
+    the first CACHED_CELLS cells are kept until the task ends; that only saves time, as a lattice is its unit's alone."""
+    if _tables.get("of_lattices") is not v:
+        _tables["of_lattices"], _tables["lattices"], _tables["cells"] = v, {}, 0
+    held, each = _tables["lattices"], (n + 1) * min(n, v.longest)
+    keys, order, ids, chance = held.get(n) or (np.zeros(0, U64), np.zeros(0, np.int64), None, None)
+    at = np.minimum(np.searchsorted(keys, names), max(0, len(keys) - 1))
+    hit = keys[at] == names if len(keys) else np.zeros(len(names), bool)
+    row = np.empty(len(names), np.int64)
+    row[hit] = order[at[hit]]
+    miss = np.flatnonzero(~hit)
+    if len(miss):
+        new_ids, new_chance = _lattice(v, codes, sums, down, starts[miss], n)
+        row[miss] = len(keys) + np.arange(len(miss))
+        ids = new_ids if ids is None else np.concatenate([ids, new_ids])
+        chance = new_chance if chance is None else np.concatenate([chance, new_chance])
+        if _tables["cells"] + each * len(miss) <= CACHED_CELLS:
+            _tables["cells"] += each * len(miss)
+            keys, order = np.concatenate([keys, names[miss]]), np.concatenate([order, row[miss]])
+            by_key = np.argsort(keys)
+            held[n] = (keys[by_key], order[by_key], ids, chance)
+    return ids, chance, row
+
+
+def _uniform(seed: np.ndarray, step: int | np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return (mix(seed + U64((step * 0xD1342543DE82EF95 + 1) % 2**64)) >> U64(11)) * 2.0**-53
-
-
-def encode(v: Vocabulary, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Piece ids of all texts, one after the other, and where each text's begin. One segmentation of each text is drawn with
-    the chance that its pieces' weights give it; the draw depends on the text and its seed alone.
-
-    No piece spans the end of a unit (before a space, or around a character that stands in no longer piece), so units are
-    drawn independently; equal units of a chunk share one lattice.
-    """
-    marked = any(chr(SPACE) in t for t in texts)
-    joined = [chr(SPACE) + t.replace(" ", chr(SPACE)) if t else "" for t in texts]
-    if marked:  # rare: a text holds the mark itself, which no piece may stand for
-        own = [np.array([OWN_MARK if c == chr(SPACE) else SPACE if c == " " else ord(c) for c in " " + t], np.uint32) if t else np.zeros(0, np.uint32) for t in texts]
-        codes, sizes = np.concatenate(own) if own else np.zeros(0, np.uint32), [len(x) for x in own]
-    else:
-        codes, sizes = np.frombuffer("".join(joined).encode("utf-32-le", "surrogatepass"), np.uint32), [len(t) for t in joined]
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    if not len(codes):
-        return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        step = step.astype(U64) * U64(_STEP) + U64(1) if isinstance(step, np.ndarray) else U64((step * _STEP + 1) % 2**64)
+        return (mix(seed + step) >> U64(11)) * 2.0**-53
+
+
+def _long_unit(v: Vocabulary, codes: np.ndarray, seed: U64) -> np.ndarray:
+    """Pieces of one long unit, negative for characters without one. Forward sums are kept at the blocks' ends only; the
+    blocks' lattices are made again from the last one backwards, so memory is a block's whatever the unit's length."""
+    most, n = v.longest, len(codes)
+
+    def block(first: int, last: int, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and weights of the pieces ending in (first, last], and the forward sums up to there, from those of the `most` places up to first."""
+        lo = max(0, first - most)
+        part = codes[lo:last]
+        ids, weights = _pieces(v, part, _sums(part), powers(len(part) + 1)[1], np.arange(len(part) + 1)[None, :], most)
+        ids, weights = ids[0, first - lo + 1 :], weights[0, first - lo + 1 :, ::-1].astype(np.float64)
+        sums = np.concatenate([ahead, np.zeros(last - first)])  # sums[most + i] is that of first + 1 + i
+        for i in range(last - first):
+            sums[most + i] = total = sums[i : i + most] @ weights[i]
+            if i % 8 == 7:
+                sums[i + 1 : i + most + 1] /= total
+        return ids, weights, sums
+
+    ahead = np.zeros(most)
+    ahead[-1] = 1
+    edges, begins = [*range(0, n, BLOCK_CHARS), n], [ahead]
+    for first, last in zip(edges[:-2], edges[1:-1], strict=True):
+        begins.append(block(first, last, begins[-1])[2][-most:])
+    end, turn, out = n, 0, []
+    for k in reversed(range(len(begins))):
+        ids, weights, sums = block(edges[k], edges[k + 1], begins[k])
+        lots, began = _uniform(seed, turn + np.arange(edges[k + 1] - edges[k])), turn
+        run = np.cumsum((np.lib.stride_tricks.sliding_window_view(sums, most)[: len(weights)] * weights)[:, ::-1], 1)
+        while end > edges[k]:
+            i = end - edges[k] - 1
+            size = min(int(np.searchsorted(run[i], run[i, -1] * lots[turn - began], "right")), most - 1)
+            out.append(ids[i, size])
+            end, turn = end - size - 1, turn + 1
+    return np.array(out[::-1], np.int32)
+
+
+def _spelt(v: Vocabulary, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces with the byte pieces of the characters that have none (negative in flat), and where each of flat begins."""
+    width = np.ones(len(flat), np.int64)
+    odd = np.flatnonzero(flat < 0)
+    if not len(odd):
+        return flat, np.arange(len(flat) + 1)
+    kinds, which = np.unique(-2 - flat[odd].astype(np.int64), return_inverse=True)
+    spelt = [v.byte_ids[np.frombuffer((chr(SPACE) if c == OWN_MARK else chr(c)).encode("utf-8", "surrogatepass"), np.uint8)] for c in kinds.tolist()]
+    sizes = np.array([len(s) for s in spelt])
+    width[odd] = sizes[which]
+    place = np.concatenate([[0], np.cumsum(width)])
+    out = np.repeat(flat, width)
+    for k, s in enumerate(spelt):
+        at = place[odd[which == k]]
+        for i, b in enumerate(s):
+            out[at + i] = b
+    return out, place
+
+
+def _opens(v: Vocabulary, codes: np.ndarray, before: int | None) -> np.ndarray:
+    """Where units begin, given the character before (None: the text begins here)."""
     alone = v.single[codes]
-    opens = np.zeros(len(codes), bool)
-    opens[1:] = alone[1:] | alone[:-1]
+    out = np.zeros(len(codes), bool)
+    out[1:] = alone[1:] | alone[:-1]
+    space = codes == SPACE
     if not v.inner_space:
-        opens[1:] |= (codes[1:] == SPACE) & (codes[:-1] != SPACE)
-    opens[offsets[:-1][offsets[:-1] < len(codes)]] = True
-    starts = np.flatnonzero(opens)
+        out[1:] |= space[1:] & ~space[:-1]
+    out[0] = before is None or bool(alone[0] or v.single[before] or (not v.inner_space and space[0] and before != SPACE))
+    return out
+
+
+def _encode_units(v: Vocabulary, codes: np.ndarray, starts: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of the units of some characters (negative for characters without one), and where each unit's begin. Equal units share one lattice."""
     length = np.diff(np.append(starts, len(codes)))
-    first = np.searchsorted(starts, offsets)  # units of text r: first[r] to first[r + 1]
-    doc = np.repeat(np.arange(len(texts)), np.diff(first))
+    sums, (_, down) = _sums(codes), powers(len(codes) + 1)
     with np.errstate(over="ignore"):
-        order = (np.arange(len(starts)) - first[doc]).astype(U64)
-        seed = mix(seeds[doc] + order * U64(0x9E3779B97F4A7C15))
-        sums = _sums(codes)
-        name = mix((sums[starts + length] - sums[starts]) * powers(len(sums))[1][starts] + length.astype(U64))
-    count, drawn = np.zeros(len(starts), np.int64), []
-    by_length = np.argsort(length, kind="stable")
-    cuts = np.searchsorted(length[by_length], np.arange(1, length.max() + 2)) if length.max() < 4096 else None
-    for n in np.unique(length):
-        units = by_length[cuts[n - 1] : cuts[n]] if cuts is not None else np.flatnonzero(length == n)
-        _, at, kind = np.unique(name[units], return_index=True, return_inverse=True)
-        step = max(1, 400_000 // int(n * min(n, v.longest)))
-        by_kind = np.argsort(kind, kind="stable")
-        bounds = np.searchsorted(kind[by_kind], np.arange(0, len(at) + step, step))
-        for k in range(0, len(at), step):
-            ids, chance = _lattice(v, codes, sums, starts[units[at[k : k + step]]], int(n))
-            chosen = by_kind[bounds[k // step] : bounds[k // step + 1]]
-            which, row = units[chosen], kind[chosen] - k
-            end, turn = np.full(len(which), n, np.int64), 0
-            while len(which):
-                lots = chance[row, end]
-                size = np.minimum((lots <= _uniform(seed[which], turn)[:, None]).sum(1), lots.shape[1] - 1)
-                drawn.append((which, turn, ids[row, end, size]))
-                count[which] += 1
-                end = end - size - 1
-                left = end > 0
-                which, row, end, turn = which[left], row[left], end[left], turn + 1
+        name = mix((sums[starts + length] - sums[starts]) * down[starts] + length.astype(U64))
+    count, drawn, whole = np.zeros(len(starts), np.int64), [], []
+    by_name = np.lexsort((name, length))
+    new = np.ones(len(starts), bool)
+    new[1:] = (name[by_name][1:] != name[by_name][:-1]) | (length[by_name][1:] != length[by_name][:-1])
+    kind_of, heads = np.cumsum(new) - 1, np.flatnonzero(new)  # kinds are in order of length
+    kind_length = length[by_name[heads]]
+    bounds = np.append(heads, len(starts))
+    lo = 0
+    while lo < len(heads):
+        n = int(kind_length[lo])
+        most = min(n, v.longest)
+        if n > LONG_UNIT:
+            for u in by_name[bounds[lo] :]:
+                whole.append((u, _long_unit(v, codes[starts[u] : starts[u] + length[u]], seed[u])))
+                count[u] = len(whole[-1][1])
+            break
+        hi = min(int(np.searchsorted(kind_length, n, "right")), lo + max(1, CELLS // (n * most)))
+        units = by_name[heads[lo:hi]]
+        ids, chance, row = _cached_lattice(v, codes, sums, down, starts[units], name[units], n)
+        which = by_name[bounds[lo] : bounds[hi]]
+        row, end, turn = row[kind_of[bounds[lo] : bounds[hi]] - lo], np.full(len(which), n, np.int64), 0
+        while len(which):
+            lots = _uniform(seed[which], turn).astype(np.float32)
+            size, open_ = np.zeros(len(which), np.int64), np.arange(len(which))
+            for k in range(most - 1):  # long pieces are rare: look on only where the lot lies beyond
+                open_ = open_[chance[row[open_], end[open_], k] <= lots[open_]]
+                if not len(open_):
+                    break
+                size[open_] += 1
+            size = np.minimum(size, end - 1)
+            drawn.append((which, turn, ids[row, end, size]))
+            count[which] += 1
+            end = end - size - 1
+            left = end > 0
+            which, row, end, turn = which[left], row[left], end[left], turn + 1
+        lo = hi
     begin = np.concatenate([[0], np.cumsum(count)])
     flat = np.empty(begin[-1], np.int32)
     for which, turn, ids in drawn:
         flat[begin[which] + count[which] - 1 - turn] = ids
-    cut = begin[first]
-    if (flat < 0).any():  # characters without a piece, beyond ASCII: their bytes
-        odd = np.flatnonzero(flat < 0)
-        spelt = [v.byte_ids[np.frombuffer((chr(SPACE) if c == OWN_MARK else chr(c)).encode("utf-8", "surrogatepass"), np.uint8)] for c in (-2 - flat[odd]).tolist()]
-        width = np.ones(len(flat), np.int64)
-        width[odd] = [len(s) for s in spelt]
-        place = np.concatenate([[0], np.cumsum(width)])
-        out = np.repeat(flat, width)
-        for i, s in zip(odd, spelt, strict=True):
-            out[place[i] : place[i] + len(s)] = s
-        flat, cut = out, place[cut]
-    return flat, cut
-
-
-def add_pieces(df: DataFrame, vocabulary: Vocabulary, *, text: str = "text", row_key: str = "doc_id", seed: int = SEED, keep: list[str], output: str = "ids") -> DataFrame:
-    """Columns `keep` with `ids`: a sampled segmentation of each whole text (null for null, empty for empty). It depends on
-    text, row key and seed alone, not on partitions, so reruns and lost executors give the same ids."""
-    keep = [c for c in keep if c.lower() != output.lower()]
+    for u, ids in whole:
+        flat[begin[u] : begin[u + 1]] = ids
+    return flat, begin
+
+
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of rows of UTF-8, spaces as the mark and a mark before each row that is not empty; and where rows begin."""
+    codes = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    full = np.flatnonzero(np.diff(before))
+    out = np.empty(len(codes) + len(full), np.uint32)
+    added = np.concatenate([[0], np.cumsum(np.diff(before) > 0)])
+    body = np.ones(len(out), bool)
+    body[before[full] + np.arange(len(full))] = False
+    out[~body] = SPACE
+    out[body] = np.where(codes == 0x20, SPACE, np.where(codes == SPACE, OWN_MARK, codes))
+    return out, before + added
+
+
+def encode_bytes(v: Vocabulary, data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of all rows of UTF-8, one after the other, and where each row's begin. One segmentation of each text is drawn
+    with the chance that its pieces' weights give it; the draw depends on the text and its seed alone.
+
+    No piece spans the end of a unit (before a space, or around a character that stands in no longer piece), so units are
+    drawn independently. Rows longer than CHUNK_CHARS go in runs of whole units, and units over LONG_UNIT in blocks.
+    """
+    codes, at = characters(data, offsets)
+    if len(at) == 2 and len(codes) > CHUNK_CHARS:
+        flat = np.concatenate(list(_long_text(v, codes, seeds[0])))
+        return flat, np.array([0, len(flat)])
+    if not len(codes):
+        return np.zeros(0, np.int32), np.zeros(len(at), np.int64)
+    opens = _opens(v, codes, None)
+    opens[at[:-1][at[:-1] < len(codes)]] = True
+    starts = np.flatnonzero(opens)
+    first = np.searchsorted(starts, at)  # units of row r: first[r] to first[r + 1]
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(first))
+    flat, begin = _encode_units(v, codes, starts, _unit_seeds(seeds[doc], np.arange(len(starts)) - first[doc]))
+    flat, place = _spelt(v, flat)
+    return flat, place[begin[first]]
+
+
+def _unit_seeds(seed: np.ndarray, number: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(seed + number.astype(U64) * U64(0x9E3779B97F4A7C15))
+
+
+def _long_text(v: Vocabulary, codes: np.ndarray, seed: U64) -> Iterator[np.ndarray]:
+    lo = number = 0
+    while lo < len(codes):
+        before = int(codes[lo - 1]) if lo else None
+        opens = np.flatnonzero(_opens(v, codes[lo : lo + CHUNK_CHARS], before))
+        if len(codes) - lo <= CHUNK_CHARS:
+            hi = len(codes)
+        elif len(opens) > 1:
+            hi, opens = lo + int(opens[-1]), opens[:-1]
+        else:  # one unit of CHUNK_CHARS at least
+            hi = lo + CHUNK_CHARS
+            while hi < len(codes):
+                more = np.flatnonzero(_opens(v, codes[hi : hi + CHUNK_CHARS], int(codes[hi - 1])))
+                hi = hi + int(more[0]) if len(more) else min(len(codes), hi + CHUNK_CHARS)
+                if len(more):
+                    break
+            yield _spelt(v, _long_unit(v, codes[lo:hi], _unit_seeds(np.array([seed], U64), np.array([number]))[0]))[0]
+            lo, number = hi, number + 1
+            continue
+        seeds = _unit_seeds(np.full(len(opens), seed, U64), number + np.arange(len(opens)))
+        yield _spelt(v, _encode_units(v, codes[lo:hi], opens, seeds)[0])[0]
+        lo, number = hi, number + len(opens)
+
+
+def encode(v: Vocabulary, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """encode_bytes() of strings."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    return encode_bytes(v, np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64), seeds)
+
+
+def same_text(v: Vocabulary, flat: np.ndarray, cut: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which rows of UTF-8 their pieces spell byte for byte, by decoding all of them."""
+    spelt, begin = v.spell(flat)
+    begin, size = begin[cut], np.diff(offsets)
+    out = np.diff(begin) == size + (size > 0)
+    good = np.flatnonzero(out & (size > 0))
+    for r in good:  # a row's comparison is one pass over its bytes
+        out[r] = spelt[begin[r]] == 0x20 and np.array_equal(spelt[begin[r] + 1 : begin[r + 1]], data[offsets[r] : offsets[r + 1]])
+    return out
+
+
+def add_pieces(df: DataFrame, vocabulary: Vocabulary, *, text: str = "text", row_key: str | list[str] = "doc_id", seed: int = SEED, keep: list[str], output: str = "ids", verified: str | None = None) -> DataFrame:
+    """Columns `keep` with `ids`: a sampled segmentation of each whole text (null for null, empty for empty), and `verified`
+    on demand: whether the ids decode to the very text (true for null).
+
+    A draw depends on text, row key and seed alone, not on partitions, so reruns and lost executors give the same ids. Rows
+    repeated in key and text get the same ids: give copies numbers of their own and name both columns as the key. Null keys
+    are a key like others. An empty table gives an empty result. Columns of `keep` named as an output are replaced.
+    """
+    outputs = [output, *([verified] if verified else [])]
+    keep = [c for c in keep if c.lower() not in {x.lower() for x in outputs}]
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)  # the vocabulary's size, whatever the data's
+    kept = [next(f for f in df.schema.fields if f.name == c) for c in keep]
+    schema = StructType([*kept, StructField(output, ArrayType(IntegerType())), *([StructField(verified, BooleanType())] if verified else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, at = shared.value, len(keep)
         for batch in batches:
-            texts, keys, lo = batch.column("__text").to_pylist(), batch.column("__seed").to_numpy(), 0
-            while lo < len(texts):
-                hi, size = lo + 1, len(texts[lo] or "")
-                while hi < len(texts) and size + len(texts[hi] or "") <= CHUNK_CHARS:
-                    size, hi = size + len(texts[hi] or ""), hi + 1
-                flat, cut = encode(shared.value, [t or "" for t in texts[lo:hi]], keys[lo:hi].view(U64))
-                ids = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array([t is None for t in texts[lo:hi]]))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(lo, hi - lo) for c in keep], ids], names=[*keep, output])
-                lo = hi
-
-    kept = [next(f for f in df.schema.fields if f.name == c) for c in keep]
-    schema = StructType([*kept, StructField(output, ArrayType(IntegerType()))])
-    return df.select(*[col(c) for c in keep], col(text).alias("__text"), F.xxhash64(F.lit(seed), col(row_key)).alias("__seed")).mapInArrow(run, schema)
+            keys = batch.column(at + 1).to_numpy().view(U64)
+            for lo, hi, data, offsets in text_chunks(batch.column(at), CHUNK_CHARS):
+                flat, cut = encode_bytes(v, data, offsets, keys[lo:hi])
+                part = batch.slice(lo, hi - lo)
+                null = pc.is_null(part.column(at))
+                cells = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat, pa.int32()), mask=null)]
+                if verified:
+                    cells.append(pc.or_(null, pa.array(same_text(v, flat, cut, data, offsets))))
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(at)], *cells], names=[f.name for f in schema.fields])
+                del flat, cut, data, offsets, part, cells
+        _tables.pop("lattices", None)
+        _tables.pop("of_lattices", None)
+        forget()
+
+    keys = [row_key] if isinstance(row_key, str) else row_key
+    return df.select(*[col(c) for c in keep], col(text).alias("text"), F.xxhash64(F.lit(seed), *[col(k) for k in keys]).alias("seed")).mapInArrow(run, schema)
 
 
 def add_text(df: DataFrame, vocabulary: Vocabulary, *, ids: str = "ids", keep: list[str], output: str = "decoded") -> DataFrame:
-    """Columns `keep` with `decoded`: the text that the ids spell (null for null)."""
+    """Columns `keep` with `decoded`: the text that the ids spell (null for null, empty for none)."""
     keep = [c for c in keep if c.lower() != output.lower()]
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    kept = [next(f for f in df.schema.fields if f.name == c) for c in keep]
+    schema = StructType([*kept, StructField(output, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 500):
-                part = batch.slice(lo, 500)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array([None if x is None else shared.value.decode(x) for x in part.column("__ids").to_pylist()], pa.string())], names=[*keep, output])
+            for lo in range(0, len(batch), 100):
+                part = batch.slice(lo, 100)
+                lists = part.column(len(keep))
+                texts = [None if not x.is_valid else shared.value.decode(x.values.to_numpy()) for x in lists]
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(keep))], pa.array(texts, pa.string())], names=[f.name for f in schema.fields])
 
-    kept = [next(f for f in df.schema.fields if f.name == c) for c in keep]
-    return df.select(*[col(c) for c in keep], col(ids).alias("__ids")).mapInArrow(run, StructType([*kept, StructField(output, StringType())]))
+    return df.select(*[col(c) for c in keep], col(ids).alias("ids")).mapInArrow(run, schema)
 
 
-def encode_documents(docs: DataFrame, path: str = MODEL_PATH) -> DataFrame:
-    """doc_id, n_bytes, n_pieces, ids and whether the ids decode to the very text; null texts have no ids and count as 0 pieces."""
-    vocabulary = Vocabulary.load(path)
-    rows = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2("text", 256).alias("digest"))
-    spelt = add_pieces(rows, vocabulary, keep=["doc_id", "n_bytes", "digest"])
-    back = add_text(spelt, vocabulary, keep=["doc_id", "n_bytes", "digest", "ids"])
-    return back.select("doc_id", "n_bytes", F.coalesce(F.array_size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).eqNullSafe(F.col("digest")).alias("lossless"))
+def encode_documents(docs: DataFrame, path: str = MODEL_PATH, copy: str | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_pieces, ids and whether the ids decode to the very text; null texts have no ids and count as 0
+    pieces. `copy`: a column that numbers copies of a document, each of which then gets a draw of its own."""
+    rows = docs.select("doc_id", "text", *([copy] if copy else []), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    spelt = add_pieces(rows, Vocabulary.load(path), row_key=["doc_id", copy] if copy else "doc_id", keep=["doc_id", "n_bytes"], verified="lossless")
+    return spelt.select("doc_id", "n_bytes", F.coalesce(F.array_size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids", "lossless")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of documents as sampled pieces. Null text: no ids, 0 pieces, lossless; empty text: an empty list;
+    rows of equal key and text agree."""
     return encode_documents(read(spark, sf_dir, "documents"))

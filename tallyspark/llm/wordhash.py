@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text that are worked on at a time; one longer text is worked on alone.
@@ -51,6 +55,26 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _cache["up"][:n], _cache["down"][:n]
 
 
+def forget() -> None:
+    """For the end of a task: gives back what an idle worker would go on holding, as workers outlive stages."""
+    _cache.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def runs(batch: pa.RecordBatch, column: int, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about `limit` bytes of a text column: one longer text is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        before = ends[lo] - sizes[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def text_chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, UTF-8 bytes, offsets into them) for runs of rows of about `limit` bytes; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

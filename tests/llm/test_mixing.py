@@ -62,9 +62,32 @@ def test_empty_and_blank(none, spark):
     assert [(r.size, r.target, r.copies) for r in M.mix_sources(blank).orderBy("doc_id").collect()] == [(0, 0.0, 0), (0, 0.0, 0)]
 
 
-def test_letter_weight(spark):
-    got = spark.createDataFrame([("abc d",), ("1234",), (None,), ("",)], "t string").select(M.letter_weight(F.col("t"))).collect()
-    assert [r[0] for r in got] == [2.0, 0.5, 1.0, 1.0]
+def test_repeated_rows_are_taken_one_by_one(spark):
+    """A source of 50 rows of ten words and one row 2,000 times over still comes within half a row of its target."""
+    rows = [(i, "a", "w " * 10) for i in range(50)] + [(99, "a", "w " * 10)] * 2000 + [(1000 + i, "b", "v " * 30) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    got = M.mix_sources(df).collect()
+    assert len(got) == len(rows)
+    for s in "ab":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r["size"] for r in own) / 2 + 1e-6
+    spread = {r.copies for r in got if r.doc_id == 99}
+    assert len(spread) <= 2 and all(r.taken <= 3 * r["size"] for r in got)
+
+
+def test_clashing_names_survive(spark):
+    names = ["doc_id", "text", "source", "__size", "key", "a.b", "row", "plan"]
+    df = spark.createDataFrame([(1, "x y", "s", 7, 8, 9, 10, 11), (2, "z", "t", 17, 18, 19, 20, 21)], names)
+    got = M.mix_sources(df)
+    assert got.columns == [*names, *M.OUTPUTS]
+    assert sorted(tuple(r)[3:8] for r in got.collect()) == [(7, 8, 9, 10, 11), (17, 18, 19, 20, 21)]
+
+
+def test_copies_are_numbered_and_quality_is_joined(spark):
+    df = spark.createDataFrame([(1, "x"), (1, "x"), (1, "y"), (None, "x"), (None, "x")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.text, r.copy) for r in M.number_copies(df).collect()) == [("1", "x", 1), ("1", "x", 2), ("1", "y", 1), ("None", "x", 1), ("None", "x", 2)]
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1)], "doc_id long, quality int")
+    assert {(r.doc_id, r.quality) for r in M.with_quality(df, labels).collect()} == {(1, 0.5), (None, None)}
 
 
 def test_plan_stays_in_the_jvm(docs, capsys):

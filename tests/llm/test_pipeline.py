@@ -7,9 +7,14 @@ from tallyspark.llm.common import materialize
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def rated(spark, folder):
+    spark.createDataFrame([(i, i % 2, 0) for i in range(0, 60, 3)] + [(None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+
+
 def test_stages_and_run_agree(spark, docs, tmp_path):
     table = docs.select(*COLUMNS)
     path = str(tmp_path / "documents.parquet")
+    rated(spark, tmp_path)
     table.write.parquet(path)
     step = spark.read.parquet(path)
     for name, stage in C.STAGES:
@@ -33,6 +38,7 @@ def test_stages_and_run_agree(spark, docs, tmp_path):
 
 def test_empty_table(spark, none, tmp_path):
     none.select(*COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
+    rated(spark, tmp_path)
     assert C.run(spark, str(tmp_path)).collect() == []
 
 
