@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import materialize, read, ship
 from tallyspark.llm.langid import UNKNOWN, learned, predict
 from tallyspark.llm.lines import dedup_lines
-from tallyspark.llm.mixing import letter_weight, mix_sources, repeat_rows
+from tallyspark.llm.mixing import mix_sources, number_copies, quality_weight, repeat_rows, with_quality
 from tallyspark.llm.neardup import keep_one, near_duplicates
 from tallyspark.llm.pieces import encode_documents
 
@@ -51,14 +51,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; texts of more letters and spaces are likelier to be drawn."""
-    return repeat_rows(mix_sources(docs, weight=letter_weight(F.col("text"))), docs.columns)
+    """Documents as often as the mix takes them; documents labelled as good are likelier to be drawn. Rows without words are
+    never taken; null sources are one source; an empty table stays empty."""
+    rated = with_quality(docs, read(spark, sf_dir, "labels"), output="__quality")
+    return repeat_rows(mix_sources(rated, weight=quality_weight(F.col("__quality"))), docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed documents as piece ids."""
+    """The mixed documents as piece ids. Copies of a document (rows of the same key and text) are numbered and each is drawn
+    anew, so that later epochs see other segmentations. Null texts have no ids, empty ones an empty list."""
     ship(spark)
-    return encode_documents(docs)
+    return encode_documents(number_copies(docs), copy="copy")
 
 
 STAGES = [("language_id", identify_language), ("line_dedup", drop_boilerplate), ("near_dedup", drop_near_duplicates), ("mix_sources", mix), ("sentencepiece", encode)]
