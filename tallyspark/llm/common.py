@@ -53,6 +53,26 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
+#: Keys of over HOT_ROWS rows are dealt to several tasks, HOT_TASKS at most, but for those beyond the commonest HOT_KEYS, which
+#: have at most a HOT_KEYS-th of all rows each.
+HOT_ROWS, HOT_TASKS, HOT_KEYS = 300, 500, 10_000
+
+
+def join_dealt(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """`left` joined by `key` with `right`, which has one row a key. Rows of a key that is common in `left` go to several tasks,
+    and its row of `right` to each of these. Null keys join nothing. `counts`: (hot, n), rows of `left` by key, where known."""
+    counts = left.groupBy(F.col(key).alias("hot")).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    hot = counts.filter((F.col("n") > HOT_ROWS) & F.col("hot").isNotNull()).orderBy(F.desc("n"), "hot").limit(HOT_KEYS).collect()  # HOT_KEYS rows at most
+    if not hot:
+        return left.join(right, key, how)
+    tasks = [(r.hot, min(HOT_TASKS, -(-r.n // HOT_ROWS))) for r in hot]
+    several = F.broadcast(left.sparkSession.createDataFrame(tasks, f"hot {left.schema[key].dataType.simpleString()}, tasks int"))
+    own = F.when(F.col("tasks").isNull(), 0).otherwise(F.pmod(F.xxhash64(*[F.col(c) for c, kind in left.dtypes if c != key and not kind.startswith("map")]), F.col("tasks"))).cast("int")
+    a = left.join(several, F.col(key) == F.col("hot"), "left").withColumn("task", own).drop("hot", "tasks")
+    b = right.join(several, F.col(key) == F.col("hot"), "left").withColumn("task", F.explode(F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1))).drop("hot", "tasks")
+    return a.join(b, [key, "task"], how).drop("task")
+
+
 def packed(df: DataFrame, own: dict[str, Column]) -> DataFrame:
     """All columns of `df` as one struct, `row`, beside an operator's own: whatever a table's columns are called, they clash with nothing."""
     return df.select(F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(df.columns)], F.lit(0).alias("none")).alias("row"), *[c.alias(n) for n, c in own.items()])
@@ -64,6 +84,11 @@ def unpacked(names: list[str], but: list[str]) -> list[Column]:
     return [F.col(f"row.c{i}").alias(c) for i, c in enumerate(names) if c.lower() not in lower]
 
 
+def numbered(names: list[str]) -> list[Column]:
+    """Columns on their way to a Python function, which finds them by place: their names there clash with nothing."""
+    return [col(c).alias(f"c{i}") for i, c in enumerate(names)]
+
+
 def col(name: str) -> Column:
     """A column by its exact name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")

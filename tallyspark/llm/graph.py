@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_dealt, materialize
 
 
 def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(a, b) links to (node, component): the smallest node that can be reached, for every node with a link.
 
     Labels spread along links by minimum and then jump to their label's label, until none changes; each round is written
-    out, so plans stay short. Minima are summed map-side and every join has one row per node on one side, so a node with
-    very many links is not gathered in one task.
+    out, so plans stay short. Minima are summed map-side, and joins deal the links of a hub, and the members of a large
+    component, to several tasks (see join_dealt), so neither is gathered in one. An empty table gives an empty result.
     """
     both = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
     for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        closer = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        roots = labels.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        jumped = materialize(closer.join(roots, "component").select("node", "was", F.least("component", "root").alias("component")))
+        near = join_dealt(both, labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        closer = materialize(labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component")))
+        roots = labels.select(F.col("node").alias("component"), F.col("component").alias("root")).filter("component <> root")
+        jumped = materialize(join_dealt(closer, roots, "component", "left").select("node", "was", F.least("component", "root").alias("component")))
         labels = jumped.select("node", "component")
         if jumped.filter("was <> component").isEmpty():
             break

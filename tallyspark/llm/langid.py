@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import col, read
+from .common import col, numbered, read
 from .wordhash import U64, forget, mix, powers, runs
 
 UNKNOWN = "und"
@@ -245,7 +245,7 @@ def predict(df: DataFrame, model: Model, *, text: str = "text", keep: list[str]
         forget()
 
     schema = StructType([*[next(f for f in df.schema.fields if f.name == c) for c in keep], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return df.select(*[col(c) for c in keep], *([] if source < len(keep) else [col(text)])).mapInArrow(run, schema)
+    return df.select(*numbered(keep), *([] if source < len(keep) else [col(text).alias("text")])).mapInArrow(run, schema)
 
 
 def fold(key: Column, folds: int) -> Column:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import col, read
+from .common import col, numbered, read
 
 #: Fixed values of the PNG format: signature, and samples a pixel by colour type.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -154,7 +154,7 @@ def store_text(text: str | None) -> bytes:
     return encode_png(np.frombuffer(payload, np.uint8).reshape(-1, WIDTH * wide) if rows % wide == 0 else np.frombuffer(payload, np.uint8).reshape(1, -1))
 
 
-def _parts(batches: Iterator[pa.RecordBatch], size_of: str) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch], size_of: int) -> Iterator[pa.RecordBatch]:
     """Slices of batches, so that results of long rows leave in small numbers."""
     for batch in batches:
         lo = size = 0
@@ -171,13 +171,13 @@ def add_media(df: DataFrame, *, text: str = "text", keep: list[str]) -> DataFram
     keep = [c for c in keep if c.lower() not in ("n_bytes", "media")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches, "__text"):
-            texts = part.column("__text").to_pylist()
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array([store_text(t) for t in texts], pa.binary())], names=[*keep, "n_bytes", "media"])
+        for part in _parts(batches, len(keep)):
+            texts = part.column(len(keep)).to_pylist()
+            yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(keep))], pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array([store_text(t) for t in texts], pa.binary())], names=[*keep, "n_bytes", "media"])
 
     kept = [next(f for f in df.schema.fields if f.name == c) for c in keep]
     schema = StructType([*kept, StructField("n_bytes", LongType()), StructField("media", BinaryType())])
-    return df.select(*[col(c) for c in keep], col(text).alias("__text")).mapInArrow(run, schema)
+    return df.select(*numbered(keep), col(text).alias("text")).mapInArrow(run, schema)
 
 
 def media_features(df: DataFrame, *, media: str = "media", keep: list[str]) -> DataFrame:
@@ -203,14 +203,14 @@ def media_features(df: DataFrame, *, media: str = "media", keep: list[str]) -> D
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches, "__media"):
-            found = [one(x) for x in part.column("__media").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *[pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)]], names=[*keep, *names])
+        for part in _parts(batches, len(keep)):
+            found = [one(x) for x in part.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(keep))], *[pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)]], names=[*keep, *names])
 
     kept = [next(f for f in df.schema.fields if f.name == c) for c in keep]
     types = [LongType(), StringType(), LongType(), LongType(), StringType(), BinaryType(), StringType()]
     schema = StructType([*kept, *[StructField(n, t) for n, t in zip(names, types, strict=True)]])
-    return df.select(*[col(c) for c in keep], col(media).alias("__media")).mapInArrow(run, schema)
+    return df.select(*numbered(keep), col(media).alias("media")).mapInArrow(run, schema)
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, materialize, read, release
+from .common import col, join_dealt, materialize, packed, read, release, unpacked
 from .graph import components
-from .wordhash import U64, find_words, mix, text_chunks, word_hashes
+from .wordhash import U64, find_words, forget, mix, text_chunks, word_hashes
 
 BANDS, ROWS = 30, 5
 SAMPLES = BANDS * ROWS
@@ -59,7 +59,7 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             hashes, begin = shingle_hashes(data, offsets, width)
             sets = [np.unique(hashes[begin[r] : begin[r + 1]]) for r in range(hi - lo)]
             sizes = np.array([len(s) for s in sets])
-            node = np.array([int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets], np.int64)
+            digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
             full = np.flatnonzero(sizes)
             bands, sketch = [None] * len(sets), [None] * len(sets)
             if len(full):
@@ -80,9 +80,11 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
                     bands[r], sketch[r] = key[i].view(np.int64), odd[i]
             part = batch.slice(lo, hi - lo)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("text_key"), pa.array(node), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
-                names=["doc_id", "text_key", "node", "n_shingles", "bands", "sketch"],
+                [part.column("doc_id"), part.column("text_key"), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
+                names=["doc_id", "text_key", "node", "twin", "n_shingles", "bands", "sketch"],
             )
+            del data, hashes, sets, bands, sketch
+    forget()
 
 
 @functools.lru_cache(maxsize=4)
@@ -104,6 +106,7 @@ def _verify(batches: Iterator[pa.RecordBatch], width: int, over: int, under: int
             keep.append(_alike(p, q, over, under))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
     shingle_set.cache_clear()  # the worker may stay idle, and sets of long texts are large
+    forget()
 
 
 def _differing(x: str, y: str) -> Column:
@@ -111,6 +114,22 @@ def _differing(x: str, y: str) -> Column:
     return functools.reduce(lambda p, q: p + q, [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(SKETCH_BITS // 64)])
 
 
+def _near_in_block(key: tuple, rows) -> object:
+    """Of the members in one block of a bucket, or in two, those whose sketch is close to that of another component's member."""
+    import pandas as pd
+
+    _, i, j = key
+    sketches, chunk = np.array(rows.sketch.tolist(), np.int64).view(U64), rows.chunk.to_numpy()
+    _, root = np.unique(rows.component.to_numpy(), return_inverse=True)
+    near, right = np.zeros(len(rows), bool), np.flatnonzero(chunk == j)
+    for p in np.flatnonzero(chunk == i):
+        others = right[root[right] != root[p]]
+        others = others[np.bitwise_count(sketches[others] ^ sketches[p]).sum(1) <= MOST_DIFFERING]
+        near[others] = True
+        near[p] |= len(others) > 0
+    return pd.DataFrame({"band": rows.band[near], "node": rows.node[near]})
+
+
 def _cross(key: tuple, rows, width: int, over: int, under: int) -> object:
     """Links between different components in one block of a bucket, or between two blocks: sketches first, then full sets.
     A pair is only looked at in the first band that it shares, and not once links found here connect it."""
@@ -119,7 +138,7 @@ def _cross(key: tuple, rows, width: int, over: int, under: int) -> object:
     band, i, j = key
     bands, sketches = (np.array(rows[c].tolist(), np.int64) for c in ("bands", "sketch"))
     sketches, chunk, ids = sketches.view(U64), rows.chunk.to_numpy(), rows.node.to_numpy()
-    codes, root = np.unique(rows.component.to_numpy(), return_inverse=True)
+    _, root = np.unique(rows.component.to_numpy(), return_inverse=True)
     place = (bands == band).argmax(1)
     texts, sets, found = rows.text.tolist(), {}, []
 
@@ -150,10 +169,11 @@ class _Verifier:
     def links(self, pairs: DataFrame) -> DataFrame:
         """Of (a, b), those that are links. Sketches first, then texts."""
         of = lambda side: self.nodes.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}"))
-        near = materialize(pairs.distinct().join(of("a"), "a").join(of("b"), "b").filter(_differing("sketch_a", "sketch_b") <= MOST_DIFFERING).select("a", "b"))
+        near = join_dealt(join_dealt(pairs.distinct(), of("a"), "a"), of("b"), "b")
+        near = materialize(near.filter(_differing("sketch_a", "sketch_b") <= MOST_DIFFERING).select("a", "b"))
         text = lambda side: self.texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
         width, over, under = self.rule
-        both = near.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b")
+        both = join_dealt(join_dealt(near, text("b"), "b"), text("a"), "a").select("a", "b", "text_a", "text_b")
         return materialize(both.mapInArrow(lambda it: _verify(it, width, over, under), "a long, b long"))
 
 
@@ -165,25 +185,32 @@ def near_duplicates(df: DataFrame, *, text: str = "text", row_key: str = "doc_id
     link with nothing; their component is their own key. Null keys count as larger than all others: such a row takes the
     component of what it is linked with, and is kept only if nothing it is linked with has a key.
 
-    Documents of equal sets are one node. Two nodes are candidates if one of 30 bands of 5 MinHash values agrees (a pair
-    at 0.8 is missed with a chance of 7 in a million). First each bucket's members are only compared with one member, then
-    those of another component again with another, and last all members of buckets that still hold several components,
-    except pairs that are in one component already: a group of m copies costs about m comparisons, and no link
-    that would join components is left out. Odd sketches (150 samples in 512 bits) drop pairs well below the threshold
-    before texts are compared as full sets.
+    Documents of equal sets are one node, told by a 128-bit hash of the set. Two nodes are candidates if one of 30 bands of 5
+    MinHash values agrees (a pair at 0.8 is missed with a chance of 7 in a million). First each bucket's members are only
+    compared with one member, then those of another component again with another, and last all members of buckets that still
+    hold several components, except pairs that are in one component already: a group of m copies costs about m comparisons, and
+    no link that would join components is left out. Odd sketches (150 samples in 512 bits) drop pairs well below the threshold
+    before texts are compared as full sets. Joins deal the members of a large bucket to several tasks (join_dealt). An empty
+    table gives an empty result.
     """
     rows = df.select(col(row_key).cast("long").alias("doc_id"), col(text).alias("text"), F.md5(col(text).cast("binary")).alias("text_key"))
-    signed = materialize(rows.mapInArrow(lambda it: _sign(it, width), "doc_id long, text_key string, node long, n_shingles long, bands array<bigint>, sketch array<bigint>"))
+    signed = materialize(rows.mapInArrow(lambda it: _sign(it, width), "doc_id long, text_key string, node long, twin long, n_shingles long, bands array<bigint>, sketch array<bigint>"))
+    clash = materialize(signed.groupBy("node").agg(F.min("twin").alias("low"), F.max("twin").alias("high")).filter("low < high").select("node", "low"))
+    if not clash.isEmpty():  # different sets agree in the first 64 bits: the others tell them apart
+        signed = materialize(signed.join(clash, "node", "left").withColumn("node", F.when(F.col("low").isNull() | (F.col("low") == F.col("twin")), F.col("node")).otherwise(F.xxhash64("node", "twin"))).drop("low"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("keyless"), "doc_id", "text_key")).alias("one")
     full = signed.filter("n_shingles > 0")
-    nodes = materialize(full.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    nodes = materialize(full.groupBy("node").agg(first, F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     banded = nodes.select("node", F.explode("bands").alias("band"))
     shared = materialize(banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("band", "low"))
-    members = materialize(banded.join(shared, "band"))
+    members = materialize(join_dealt(banded, shared, "band"))
     release(df.sparkSession)
-    # Texts of the nodes that share a bucket with another, once.
-    wanted = materialize(members.select("node").distinct().join(nodes.select("node", "text_key"), "node"))
-    texts = rows.select("text_key", "text").join(wanted, "text_key").groupBy("node").agg(F.first("text").alias("text"))
-    texts = materialize(texts)
+    # One text of each node that shares a bucket with another.
+    wanted = materialize(members.select("node").distinct().join(nodes.select("node", "one.doc_id", "one.text_key"), "node"))
+    key = lambda side: [F.coalesce("doc_id", F.lit(0)).alias(f"{side}_id"), F.col("doc_id").isNull().alias(f"{side}_none"), F.col("text_key").alias(f"{side}_key")]
+    same = (F.col("t_id") == F.col("w_id")) & (F.col("t_none") == F.col("w_none")) & (F.col("t_key") == F.col("w_key"))
+    texts = rows.select("text", *key("t")).join(wanted.select("node", *key("w")), same)
+    texts = materialize(texts.groupBy("node").agg(F.first("text").alias("text")))  # rows repeated in key and text
     release(df.sparkSession)
     check = _Verifier(texts, nodes.select("node", "sketch"), width, threshold)
     links = check.links(members.filter("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")))
@@ -192,47 +219,59 @@ def near_duplicates(df: DataFrame, *, text: str = "text", row_key: str = "doc_id
         if turn == STAR_ROUNDS - 1 or still.isEmpty():
             break
         centre = still.groupBy("band").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("centre"))
-        star = still.join(centre, "band").filter("component <> centre.component").select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b"))
+        star = join_dealt(still, centre, "band").filter("component <> centre.component").select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b"))
         links = links.union(check.links(star))
     if not still.isEmpty():
         links = links.union(_rest(still, nodes, check))
     found = components(links)
     release(df.sparkSession)
-    labelled = signed.join(found, "node", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
+    labelled = join_dealt(signed.select("doc_id", "text_key", "node", "n_shingles"), found, "node", "left")
+    labelled = materialize(labelled.withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node"))))
     smallest = materialize(labelled.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("smallest")))
-    out = labelled.join(smallest, "component", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("doc_id")))
+    out = join_dealt(labelled, smallest, "component", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("doc_id")))
     kept = F.when(F.col("doc_id").isNull(), F.col("component_id").isNull()).otherwise(F.col("doc_id") == F.col("component_id"))
     return out.select("doc_id", "text_key", F.coalesce("component", "node").alias("node"), "n_shingles", "component_id", kept.alias("kept"))
 
 
 def _open(members: DataFrame, links: DataFrame) -> DataFrame:
     """Members, with their component so far, of buckets that hold more than one component."""
-    found = components(links)
-    labelled = materialize(members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).select("band", "node", "component"))
+    labelled = join_dealt(members, components(links), "node", "left")
+    labelled = materialize(labelled.withColumn("component", F.coalesce("component", "node")).select("band", "node", "component"))
     several = materialize(labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high").select("band", "size"))
-    return materialize(labelled.join(several, "band"))
+    return materialize(join_dealt(labelled, several, "band"))
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members of buckets by pairs of blocks (i, j) of about BLOCK members, each in all pairs of its own block."""
+    dealt = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return dealt.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("blocks", "other", "size")
 
 
 def _rest(still: DataFrame, nodes: DataFrame, check: _Verifier) -> DataFrame:
-    """Links between different components in the same bucket: pairs of small buckets by a join, large ones in blocks, in which
-    the full sets are compared in place, so that no more rows come out than there are members."""
+    """Links between different components in the same bucket: pairs of small buckets by a join; large ones in blocks, of sketches
+    first, and then of the texts of members that are close to another. Full sets are compared in place, so no more rows come out
+    of a block than it has members."""
     few = still.filter(F.col("size") <= SMALL_BUCKET).join(nodes.select("node", "sketch"), "node")
     x = few.select("band", F.col("node").alias("a"), F.col("component").alias("component_a"), F.col("sketch").alias("sketch_a"))
     y = few.select("band", F.col("node").alias("b"), F.col("component").alias("component_b"), F.col("sketch").alias("sketch_b"))
     close = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & (_differing("sketch_a", "sketch_b") <= MOST_DIFFERING)
     links = check.links(x.join(y, "band").filter(close).select("a", "b"))
-    many = still.filter(F.col("size") > SMALL_BUCKET).withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+    many = still.filter(F.col("size") > SMALL_BUCKET)
     if many.isEmpty():
         return links
-    many = many.join(nodes.select("node", "bands", "sketch"), "node").join(check.texts, "node")
-    many = many.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    many = many.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+    many = materialize(many.join(nodes.select("node", "bands", "sketch"), "node"))
+    near = _blocks(many.drop("bands")).groupBy("band", "i", "j").applyInPandas(_near_in_block, "band long, node long").distinct()
+    left = materialize(many.drop("size").join(near, ["band", "node"]))
+    sizes = left.groupBy("band").agg(F.count(F.lit(1)).alias("size"))
+    left = join_dealt(join_dealt(left, sizes, "band"), check.texts, "node")
     rule = check.rule
-    found = many.select("band", "i", "j", "chunk", "node", "component", "bands", "sketch", "text").groupBy("band", "i", "j").applyInPandas(lambda key, rows: _cross(key, rows, *rule), "a long, b long")
+    found = _blocks(left).select("band", "i", "j", "chunk", "node", "component", "bands", "sketch", "text").groupBy("band", "i", "j").applyInPandas(lambda key, rows: _cross(key, rows, *rule), "a long, b long")
     return links.union(materialize(found))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by two-word shingles. Empty and null texts have no shingles and are their own; see near_duplicates()."""
     found = near_duplicates(read(spark, sf_dir, "documents"), width=2)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -244,9 +283,8 @@ def keep_one(docs: DataFrame, width: int = 5, threshold: Fraction = Fraction(4,
     key = [F.col("doc_id").alias("key_id"), F.col("text_key").alias("key_text")]
     gone = materialize(found.filter(~F.col("kept")).select(*key).distinct())
     twice = materialize(found.filter("kept and n_shingles > 0").groupBy(*key).count().filter("count > 1").select("key_id", "key_text"))
-    keyed = docs.withColumn("__text_key", F.md5(col("text").cast("binary")))
-    same = F.col("doc_id").eqNullSafe(F.col("key_id")) & F.col("__text_key").eqNullSafe(F.col("key_text"))
-    rest = keyed.join(gone, same, "left_anti")
+    same = F.col("id").eqNullSafe(F.col("key_id")) & (F.col("digest") == F.col("key_text"))
+    rest = packed(docs, {"id": col("doc_id"), "digest": F.coalesce(F.md5(col("text").cast("binary")), F.lit(""))}).join(gone, same, "left_anti")
     if not twice.isEmpty():
-        rest = rest.join(twice, same, "left_anti").unionByName(rest.join(twice, same, "left_semi").dropDuplicates(["doc_id", "__text_key"]))
-    return rest.drop("__text_key")
+        rest = rest.join(twice, same, "left_anti").unionByName(rest.join(twice, same, "left_semi").dropDuplicates(["id", "digest"]))
+    return rest.select(*unpacked(docs.columns, []))

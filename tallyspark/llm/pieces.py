@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from .common import col, read
+from .common import col, numbered, read
 from .wordhash import U64, forget, mix, powers, text_chunks
 
 #: The vocabulary, unless a caller names another; it is read on the driver and sent along.
@@ -29,6 +29,7 @@ CHUNK_CHARS, LONG_UNIT, BLOCK_CHARS, CELLS, CACHED_CELLS = 400_000, 4096, 32_768
 SPACE, OWN_MARK = 0x2581, 0x110000
 _CODES = 0x110001
 _STEP = 0xD1342543DE82EF95
+_UNDER_ONE = np.nextafter(np.float32(1), np.float32(0))  # a lot of 1 would lie beyond every piece
 
 
 def _code_table() -> np.ndarray:
@@ -233,7 +234,8 @@ def _long_unit(v: Vocabulary, codes: np.ndarray, seed: U64) -> np.ndarray:
         run = np.cumsum((np.lib.stride_tricks.sliding_window_view(sums, most)[: len(weights)] * weights)[:, ::-1], 1)
         while end > edges[k]:
             i = end - edges[k] - 1
-            size = min(int(np.searchsorted(run[i], run[i, -1] * lots[turn - began], "right")), most - 1)
+            lot = min(run[i, -1] * lots[turn - began], np.nextafter(run[i, -1], 0))
+            size = int(np.searchsorted(run[i], lot, "right"))
             out.append(ids[i, size])
             end, turn = end - size - 1, turn + 1
     return np.array(out[::-1], np.int32)
@@ -298,7 +300,7 @@ def _encode_units(v: Vocabulary, codes: np.ndarray, starts: np.ndarray, seed: np
         which = by_name[bounds[lo] : bounds[hi]]
         row, end, turn = row[kind_of[bounds[lo] : bounds[hi]] - lo], np.full(len(which), n, np.int64), 0
         while len(which):
-            lots = _uniform(seed[which], turn).astype(np.float32)
+            lots = np.minimum(_uniform(seed[which], turn).astype(np.float32), _UNDER_ONE)
             size, open_ = np.zeros(len(which), np.int64), np.arange(len(which))
             for k in range(most - 1):  # long pieces are rare: look on only where the lot lies beyond
                 open_ = open_[chance[row[open_], end[open_], k] <= lots[open_]]
@@ -436,7 +438,8 @@ def add_pieces(df: DataFrame, vocabulary: Vocabulary, *, text: str = "text", row
         forget()
 
     keys = [row_key] if isinstance(row_key, str) else row_key
-    return df.select(*[col(c) for c in keep], col(text).alias("text"), F.xxhash64(F.lit(seed), *[col(k) for k in keys]).alias("seed")).mapInArrow(run, schema)
+    own = [col(text).alias("text"), F.xxhash64(F.lit(seed), *[col(k) for k in keys]).alias("seed")]
+    return df.select(*numbered(keep), *own).mapInArrow(run, schema)
 
 
 def add_text(df: DataFrame, vocabulary: Vocabulary, *, ids: str = "ids", keep: list[str], output: str = "decoded") -> DataFrame:
@@ -454,7 +457,7 @@ def add_text(df: DataFrame, vocabulary: Vocabulary, *, ids: str = "ids", keep: l
                 texts = [None if not x.is_valid else shared.value.decode(x.values.to_numpy()) for x in lists]
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(keep))], pa.array(texts, pa.string())], names=[f.name for f in schema.fields])
 
-    return df.select(*[col(c) for c in keep], col(ids).alias("ids")).mapInArrow(run, schema)
+    return df.select(*numbered(keep), col(ids).alias("ids")).mapInArrow(run, schema)
 
 
 def encode_documents(docs: DataFrame, path: str = MODEL_PATH, copy: str | None = None) -> DataFrame:

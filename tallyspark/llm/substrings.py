@@ -7,12 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import col, materialize, read, release
-from .wordhash import _TABLE, U64, mix, powers, text_chunks
+from .common import col, join_dealt, materialize, packed, read, release
+from .wordhash import _TABLE, U64, forget, mix, powers, runs, text_chunks
 
 LENGTH = 100
 #: Bytes of the strings among which triggers are chosen, for strings of LENGTH bytes.
@@ -86,29 +87,30 @@ def _cut(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[n
             yield part, np.array([0, len(part)]), 0, at
 
 
-def _first(keys: list[np.ndarray], d: np.ndarray, t: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by keys, then place in the corpus; and which of it are not the first of their keys (a place that comes twice, by
-    repeated rows, is first both times)."""
-    order = np.lexsort((lo, t, d, *reversed(keys)))
-    same = np.zeros(len(order), bool)
-    if len(order):
-        same[1:] = np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in keys])
-    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-    first = order[head]
-    later = (d[order] != d[first]) | (t[order] != t[first]) | (lo[order] != lo[first])
-    return order, same & later
-
-
 _PARSED = "route long, other long, d long, t long, lo long, hi long, kind int"
+_NAMES = ["route", "other", "d", "t", "lo", "hi", "kind"]
 _PHRASE, _MARK, _ASK, _ASK_HOT = 0, 1, 2, 3
-#: Phrases of one trigger, up to so many, are compared in one task with all their bytes; those of a trigger that stands in more
-#: different phrases go window by window, whose hashes spread over all tasks.
+#: Phrases of one trigger, up to so many, are put into one suffix array; those of a trigger that stands in more different phrases
+#: go window by window, in order of hashes that spread over all tasks. Both give the same marks.
 HOT_TRIGGER = 2000
+#: Bytes of phrases whose suffixes are sorted together.
+BLOCK_BYTES = 1_000_000
 
 
 def _rows(route, other, d, t, lo, hi, kind) -> pa.RecordBatch:
     as_long = lambda x: pa.array(x.view(np.int64) if x.dtype == U64 else x.astype(np.int64))
-    return pa.RecordBatch.from_arrays([*[as_long(x) for x in (route, other, d, t, lo, hi)], pa.array(kind.astype(np.int32))], names=["route", "other", "d", "t", "lo", "hi", "kind"])
+    return pa.RecordBatch.from_arrays([*[as_long(x) for x in (route, other, d, t, lo, hi)], pa.array(kind.astype(np.int32))], names=_NAMES)
+
+
+def _marks(d: np.ndarray, t: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    """Ranges of window starts that have an earlier equal, neighbouring ones of a document as one."""
+    order = np.lexsort((lo, t, d))
+    d, t, lo, hi = d[order], t[order], lo[order], hi[order]
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (lo[1:] > hi[:-1] + 1)
+    head = np.flatnonzero(new)
+    spread = mix(d[head].view(U64))  # any even spread over tasks will do
+    return _rows(spread, spread, d[head], t[head], lo[head], np.maximum.reduceat(hi, head) if len(head) else hi, np.full(len(head), _MARK))
 
 
 def _local(parsed: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
@@ -117,15 +119,15 @@ def _local(parsed: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     if not parsed:
         return
     route, other, d, t, lo, hi = (np.concatenate(x) for x in zip(*parsed, strict=True))
-    order, later = _first([route, other], d, t, lo)
-    keep, gone = order[~later], order[later]
-    yield _rows(route[keep], other[keep], d[keep], t[keep], lo[keep], hi[keep], np.full(len(keep), _PHRASE))
-    if len(gone):
-        gone = gone[np.lexsort((lo[gone], t[gone], d[gone]))]  # neighbouring marks of a document as one
-        new = np.ones(len(gone), bool)
-        new[1:] = (d[gone][1:] != d[gone][:-1]) | (t[gone][1:] != t[gone][:-1]) | (lo[gone][1:] > hi[gone][:-1] + 1)
-        head = np.flatnonzero(new)
-        yield _rows(mix(d[gone][head].view(U64)), np.zeros(len(head), U64), d[gone][head], t[gone][head], lo[gone][head], np.maximum.reduceat(hi[gone], head), np.full(len(head), _MARK))
+    order = np.lexsort((lo, t, d, other, route))
+    route, other, d, t, lo, hi = (x[order] for x in (route, other, d, t, lo, hi))
+    same = np.zeros(len(route), bool)
+    same[1:] = (route[1:] == route[:-1]) & (other[1:] == other[:-1])
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(route))))
+    later = (d != d[first]) | (t != t[first]) | (lo != lo[first])  # by repeated rows, a place may come twice: it is first both times
+    yield _rows(*[x[~later] for x in (route, other, d, t, lo, hi)], np.full((~later).sum(), _PHRASE))
+    if later.any():
+        yield _marks(*[x[later] for x in (d, t, lo, hi)])
 
 
 def _parse(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -141,37 +143,43 @@ def _parse(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterato
                 yield from _local(parsed)
                 parsed, size = [], 0
     yield from _local(parsed)
-
-
-def _whole(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | None:
-    table = [b for b in batches if len(b)]
-    if not table:
-        return None
-    out = pa.Table.from_batches(table)
-    return tuple(out.column(c).to_numpy() for c in ("route", "other", "d", "t", "lo", "hi", "kind"))
-
-
-def _dictionary(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
-    """All phrases of some triggers: later places of an equal phrase are marked; where a trigger has several phrases, their
-    first places are asked for, window by window."""
-    rows = _whole(batches)
-    if rows is None:
-        return
-    route, other, d, t, lo, hi, kind = rows
-    marks = np.flatnonzero(kind == _MARK)
-    some = np.flatnonzero(kind == _PHRASE)
-    order, later = _first([route[some], other[some]], d[some], t[some], lo[some])
-    order = some[order]
-    trigger, phrase = route[order], other[order]
-    new = np.ones(len(order), bool)
-    new[1:] = trigger[1:] != trigger[:-1]
-    group = np.cumsum(new) - 1
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = new[1:] | (phrase[1:] != phrase[:-1])
-    many = np.bincount(group, fresh)[group] if len(order) else np.zeros(0)
-    asked = ~later & (many > 1)
-    for at, what in ((marks, _MARK), (order[later], _MARK), (order[asked & (many <= hot)], _ASK), (order[asked & (many > hot)], _ASK_HOT)):
-        yield _rows(route[at], other[at], d[at], t[at], lo[at], hi[at], np.full(len(at), what))
+    del parsed
+    forget()
+
+
+class _Ordered:
+    """Phrases (or windows) sorted by their hashes and place, batch by batch: the first place of each, and all later ones as marks."""
+
+    def __init__(self) -> None:
+        self.last: list | None = None  # of the group that a batch's end may cut: its hashes and first place
+
+    def feed(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        route, other, d, t, lo, hi, kind = (batch.column(c).to_numpy() for c in _NAMES)
+        given = kind == _MARK
+        if given.any():
+            yield batch.filter(pa.array(given)).select(_NAMES)
+        route, other, d, t, lo, hi = (x[~given] for x in (route, other, d, t, lo, hi))
+        if not len(route):
+            return
+        own = [route, other, d, t, lo]
+        joined = [np.concatenate([[y], x]) for x, y in zip(own, self.last, strict=True)] if self.last else own
+        same = np.zeros(len(joined[0]), bool)
+        same[1:] = (joined[0][1:] == joined[0][:-1]) & (joined[1][1:] == joined[1][:-1])
+        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
+        later = (joined[2] != joined[2][first]) | (joined[3] != joined[3][first]) | (joined[4] != joined[4][first])
+        self.last = [x[first[-1]] for x in joined]
+        cut = len(joined[0]) - len(route)
+        fresh, later = ~same[cut:], later[cut:]
+        yield _rows(*[x[fresh] for x in (route, other, d, t, lo, hi)], np.full(fresh.sum(), _PHRASE))
+        if later.any():
+            yield _marks(*[x[later] for x in (d, t, lo, hi)])
+
+
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ordered = _Ordered()
+    for batch in batches:
+        yield from ordered.feed(batch)
+    forget()
 
 
 _COMPARED = _PARSED + ", raw binary"
@@ -217,40 +225,79 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
                 yield from map(_with_raw, _local(parsed))
                 parsed, size = [], 0
     yield from map(_with_raw, _local(parsed))
+    del parsed
+    forget()
+
 
+def suffix_array(data: np.ndarray, at: np.ndarray, block: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes that begin at `at`, block by block in lexicographic order of their first `length` bytes, equal ones in the
+    order given; and which of them agree in those bytes and the block with the one before."""
+    wide = -(-(length + 4) // 8) * 8
+    words = np.zeros((len(at), wide), np.uint8)
+    words[:, :4] = block.astype(">u4")[:, None].view(np.uint8)
+    words[:, 4 : 4 + length] = np.lib.stride_tricks.sliding_window_view(data, length)[at]
+    order = np.argsort(words.view(f"S{wide}")[:, 0], kind="stable")
+    cells = words.view(np.uint64)[order]
+    same = np.zeros(len(at), bool)
+    same[1:] = (cells[1:] == cells[:-1]).all(1)
+    return order, same
 
-def _equal(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Later places of equal windows, as marks. Windows of phrases are hashed here; two equal ones have the same trigger, and so
-    come to the same task."""
-    marks, windows = [], []
+
+def _sorted_block(route: np.ndarray, d: np.ndarray, t: np.ndarray, lo: np.ndarray, hi: np.ndarray, raw: list[bytes], length: int) -> pa.RecordBatch | None:
+    """The dictionary of some triggers: windows of its phrases of which an equal one comes earlier in the corpus, as marks.
+
+    The parse gives the phrases' order in the corpus; their windows' suffix array, stable on that order, has of each run of
+    suffixes that agree in `length` bytes the earliest in front.
+    """
+    order = np.lexsort((lo, t, d))  # the parse: first places of the phrases in corpus order
+    sizes = np.array([len(raw[k]) for k in order])
+    data = np.frombuffer(b"".join([raw[k] for k in order]), np.uint8)
+    route, d, t, lo, hi = (x[order] for x in (route, d, t, lo, hi))
+    which, start = _spread(lo, hi)
+    _, block = np.unique(route, return_inverse=True)
+    by, same = suffix_array(data, (np.cumsum(sizes) - sizes)[which] + start - lo[which], block[which], length)
+    which, start = which[by], start[by]
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(by))))
+    later = (d[which] != d[which[first]]) | (t[which] != t[which[first]]) | (start != start[first])
+    if not later.any():
+        return None
+    which, start = which[later], start[later]
+    return _marks(d[which], t[which], start, start)
+
+
+def _combine(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Later places of equal windows, as marks. Phrases come sorted by trigger and are sorted by suffixes block by block (a
+    block never parts a trigger); hashed windows of hot triggers come sorted by hash and place."""
+    ordered, held = _Ordered(), []
     for batch in batches:
-        if not len(batch):
-            continue
-        route, other, d, t, lo, hi, kind = (batch.column(c).to_numpy() for c in ("route", "other", "d", "t", "lo", "hi", "kind"))
-        m, w, p = (np.flatnonzero(kind == k) for k in (_MARK, _PHRASE, _ASK))
-        marks.append((d[m], t[m], lo[m], hi[m]))
-        windows.append((route[w].view(U64), other[w].view(U64), d[w], t[w], lo[w]))
-        for k in range(0, len(p), 20_000):
-            part = p[k : k + 20_000]
-            pieces = batch.column("raw").take(pa.array(part)).to_pylist()
-            begin = np.concatenate([[0], np.cumsum([len(x) for x in pieces])])[:-1]
-            which, start = _spread(lo[part], hi[part])
-            data = np.frombuffer(b"".join(pieces), np.uint8)
-            windows.append((*_two_hashes(data, begin[which] + start - lo[part][which], length), d[part][which], t[part][which], start))
-    if not windows:
-        return
-    a, b, d, t, lo = (np.concatenate(x) for x in zip(*windows, strict=True))
-    order, later = _first([a, b], d, t, lo)
-    gone = order[later]
-    gone = gone[np.lexsort((lo[gone], t[gone], d[gone]))]
-    new = np.ones(len(gone), bool)
-    new[1:] = (d[gone][1:] != d[gone][:-1]) | (t[gone][1:] != t[gone][:-1]) | (lo[gone][1:] != lo[gone][:-1] + 1)
-    head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(gone)) - 1 if len(gone) else head
-    marks.append((d[gone][head], t[gone][head], lo[gone][head], lo[gone][tail]))
-    d, t, lo, hi = (np.concatenate(x) for x in zip(*marks, strict=True))
-    none = np.zeros(len(d), np.int64)
-    yield _rows(none, none, d, t, lo, hi, none + _MARK)
+        asked = pa.array(batch.column("kind").to_numpy() == _ASK)
+        held.append(batch.filter(asked))
+        for out in ordered.feed(batch.filter(pc.invert(asked))):
+            yield out.filter(pc.equal(out.column("kind"), _MARK))
+        if sum(x.nbytes for x in held) >= BLOCK_BYTES:
+            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            route = table.column("route").to_numpy()
+            whole = int(np.flatnonzero(route == route[-1])[0])  # the last trigger may go on in the next batch
+            yield from _sorted_blocks(table.slice(0, whole), length)
+            held = [table.slice(whole)]
+    if sum(len(x) for x in held):
+        yield from _sorted_blocks(pa.Table.from_batches(held).combine_chunks().to_batches()[0], length)
+    del held
+    forget()
+
+
+def _sorted_blocks(table: pa.RecordBatch, length: int) -> Iterator[pa.RecordBatch]:
+    """_sorted_block() of runs of whole triggers, of about BLOCK_BYTES each."""
+    route, ends = table.column("route").to_numpy(), np.cumsum(pc.binary_length(table.column("raw")).to_numpy())
+    lo = 0
+    while lo < len(table):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BLOCK_BYTES, "right")))
+        hi += int(np.argmax(np.append(route[hi:] != route[hi - 1], True)))  # to the end of its last trigger
+        part = table.slice(lo, hi - lo)
+        found = _sorted_block(*[part.column(c).to_numpy() for c in ("route", "d", "t", "lo", "hi")], part.column("raw").to_pylist(), length)
+        if found is not None:
+            yield found
+        lo = hi
 
 
 def _cover(raw: bytes, marks: list[tuple[int, int]], length: int) -> tuple[bytes, int]:
@@ -270,14 +317,17 @@ def dedup_substrings(df: DataFrame, *, text: str = "text", row_key: str = "doc_i
     A byte goes if a string of `length` bytes that covers it also starts earlier: in a row of a smaller key, or earlier in the
     same row. Strings are judged on the input. Texts are UTF-8; null counts as empty; no string crosses a row's end. Null
     keys come after all others; rows of the same key come in order of a hash of their text, and rows equal in both are
-    one document, whose results are equal.
-
-    Prefix-free parsing, with exact results: rolling-hash triggers, at least one in every string of `length` bytes, cut texts
-    into phrases; equal phrases of the dictionary are told by their hashes, and of their places in the parse all but the
-    first are marked whole. Only where a trigger stands in different phrases can a string be shared in part; the first places
-    of those phrases meet by trigger, and all their suffixes of `length` bytes are put into an order (by 128-bit hash, as
-    only equality counts) that shows which came earlier. Places of phrases and hashed windows that repeat within a task are
-    dropped before the shuffle, so a passage in a third of all documents reaches one task only once from each other task.
+    one document, whose results are equal. An empty table gives an empty result. Columns of `keep` named as an output are
+    left out; others clash with nothing.
+
+    Prefix-free parsing: rolling-hash triggers, at least one in every string of `length` bytes, cut texts into phrases that
+    overlap by length - 1 bytes, so that every string lies in one phrase, at the same distance from its trigger wherever it
+    stands. The dictionary holds each different phrase once, with its first place; all later places in the parse are marked
+    whole. A string can be shared in part only by different phrases of a trigger: those that have any form a block of the
+    dictionary, whose suffix array, combined with the phrases' order in the parse, tells for each run of suffixes that agree in
+    `length` bytes which comes first in the corpus. Phrases are counted by trigger before they meet, with map-side sums; those
+    of a trigger in over `hot` phrases are put in order string by string, by 128-bit hash and place, over all tasks. Phrases and
+    strings that repeat within a task leave it once, so a passage in a third of all documents gathers nowhere.
     """
     gram = gram or max(4, length * GRAM // LENGTH)
     spark = df.sparkSession
@@ -289,38 +339,47 @@ def dedup_substrings(df: DataFrame, *, text: str = "text", row_key: str = "doc_i
     if not repeats:  # the key alone orders rows
         key["t"] = F.lit(0).cast("long")
         rows = df.select(*[c.alias(n) for n, c in key.items()], col(text).alias("text"))
-    known = materialize(rows.mapInArrow(lambda it: _parse(it, length, gram), _PARSED).repartition(parts, "route").mapInArrow(lambda it: _dictionary(it, hot), _PARSED).select("route", "d", "t", "lo", "hi", "kind"))
+    order = ["route", "other", "d", "t", "lo"]
+    parsed = rows.mapInArrow(lambda it: _parse(it, length, gram), _PARSED)
+    known = materialize(parsed.repartition(parts, "other").sortWithinPartitions("other", *order).mapInArrow(_firsts, _PARSED).select("route", "d", "t", "lo", "hi", "kind"))
     release(spark)
-    asks = known.filter(F.col("kind") >= _ASK).distinct().groupBy("d", "t").agg(F.collect_list(F.struct("lo", "hi", "route", "kind")).alias("asks"))
-    asked = rows.dropDuplicates(["d", "t"]) if repeats else rows
-    windows = asked.join(asks.hint("shuffle_hash"), ["d", "t"]).select("d", "t", "text", "asks").mapInArrow(lambda it: _windows(it, length), _COMPARED)
-    shared = materialize(windows.repartition(parts, "route").mapInArrow(lambda it: _equal(it, length), _PARSED).select("d", "t", "lo", "hi"))
-    del windows, asks, asked
+    dictionary = known.filter(F.col("kind") == _PHRASE).drop("kind")
+    shared = materialize(dictionary.groupBy("route").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    asked = join_dealt(dictionary, shared, "route", counts=shared.select(F.col("route").alias("hot"), "n")).withColumn("kind", F.when(F.col("n") > hot, _ASK_HOT).otherwise(_ASK))
+    asks = materialize(asked.groupBy("d", "t").agg(F.collect_set(F.struct("lo", "hi", "route", "kind")).alias("asks")))
+    texts = rows.dropDuplicates(["d", "t"]) if repeats else rows
+    windows = texts.join(asks, ["d", "t"]).select("d", "t", "text", "asks").mapInArrow(lambda it: _windows(it, length), _COMPARED)
+    found = windows.repartition(parts, "route").sortWithinPartitions(*order).mapInArrow(lambda it: _combine(it, length), _PARSED)
+    found = materialize(found.select("d", "t", "lo", "hi"))
+    del windows, asks, asked, parsed
     release(spark)
-    marks = known.filter(F.col("kind") == _MARK).select("d", "t", "lo", "hi").union(shared).groupBy("d", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("__marks"))
-    marked = df.select(*[col(c) for c in keep], col(text).alias("__text"), *[c.alias(f"__{n}") for n, c in key.items()])
-    marked = marked.join(marks.withColumnsRenamed({"d": "__d", "t": "__t"}).hint("shuffle_hash"), ["__d", "__t"], "left").select(*keep, "__text", "__marks")
+    marks = known.filter(F.col("kind") == _MARK).select("d", "t", "lo", "hi").union(found).groupBy(F.col("d").alias("of_d"), F.col("t").alias("of_t")).agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
+    marked = packed(df.select(*[col(c) for c in dict.fromkeys([*keep, row_key, text])]), {**key, "text": col(text)})
+    names = list(dict.fromkeys([*keep, row_key, text]))
+    marked = marked.join(marks, (F.col("d") == F.col("of_d")) & (F.col("t") == F.col("of_t")), "left").select(*[F.col(f"row.c{names.index(c)}").alias(f"c{i}") for i, c in enumerate(keep)], "text", "marks")
+    kept_fields = [next(f for f in df.schema.fields if f.name == c) for c in keep]
+    fields = [StructField(c, LongType()) for c in OUTPUTS[:3]] + [StructField(OUTPUTS[3], StringType())] + ([StructField("kept", BinaryType())] if with_text else [])
+    schema, at = StructType([*kept_fields, *fields]), len(keep)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 500):
-                part = batch.slice(lo, 500)
+            for part in runs(batch, at):
                 n, removed, spans, digest, kept = [], [], [], [], []
-                for value, own in zip(part.column("__text"), part.column("__marks"), strict=True):
+                for value, own in zip(part.column(at), part.column(at + 1), strict=True):
                     raw = value.as_buffer().to_pybytes() if value.is_valid else b""
-                    left, runs = _cover(raw, list(zip(own.values.field("lo").to_pylist(), own.values.field("hi").to_pylist(), strict=True)) if own.is_valid else [], length)
+                    left, several = _cover(raw, list(zip(own.values.field("lo").to_pylist(), own.values.field("hi").to_pylist(), strict=True)) if own.is_valid else [], length)
                     n.append(len(raw))
                     removed.append(len(raw) - len(left))
-                    spans.append(runs)
+                    spans.append(several)
                     digest.append(hashlib.sha256(left).hexdigest())
                     kept.append(left if with_text else None)
                 out = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), *([pa.array(kept, pa.binary())] if with_text else [])]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *out], names=[*keep, *OUTPUTS, *(["kept"] if with_text else [])])
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(at)], *out], names=[f.name for f in schema.fields])
+        forget()
 
-    kept_fields = [next(f for f in df.schema.fields if f.name == c) for c in keep]
-    fields = [StructField(c, LongType()) for c in OUTPUTS[:3]] + [StructField(OUTPUTS[3], StringType())] + ([StructField("kept", BinaryType())] if with_text else [])
-    return marked.mapInArrow(finish, StructType([*kept_fields, *fields]))
+    return marked.mapInArrow(finish, schema)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every whole text of documents without strings of LENGTH bytes that start earlier; see dedup_substrings()."""
     return dedup_substrings(read(spark, sf_dir, "documents"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from .common import col, read
+from .common import col, numbered, read
 from .langid import fold
 from .wordhash import NOT_LETTER, U64, find_words, mix, text_chunks, word_hashes
 
@@ -146,7 +146,7 @@ def score(df: DataFrame, model: Model, *, text: str = "text", keep: list[str]) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch.column("__text")):
+            for lo, hi, data, offsets in text_chunks(batch.column(len(keep))):
                 features, begins, opens, closes, row = sentences(data, offsets)
                 odds = shared.value.sentence_odds(features, begins)
                 total = shared.value.documents(odds, row, hi - lo)
@@ -155,11 +155,11 @@ def score(df: DataFrame, model: Model, *, text: str = "text", keep: list[str]) -
                     r = row[s]
                     found[r].append({"start": int(opens[s] - offsets[r]), "end": int(closes[s] - offsets[r]), "score": float(1 / (1 + np.exp(-float(odds[s]))))})
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(total, pa.float64()), pa.array((total >= 0.5).astype(np.int32)), pa.array(found, spans)], names=[*keep, *OUTPUTS])
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(keep))], pa.array(total, pa.float64()), pa.array((total >= 0.5).astype(np.int32)), pa.array(found, spans)], names=[*keep, *OUTPUTS])
 
     kept = [next(f for f in df.schema.fields if f.name == c) for c in keep]
     schema = StructType([*kept, StructField("score", DoubleType()), StructField("predicted", IntegerType()), StructField("offending", ArrayType(span))])
-    return df.select(*[col(c) for c in keep], col(text).alias("__text")).mapInArrow(run, schema)
+    return df.select(*numbered(keep), col(text).alias("text")).mapInArrow(run, schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

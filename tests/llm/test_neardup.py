@@ -1,3 +1,4 @@
+import re
 from fractions import Fraction
 
 import numpy as np
@@ -7,8 +8,15 @@ from tallyspark.llm import neardup as N
 from tallyspark.llm.wordhash import hash_of
 
 
+def shingles(text, width):
+    """By the contract's own words: A-Z in lower case, words [^\\x20\\x09-\\x0D]+, distinct runs of `width` words, or all words if fewer."""
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
 def brute(rows, width, threshold):
-    sets = [N.shingle_set.__wrapped__(t or "", width) for _, t in rows]
+    sets = [shingles(t, width) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -90,3 +98,34 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert {got[i] for i in range(1, 41)} == {1} and got[200] == got[101] == 100 and got[300] == 300
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_hot_keys_are_dealt_to_several_tasks(spark, monkeypatch):
+    from tallyspark.llm import common
+    from tallyspark.llm.graph import components
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    left = spark.createDataFrame([(1 if i < 60 else i, i) for i in range(80)] + [(None, 99)], "k long, x long")
+    right = spark.createDataFrame([(i, i * 10) for i in range(70)], "k long, y long")
+    for how, n in (("inner", 70), ("left", 81)):
+        got = common.join_dealt(left, right, "k", how)
+        assert got.columns == ["k", "x", "y"] and got.count() == n
+        assert sorted(map(str, got.collect())) == sorted(map(str, left.join(right, "k", how).collect()))
+    star = [(0, i) for i in range(1, 50)] + [(49, 100), (100, 101)]
+    assert {r.component for r in components(spark.createDataFrame(star, "a long, b long")).collect()} == {0}
+
+
+def test_sets_that_share_half_a_hash_are_told_apart(spark, monkeypatch):
+    real = N.hashlib.blake2b
+
+    class Half:
+        def __init__(self, data, digest_size):
+            self.out = real(data, digest_size=digest_size).digest()
+
+        def digest(self):
+            return bytes(8) + self.out[8:]
+
+    monkeypatch.setattr(N.hashlib, "blake2b", Half)
+    batch = __import__("pyarrow").RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a b c", "d e f"], "text_key": ["x", "y"]})
+    signed = __import__("pyarrow").Table.from_batches(list(N._sign(iter([batch]), 2))).to_pylist()
+    assert signed[0]["node"] == signed[1]["node"] and signed[0]["twin"] != signed[1]["twin"]

@@ -97,3 +97,12 @@ def test_copies_get_draws_of_their_own(spark, vocabulary):
     got = P.encode_documents(df, copy="copy").collect()
     assert len({tuple(r.ids) for r in got if r.doc_id == 1}) == 3 and all(r.lossless for r in got)
     assert sorted(str(r.ids) for r in got if r.doc_id == 2) == ["None", "[]"]
+
+
+@pytest.mark.parametrize("lot", [0.0, 1 - 2.0**-53])
+def test_extreme_lots_draw_possible_pieces(vocabulary, monkeypatch, lot):
+    monkeypatch.setattr(P, "_uniform", lambda seed, step: np.full(np.broadcast(seed, step).shape, lot))
+    for long_unit in (4096, 2):
+        monkeypatch.setattr(P, "LONG_UNIT", long_unit)
+        flat, cut = P.encode(vocabulary, TEXTS, np.zeros(len(TEXTS), np.uint64))
+        assert [vocabulary.decode(flat[cut[i] : cut[i + 1]]) for i in range(len(TEXTS))] == TEXTS

@@ -70,3 +70,37 @@ def test_long_rows_are_cut_without_losing_a_window(monkeypatch):
         _, lo, hi, _, _ = S.phrases(part, cuts, 100, 32)
         seen.update(w + base for a, b in zip(lo, hi, strict=True) for w in range(a, b + 1))
     assert set(seen) == set(range(4901)) and set(seen.values()) == {1}
+
+
+def test_suffix_array_orders_blocks_and_finds_equal_suffixes():
+    rng = np.random.default_rng(5)
+    data = rng.integers(0, 2, 400, dtype=np.uint8) * 255  # zeros too: bytes that string types like to strip
+    at = rng.permutation(380)
+    block = rng.integers(0, 3, 380)
+    order, same = S.suffix_array(data, at, block, 13)
+    keys = [(block[k], data[at[k] : at[k] + 13].tobytes()) for k in order]
+    assert keys == sorted(keys) and same.tolist() == [False] + [a == b for a, b in zip(keys, keys[1:], strict=False)]
+    assert all(order[i] > order[i - 1] for i in np.flatnonzero(same))
+
+
+@pytest.mark.parametrize("hot", [3, 2000])
+def test_one_trigger_in_very_many_phrases(spark, monkeypatch, hot):
+    """A passage of 80 bytes, shorter than a string, with something else around it in each document; and blocks of a few phrases."""
+    monkeypatch.setattr(S, "BLOCK_BYTES", 300)
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    passage = word(80)
+    texts = [word(60) + passage + word(60) for _ in range(120)]
+    texts += [t[30:170] for t in texts[:20]] + [texts[3][40:] + texts[4][:100]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = brute([(i, t.encode()) for i, t in enumerate(texts)], 100)
+    got = S.dedup_substrings(df, hot=hot).collect()
+    assert len(got) == len(texts) and sum(r.n_removed for r in got) > 2000
+    for r in got:
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[(r.doc_id, texts[r.doc_id].encode())]
+
+
+def test_odd_column_names_and_empty_texts(spark):
+    df = spark.createDataFrame([(1, "x" * 300, 5, 6), (2, None, 7, 8), (3, "", 9, 10)], ["doc_id", "text", "a.b", "marks"])
+    got = S.dedup_substrings(df, keep=["a.b", "marks"]).orderBy("marks").collect()
+    assert [tuple(r)[:4] for r in got] == [(5, 6, 300, 299), (7, 8, 0, 0), (9, 10, 0, 0)]
