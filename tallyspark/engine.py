@@ -7,6 +7,7 @@ import io
 import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import cached_property, reduce
 from typing import Any
 
 import pyarrow as pa
@@ -19,13 +20,13 @@ from .formula import to_formula
 from .functions.columns import Compiler, name
 from .functions.plugins import BindContext, Bound, PlanContext, Plugin, Registry, TransformPlan
 from .operators.compare import compared
-from .operators.frames import aggregated, distinct_values, ordered, ordering, paged, prepared
+from .operators.frames import aggregated, distinct_values, ordered, ordering, paged, prepared, scan_bounds
 from .plans.checker import Scope
-from .plans.logical import Limits, Planner, QueryPlan, check_sort
+from .plans.logical import Compute, Limits, Planner, QueryPlan, Where, check_sort
 from .plans.request import CompareRequest, DatasetRef, Page, Query, RunRequest, canonical, fingerprint, parse_request
 from .runtime import Executor, ResultCache
 from .sources.catalog import ROW, Dataset, DatasetCatalog
-from .types import LType, NumericConfig, json_value
+from .types import ValueType, Scales, json_value
 
 
 @dataclass(frozen=True)
@@ -47,7 +48,7 @@ class Caller:
 
 @dataclass(frozen=True)
 class EngineConfig:
-    numeric: NumericConfig = NumericConfig()
+    numeric: Scales = Scales()
     limits: Limits = Limits()
     cache_bytes: int = 256 * 2**20
     slots: int = 2
@@ -98,16 +99,25 @@ class Result:
         return out.getvalue()
 
 
-@dataclass(frozen=True)
 class View:
-    """A dataset as one caller sees it, after transforms."""
+    """A dataset as one caller sees it, after transforms. Frames are made when first asked for: a cached answer needs none."""
+
+    def __init__(self, dataset: Dataset, env: dict[str, ValueType], plans: Sequence[tuple[str, TransformPlan]], identity: str, source: Callable[[Column | None], DataFrame]) -> None:
+        self.dataset, self.env, self.plans, self.identity, self._source = dataset, env, tuple(plans), identity, source
+
+    @cached_property
+    def base(self) -> DataFrame:
+        """Before transforms."""
+        return self._source(None)
 
-    dataset: Dataset
-    base: DataFrame = field(compare=False)
-    df: DataFrame = field(compare=False)
-    env: dict[str, LType]
-    plans: tuple[tuple[str, TransformPlan], ...]
-    identity: str
+    @cached_property
+    def df(self) -> DataFrame:
+        return reduce(lambda df, p: p[1].apply(df), self.plans, self.base)
+
+    def rows_for(self, plan: QueryPlan) -> DataFrame:
+        """`df`, read with what the plan's filter says of raw float columns; transforms may change those."""
+        bounds = None if self.plans else scan_bounds(plan, {c for c, t in self.env.items() if t.kind == "float"})
+        return self.df if bounds is None else self._source(bounds)
 
     @property
     def keys(self) -> tuple[str, ...]:
@@ -117,6 +127,12 @@ class View:
         return [name(k).asc_nulls_last() for k in self.keys] or ([name(ROW).asc()] if ROW in self.df.columns else [])
 
 
+#: Planned transforms that an engine keeps.
+MOST_TRANSFORMS = 256
+#: Bytes that a cell of a collected result is taken to need, where a table's share of the cache decides how much to collect.
+CELL_BYTES = 24
+#: Rows of an aggregate that are collected whole whatever the cache's size.
+MIN_ROWS = 10_000
 #: Read when a frame is analysed, so set once, on the session that owns the frames.
 SESSION = {"spark.sql.decimalOperations.allowPrecisionLoss": "false", "spark.sql.ansi.enabled": "true"}
 
@@ -133,6 +149,7 @@ class Engine:
         self.registry = Registry.of(list(plugins))
         self.executor = Executor(spark, self.config.slots, self.config.queue_timeout_s)
         self.cache = ResultCache(self.config.cache_bytes)
+        self.transforms = ResultCache(MOST_TRANSFORMS if self.config.cache_bytes else 0)  # each counts 1
         for p in plugins:
             p.attach(self)
 
@@ -150,8 +167,10 @@ class Engine:
     def slot(self):
         return self.executor.slot()
 
-    def view(self, ref: DatasetRef, extensions: Mapping[str, Any], caller: Caller, path: str = "/extensions") -> View:
-        """Entitlements, then transforms in the order in which plugins were installed."""
+    def view(self, ref: DatasetRef, extensions: Mapping[str, Any], caller: Caller, path: str = "/extensions", run: Callable[[Callable], Any] | None = None) -> View:
+        """Entitlements, then transforms in the order in which plugins were installed. Planned transforms are kept by what they
+        depend on, so that a request that comes again (another page, say) does not plan them anew; `run` runs what a new plan
+        asks of Spark."""
         transforms = self.registry.entries["transform"]
         for k in extensions:
             if k not in transforms:
@@ -166,22 +185,33 @@ class Engine:
             raise VersionConflict("the request needs several versions of the dataset", path="/dataset/version", versions=sorted(pins))
         dataset = self.catalog.get(ref.id, next(iter(pins), None))
         self.authorize(caller, "dataset.read", dataset)
-        schema = dataset.schema.restrict(caller.allowed_columns)
-        env = schema.types
-        df = dataset.df.select(*[name(c) for c in env], *([name(ROW)] if ROW in dataset.df.columns else []))
+        own = dataset.schema.restrict(caller.allowed_columns).types
         allowed = caller.filter_node()
-        if allowed is not None:
-            test = self.scope(env).predicate(allowed, "/row_filter")
-            df = df.filter(Compiler().predicate(test))
-        base, plans = df, []
+        test = None if allowed is None else self.scope(own).predicate(allowed, "/row_filter")
+
+        def source(bounds: Column | None) -> DataFrame:
+            df = dataset.df if bounds is None else dataset.within(bounds)
+            df = df.select(*[name(c) for c in own], *([name(ROW)] if ROW in df.columns else []))
+            return df if test is None else df.filter(Compiler().predicate(test))
+
+        env, plans, trail = own, [], [dataset.id, dataset.version, caller.digest()]
+        base = View(dataset, own, (), "", source)
         for k, b in bound:
-            plan = b.plan(env, df, PlanContext(self, dataset, env, caller, pointer(path, k)))
-            df, env = plan.apply(df), dict(plan.env)
+            trail.append([k, b.identity])
+            key = fingerprint(trail) if b.identity is not None else None
+            plan = self.transforms.get(key) if key else None
+            if plan is None:
+                context, so_far = PlanContext(self, dataset, env, caller, pointer(path, k)), View(dataset, own, plans, "", lambda _: base.base)
+                make = lambda b=b, env=env, context=context, so_far=so_far: b.plan(env, so_far.df, context)
+                plan = make() if run is None else run(make)
+                if key:
+                    self.transforms.put(key, plan, 1)
+            env = dict(plan.env)
             plans.append((k, plan))
         identity = fingerprint({"dataset": [dataset.id, dataset.version], "caller": caller.digest(), "transforms": [[k, p.canonical] for k, p in plans]})
-        return View(dataset, base, df, env, tuple(plans), identity)
+        return View(dataset, env, plans, identity, source)
 
-    def scope(self, env: Mapping[str, LType]) -> Scope:
+    def scope(self, env: Mapping[str, ValueType]) -> Scope:
         limits = self.config.limits
         return Scope(env, self.config.numeric, self.registry.entries["function"], None, limits.max_expr_depth, limits.max_expr_nodes)
 
@@ -206,15 +236,15 @@ class Engine:
         _, df, output, order, _ = self._sides(req, caller or Caller())
         return (paged(df, order, req.query.page, 0) if req.query.page is not None else df).select(*[name(c) for c in output])
 
-    def _whole(self, plan: QueryPlan, view: View, deterministic: bool) -> tuple[DataFrame, dict[str, LType], list[str] | None]:
-        if plan.aggregated:
-            df, output, fields = aggregated(view.df, plan, deterministic, self.config.limits.max_pivot_columns)
-            if plan.pivot is not None and not plan.rollup:
-                check_sort(plan.sort, set(output), "/query")
-            return df, output, fields
-        return prepared(view.df, plan), plan.output, None
+    def _whole(self, plan: QueryPlan, view: View, deterministic: bool, held: list | None = None) -> tuple[DataFrame, dict[str, ValueType], list[str] | None]:
+        if plan.group is None:
+            return prepared(view.rows_for(plan), plan), plan.output, None
+        df, output, fields = aggregated(view.rows_for(plan), plan, deterministic, self.config.limits.max_pivot_columns, held)
+        if plan.spread is not None and not plan.rollup:
+            check_sort(plan.sort, set(output), "/query")
+        return df, output, fields
 
-    def _order(self, plan: QueryPlan, view: View, output: Mapping[str, LType]) -> list[Column]:
+    def _order(self, plan: QueryPlan, view: View, output: Mapping[str, ValueType]) -> list[Column]:
         return ordering(plan, view.ties())
 
     # Answers
@@ -224,11 +254,11 @@ class Engine:
         req = parse_request(request, RunRequest)
         with self.slot():
             deadline = self._deadline(req.options.timeout_s, began)
-            view = self.executor.run(lambda: self.view(req.dataset, req.extensions, caller), deadline)
+            view = self.view(req.dataset, req.extensions, caller, run=lambda make: self.executor.run(make, deadline))
             plan = self.plan(req.query, view)
             planned = time.monotonic()
             key = self._fingerprint(req, view)
-            if plan.aggregated:
+            if plan.group is not None:
                 table, total, fields, output, cached = self._groups(req, plan, view, deadline)
             else:
                 table, total, fields, output, cached = self._leaves(req, plan, view, deadline, key)
@@ -236,26 +266,44 @@ class Engine:
         return self._finish(caller, req, view, key, table, total, fields, output, cached, stages, began, planned)
 
     def _groups(self, req: RunRequest, plan: QueryPlan, view: View, deadline: float | None):
-        """Aggregates are cached whole, without their page, and paged on the driver."""
-        key = fingerprint({"view": view.identity, "query": _unpaged(req.query), "deterministic": req.options.deterministic, "numeric": vars(self.config.numeric), "plugins": self._versions()})
+        """Aggregates are collected and cached whole, without their page, if they fit in the cache; of larger ones, only the page
+        asked for leaves Spark."""
+        shared = {"view": view.identity, "deterministic": req.options.deterministic, "numeric": self.config.numeric._asdict(), "plugins": self._versions()}
+        key, page, limits = fingerprint({**shared, "query": _unpaged(req.query)}), req.query.page, self.config.limits
+        paged_key = fingerprint({**shared, "query": req.query})
         held = self.cache.get(key)
+        if held is None and page is not None and (own := self.cache.get(paged_key)) is not None:
+            return *own, True
+        cached = held is not None
         if held is None:
+
             def collect():
-                df, output, fields = self._whole(plan, view, req.options.deterministic)
-                cap = self.config.limits.max_groups
-                table = _table(paged(df.select(*[name(c) for c in output]), self._order(plan, view, output), None, cap))
-                if table.num_rows > cap:
-                    raise LimitExceeded(f"over {cap} groups", path="/query/group_by")
-                return table, output, fields
-
-            held = self.executor.run(collect, deadline)
+                kept: list[DataFrame] = []
+                try:
+                    df, output, fields = self._whole(plan, view, req.options.deterministic, kept)
+                    df, order = df.select(*[name(c) for c in output]), self._order(plan, view, output)
+                    fits = max(MIN_ROWS, self.config.cache_bytes // (CELL_BYTES * max(1, len(output))))
+                    table = _table(paged(df, order, None, min(limits.max_groups, fits)))
+                    if table.num_rows <= min(limits.max_groups, fits):
+                        return (table, output, fields), None
+                    groups = df.count()
+                    if groups > limits.max_groups:
+                        raise LimitExceeded(f"over {limits.max_groups} groups", path="/query/group_by")
+                    if page is None:
+                        raise LimitExceeded("too many rows without a page", "too_many_rows", "/query/page")
+                    del table
+                    return None, (_table(paged(df, order, page, 0)), groups, fields, output)
+                finally:
+                    for df in kept:
+                        df.unpersist()
+
+            held, large = self.executor.run(collect, deadline)
+            if large is not None:
+                self.cache.put(paged_key, large, large[0].nbytes)
+                return *large, False
             self.cache.put(key, held, held[0].nbytes)
-            cached = False
-        else:
-            cached = True
         table, output, fields = held
-        page = req.query.page
-        if page is None and table.num_rows > self.config.limits.max_unpaged_rows:
+        if page is None and table.num_rows > limits.max_unpaged_rows:
             raise LimitExceeded("too many rows without a page", "too_many_rows", "/query/page")
         return table.slice(page.offset, page.limit) if page else table, table.num_rows, fields, output, cached
 
@@ -286,7 +334,7 @@ class Engine:
             deadline = self._deadline(req.options.timeout_s, began)
             view, df, output, order, base = self.executor.run(lambda: self._sides(req, caller), deadline)
             planned = time.monotonic()
-            key = fingerprint({"sides": [view.identity, base.identity], "query": req.query, "numeric": vars(self.config.numeric), "plugins": self._versions()})
+            key = fingerprint({"sides": [view.identity, base.identity], "query": req.query, "numeric": self.config.numeric._asdict(), "plugins": self._versions()})
             held = self.cache.get(key)
             if held is None:
                 def collect():
@@ -312,7 +360,7 @@ class Engine:
         core = _unpaged(req.query, sort=())
         self.plan(req.query if not req.query.sort else _resorted(req.query), view)  # page cap
         plan, other = self.plan(core, view), self.plan(core, base)
-        if plan.aggregated:
+        if plan.group is not None:
             keys = plan.keys
             left, types, _ = self._whole(plan, view, req.options.deterministic)
             right, base_types, _ = self._whole(other, base, req.options.deterministic)
@@ -321,13 +369,13 @@ class Engine:
             if not keys:
                 raise SpecError("comparing rows needs a dataset with key columns", "no_key_columns", "/dataset")
             chosen = [*keys, *(c for c in plan.output if c not in keys)]
-            left, types = prepared(view.df, plan).select(*[name(c) for c in chosen]), {c: plan.row_types[c] for c in chosen}
-            right, base_types = prepared(base.df, other).select(*[name(c) for c in chosen if c in other.row_types]), other.row_types
+            left, types = prepared(view.rows_for(plan), plan).select(*[name(c) for c in chosen]), {c: plan.types[c] for c in chosen}
+            right, base_types = prepared(base.rows_for(other), other).select(*[name(c) for c in chosen if c in other.types]), other.types
         values = [c for c in types if c not in keys]
         df, output = compared(left, right, keys, values, types, base_types, self.config.numeric)
         if plan.rollup:
-            check_sort(req.query.sort, set(plan.group_by), "/query", "with rollup, only group columns can be sorted")
-            order = ordering(_with_sort(plan, req.query.sort))
+            check_sort(req.query.sort, set(plan.group.keys), "/query", "a rollup can be sorted by its group columns only")
+            order = ordering(plan.sorted_by(req.query.sort))
         else:
             check_sort(req.query.sort, set(output), "/query")
             given = [k.by for k in req.query.sort]
@@ -349,7 +397,7 @@ class Engine:
             "dataset": {"id": view.dataset.id, "version": view.dataset.version},
             "query": canonical(req.query),
             "extensions": {k: p.explain() for k, p in view.plans},
-            "derive": [{"name": d.name, "formula": to_formula(d.value.node), "columns": d.value.node.columns(), "type": str(d.type)} for d in plan.derives],
+            "derive": [{"name": d.name, "formula": to_formula(d.value.node), "columns": d.value.node.columns(), "type": str(d.type)} for d in plan.before if isinstance(d, Compute)],
             "types": {c: str(t) for c, t in output.items()},
             "plan": text.getvalue(),
         }
@@ -384,10 +432,12 @@ class Engine:
         return {"pyspark": pyspark.__version__, **{k: p.version for k, p in sorted(self.plugins.items())}}
 
     def _fingerprint(self, req: RunRequest, view: View) -> str:
-        return fingerprint({"view": view.identity, "query": req.query, "deterministic": req.options.deterministic, "numeric": vars(self.config.numeric), "plugins": self._versions()})
+        return fingerprint({"view": view.identity, "query": req.query, "deterministic": req.options.deterministic, "numeric": self.config.numeric._asdict(), "plugins": self._versions()})
 
     def _audit(self, req: RunRequest, plan: QueryPlan, view: View, total: int, deadline: float | None) -> dict[str, int]:
-        filtered = view.df if plan.filter is None else view.df.filter(Compiler().predicate(plan.filter))
+        filtered = view.rows_for(plan)
+        if plan.before and isinstance(plan.before[0], Where):
+            filtered = filtered.filter(Compiler().predicate(plan.before[0].test))
         both = self.executor.run(lambda: (view.base.count(), filtered.count()), deadline)
         return {"dataset": both[0], "filtered": both[1], "result": total}
 
@@ -414,9 +464,5 @@ def _resorted(q: Query) -> Query:
     return replace(q, sort=())
 
 
-def _with_sort(plan: QueryPlan, sort: tuple) -> QueryPlan:
-    return replace(plan, sort=sort)
-
-
 def _table(df: DataFrame) -> pa.Table:
     return df.toArrow()

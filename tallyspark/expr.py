@@ -74,9 +74,9 @@ def literal(kind: str, value: object) -> Node:
         raise ValueError(f"unknown literal type {kind!r}")
     if kind == "null":
         if value is not None:
-            raise ValueError("a null literal has no value")
+            raise ValueError(f"null with the value {value!r}")
     elif value is None:
-        raise ValueError(f"a {kind} literal needs a value")
+        raise ValueError(f"{kind} without a value")
     elif kind == "bool" and not isinstance(value, bool) or kind == "str" and not isinstance(value, str):
         raise ValueError(f"{value!r} is no {kind}")
     elif kind == "int":

@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..plans.checker import Typed
-from ..types import FLOAT, INT, LType, decimal
+from ..types import FLOAT, INT, ValueType, decimal
 
 WHOLE, NUMBER, ISO_DATE = r"^[+-]?\d+$", r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$", r"^\d{4}-\d{2}-\d{2}$"
 
@@ -33,7 +33,7 @@ def half_even(c: Column, scale: int) -> Column:
     return F.bround(c, scale).cast(decimal(scale).spark())
 
 
-def convert(c: Column, source: LType, target: LType) -> Column:
+def convert(c: Column, source: ValueType, target: ValueType) -> Column:
     """Between types that meet: never from decimal literals' exactness to less unless the target is float."""
     if source.kind == target.kind == "decimal" and target.scale < source.scale:
         return half_even(c, target.scale)
@@ -50,12 +50,12 @@ class Compiler:
 
     def materialize(self, t: Typed) -> Column:
         """As a column of the expression's own type."""
-        return self(t, t.type.rigid())
+        return self(t, t.type.settled())
 
     def predicate(self, t: Typed) -> Column:
         return self(t).cast("boolean")
 
-    def __call__(self, t: Typed, target: LType | None = None) -> Column:
+    def __call__(self, t: Typed, target: ValueType | None = None) -> Column:
         if target is not None and t.node.kind == "lit":
             return _literal(t, target)
         out = getattr(self, "_" + t.node.kind)(t)
@@ -145,7 +145,7 @@ class Compiler:
         return edge(x).cast(t.type.spark()) if kind == "decimal" else F.when(F.abs(x) < 2.0**53, edge(x).cast("double")).otherwise(x)
 
     def _plugin(self, t: Typed) -> Column:
-        args = [self(a, a.type.rigid()) for a in t.args]
+        args = [self(a, a.type.settled()) for a in t.args]
         out = t.plugin.column(*args).cast(t.type.spark()) if t.type.kind != "decimal" else half_even(t.plugin.column(*args), t.type.scale)
         if t.type.kind == "float":
             out = finite(out)
@@ -201,7 +201,7 @@ def divide(x: Column, y: Column, sx: int, sy: int, scale: int) -> Column:
     return F.when((away == lit(half)) & (side != 0), signed).otherwise(near)
 
 
-def _literal(t: Typed, target: LType) -> Column:
+def _literal(t: Typed, target: ValueType) -> Column:
     kind, value = t.node["type"], t.node["value"]
     if value is None or kind == "null":
         return F.lit(None) if target.kind == "null" else F.lit(None).cast(target.spark())

@@ -11,7 +11,7 @@ from typing import TYPE_CHECKING, Any
 
 from ..expr import FUNCTIONS
 from ..plans.request import AGGREGATES
-from ..types import LType
+from ..types import ValueType
 
 if TYPE_CHECKING:
     from pyspark.sql import Column, DataFrame
@@ -29,7 +29,7 @@ class FunctionDef:
     value from plain values. With nulls="propagate" a null argument gives null without calling either."""
 
     name: str
-    typecheck: Callable[[Sequence[LType]], LType]
+    typecheck: Callable[[Sequence[ValueType]], ValueType]
     column: Callable[..., Column]
     reference: Callable[..., Any]
     min_args: int = 1
@@ -44,7 +44,7 @@ class AggregateDef:
     takes the list of a group's values that are not null, never empty. A group without values is null."""
 
     name: str
-    typecheck: Callable[[LType], LType]
+    typecheck: Callable[[ValueType], ValueType]
     column: Callable[[Column], Column]
     reference: Callable[[list], Any]
     description: str = ""
@@ -53,7 +53,7 @@ class AggregateDef:
 class TransformPlan(ABC):
     """A transform checked against a dataset. `env` holds the column types after it; `canonical` is its identity as JSON."""
 
-    env: dict[str, LType]
+    env: dict[str, ValueType]
     canonical: list
 
     @abstractmethod
@@ -77,7 +77,7 @@ class Bound(ABC):
     identity: Any = None
 
     @abstractmethod
-    def plan(self, env: dict[str, LType], df: DataFrame, context: PlanContext) -> TransformPlan: ...
+    def plan(self, env: dict[str, ValueType], df: DataFrame, context: PlanContext) -> TransformPlan: ...
 
 
 @dataclass(frozen=True)
@@ -96,7 +96,7 @@ class PlanContext:
 
     engine: Any
     dataset: Any
-    env: dict[str, LType]
+    env: dict[str, ValueType]
     caller: Any
     path: str
 

@@ -11,11 +11,11 @@ from ..errors import SpecError
 from ..expr import col, lit, node
 from ..functions.columns import Compiler, name
 from ..plans.checker import Scope
-from ..types import NUMERIC, LType, NumericConfig
+from ..types import NUMERIC, ValueType, Scales
 from .frames import null_safe_join
 
 
-def compared(target: DataFrame, base: DataFrame, keys: Sequence[str], values: Sequence[str], types: Mapping[str, LType], base_types: Mapping[str, LType], numeric: NumericConfig) -> tuple[DataFrame, dict[str, LType]]:
+def compared(target: DataFrame, base: DataFrame, keys: Sequence[str], values: Sequence[str], types: Mapping[str, ValueType], base_types: Mapping[str, ValueType], numeric: Scales) -> tuple[DataFrame, dict[str, ValueType]]:
     """Full outer join on the keys (nulls equal). Numbers get a difference, null where a side is missing, and a percentage of
     the base, null also for a base of 0."""
     for k in keys:
@@ -37,12 +37,12 @@ def compared(target: DataFrame, base: DataFrame, keys: Sequence[str], values: Se
         columns += [name(v), name(v + "__base")]
         if types[v].kind in NUMERIC and base_types[v].kind in NUMERIC:
             delta = Scope(env, numeric).check(node("binary", col(v), col(v + "__base"), op="sub"))
-            kind = delta.type.rigid()
+            kind = delta.type.settled()
             as_float = lambda c: node("cast", col(c), to="float", scale=None)
             share = node("binary", node("binary", as_float(v + "__delta"), as_float(v + "__base"), op="div"), lit(100), op="mul")
             pct = Scope(env | {v + "__delta": kind}, numeric).check(share)
             both = both.withColumn(v + "__delta", to(delta, kind))
             both = both.withColumn(v + "__pct", to(pct))
-            out |= {v + "__delta": kind, v + "__pct": pct.type.rigid()}
+            out |= {v + "__delta": kind, v + "__pct": pct.type.settled()}
             columns += [name(v + "__delta"), name(v + "__pct")]
     return both.select(*columns), out

@@ -12,7 +12,7 @@ from ..engine import Caller, Engine
 from ..errors import SpecError, pointer
 from ..expr import Node, col, literal, node
 from ..plans.request import DatasetRef, Measure, Page, Pivot, Query, RunRequest, SortKey
-from ..types import LType, checked, json_value
+from ..types import ValueType, checked, json_value
 
 #: The grid's own column for groups, and its aggregate names as ours.
 GROUP_COLUMN = "ag-Grid-AutoColumn"
@@ -48,14 +48,14 @@ class GridRequest:
             raise SpecError(f"not a row request: {e!r}", "invalid_request") from None
 
 
-def _same(c: str, value: Any, t: LType) -> Node:
+def _same(c: str, value: Any, t: ValueType) -> Node:
     """Equality in which null equals null."""
     if value is None:
         return node("is_null", col(c), negate=False)
     return node("cmp", col(c), _value(value, t), op="eq")
 
 
-def _value(value: Any, t: LType) -> Node:
+def _value(value: Any, t: ValueType) -> Node:
     kind = {"decimal": "num", "int": "int", "float": "num"}.get(t.kind, t.kind)
     plain = json_value(value)
     return literal(kind, str(plain) if kind == "num" and not isinstance(plain, int | float) else plain)
@@ -110,12 +110,12 @@ class GridAdapter:
         query = Query(filter=_all(parts), group_by=(level,) if level else (), measures=measures, pivot=pivot, sort=tuple(SortKey(by, desc) for by, desc in sorts.items()), page=page)
         return RunRequest(self.dataset, extensions=extensions, query=query)
 
-    def _type(self, types: Mapping[str, LType], column: str) -> LType:
+    def _type(self, types: Mapping[str, ValueType], column: str) -> ValueType:
         if column not in types:
             raise SpecError(f"unknown column: {column}", "unknown_column", column=column)
         return types[column]
 
-    def _measure(self, column: str, aggregate: str, types: Mapping[str, LType]) -> Measure:
+    def _measure(self, column: str, aggregate: str, types: Mapping[str, ValueType]) -> Measure:
         if aggregate in self.measures:
             return self.measures[aggregate](column)
         self._type(types, column)
@@ -124,7 +124,7 @@ class GridAdapter:
             raise SpecError(f"aggregate {aggregate!r} has no measure", "unsupported_aggregation")
         return Measure(column, fn, None if fn == "count_rows" else col(column))
 
-    def _key(self, key: str, t: LType) -> Any:
+    def _key(self, key: str, t: ValueType) -> Any:
         """Group keys travel as JSON text."""
         try:
             value = json.loads(key)
@@ -134,12 +134,12 @@ class GridAdapter:
 
     # Filters
 
-    def _filters(self, model: Mapping[str, Any], types: Mapping[str, LType]) -> list[Node]:
+    def _filters(self, model: Mapping[str, Any], types: Mapping[str, ValueType]) -> list[Node]:
         if model.get("filterType") == "join":
             raise SpecError("advanced filters are not supported", "unsupported_filter", "/filterModel")
         return [n for c, spec in model.items() if spec is not None and (n := self._filter(c, spec, self._type(types, c), pointer("/filterModel", c))) is not None]
 
-    def _filter(self, c: str, spec: Mapping[str, Any], t: LType, path: str) -> Node | None:
+    def _filter(self, c: str, spec: Mapping[str, Any], t: ValueType, path: str) -> Node | None:
         kind = spec.get("filterType")
         if kind == "multi":
             return _all([n for s in spec.get("filterModels") or () if s is not None and (n := self._filter(c, s, t, path)) is not None])
@@ -173,10 +173,10 @@ class GridAdapter:
             raise SpecError(f"text filter {test!r} is not supported", "unsupported_filter", path)
         return made[test]()
 
-    def _range(self, c: str, test: str, spec: Mapping[str, Any], t: LType, dates: bool, path: str) -> Node:
+    def _range(self, c: str, test: str, spec: Mapping[str, Any], t: ValueType, dates: bool, path: str) -> Node:
         subject, kind = col(c), t
         if dates and t.kind == "datetime":  # calendar days
-            subject, kind = node("cast", col(c), to="date", scale=None), LType("date")
+            subject, kind = node("cast", col(c), to="date", scale=None), ValueType("date")
 
         def bound(name: str) -> Node:
             raw = spec.get(name)

@@ -12,13 +12,13 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any, Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import DatasetNotFound, SpecError
 from ..functions.columns import name
-from ..types import KEY_KINDS, LType, of_spark
+from ..types import KEY_KINDS, ValueType, of_spark
 
 ROW = "__row"
 
@@ -26,7 +26,7 @@ ROW = "__row"
 @dataclass(frozen=True)
 class ColumnMeta:
     name: str
-    type: LType
+    type: ValueType
     role: str  # key, dimension or measure
     editable: bool
 
@@ -36,7 +36,7 @@ class Schema:
     columns: tuple[ColumnMeta, ...]
 
     @property
-    def types(self) -> dict[str, LType]:
+    def types(self) -> dict[str, ValueType]:
         return {c.name: c.type for c in self.columns}
 
     @property
@@ -60,6 +60,11 @@ class Dataset:
     schema: Schema
     df: DataFrame = field(compare=False)
     kind: str = "frame"
+    raw: DataFrame | None = field(default=None, compare=False)
+
+    def within(self, bounds: Column) -> DataFrame:
+        """The data of rows whose columns, as they are before they are normalized, pass a test."""
+        return self.df if self.raw is None else normalized(self.raw.filter(bounds))[0]
 
 
 class DatasetCatalog(Protocol):
@@ -70,7 +75,7 @@ class DatasetCatalog(Protocol):
     def list(self) -> list[Dataset]: ...
 
 
-def normalized(df: DataFrame) -> tuple[DataFrame, dict[str, LType]]:
+def normalized(df: DataFrame) -> tuple[DataFrame, dict[str, ValueType]]:
     """One Spark type for each kind, NaN and infinity as null; ROW stays as it is. Columns that have their type already are
     left alone, so that filters on them still reach a file's scan."""
     types = {f.name: of_spark(f.dataType) for f in df.schema.fields if f.name != ROW}
@@ -86,7 +91,7 @@ def normalized(df: DataFrame) -> tuple[DataFrame, dict[str, LType]]:
     return df.select(*columns), types
 
 
-def schema_of(types: Mapping[str, LType], keys: Sequence[str], editable: Sequence[str] | None, roles: Mapping[str, str] | None) -> Schema:
+def schema_of(types: Mapping[str, ValueType], keys: Sequence[str], editable: Sequence[str] | None, roles: Mapping[str, str] | None) -> Schema:
     out = []
     for n, t in types.items():
         role = "key" if n in keys else (roles or {}).get(n) or ("measure" if t.numeric else "dimension")
@@ -104,7 +109,7 @@ def check_names(columns: Sequence[str]) -> None:
         raise SpecError("column names differ only by case", "name_conflict")
 
 
-def check_keys(df: DataFrame, types: Mapping[str, LType], keys: Sequence[str], rows: bool = True) -> None:
+def check_keys(df: DataFrame, types: Mapping[str, ValueType], keys: Sequence[str], rows: bool = True) -> None:
     """Keys must exist, have a usable type and, if `rows`, no nulls and no duplicates (one grouping of the data)."""
     for k in keys:
         if k not in types:
@@ -167,7 +172,7 @@ class Catalog:
         elif format == "ipc":
             from .ipc import read_ipc
 
-            df = read_ipc(self.spark, paths)
+            df = read_ipc(self.spark, paths, storage_options)
         else:
             raise SpecError(f"cannot read {format!r}: parquet or ipc", "invalid_spec")
         return self._register(id, df, key_columns, version, editable, roles, "scan", validate_keys, False, format == "parquet")
@@ -176,13 +181,16 @@ class Catalog:
         own = [c for c in df.columns if c != ROW]
         check_names(own)
         if not keys:
-            order = F.struct("_metadata.file_path", "_metadata.row_index") if files else F.monotonically_increasing_id()
-            df = df if ROW in df.columns else df.withColumn(ROW, order)
-        out, types = normalized(df.select(*[name(c) for c in own], *([] if keys else [name(ROW)])))
+            if files:
+                df = df.withColumn(ROW, F.struct("_metadata.file_path", "_metadata.row_index"))
+            elif ROW not in df.columns:
+                df = self._numbered(df)
+        raw = df.select(*[name(c) for c in own], *([] if keys else [name(ROW)]))
+        out, types = normalized(raw)
         check_keys(out, types, keys, check_rows)
         if persist:
             out = out.persist()
-        held = Dataset(id, version or content_version(out), schema_of(types, keys, editable, roles), out, kind)
+        held = Dataset(id, version or content_version(out), schema_of(types, keys, editable, roles), out, kind, None if persist else raw)
         with self._lock:
             versions = self._held.setdefault(id, OrderedDict())
             versions.pop(held.version, None)
@@ -191,6 +199,15 @@ class Catalog:
                 versions.popitem(last=False)
         return held
 
+    def _numbered(self, df: DataFrame) -> DataFrame:
+        """A frame with its row order, fixed once: numbers that are given anew by each query change with its plan. It is
+        written where the session has a checkpoint folder, and kept in memory and on disk else."""
+        df = df.withColumn(ROW, F.monotonically_increasing_id())
+        folder = self.spark.conf.get("spark.checkpoint.dir", None)
+        if folder and not self.spark.sparkContext.getCheckpointDir():
+            self.spark.sparkContext.setCheckpointDir(folder)
+        return df.checkpoint() if self.spark.sparkContext.getCheckpointDir() else df.persist()
+
     def get(self, id: str, version: str | None = None) -> Dataset:
         with self._lock:
             versions = self._held.get(id)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,17 +26,24 @@ def _open(data: bytes) -> Iterator[pa.RecordBatch]:
         yield from pa.ipc.open_stream(pa.BufferReader(data))
 
 
-def read_ipc(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """All files of equal schema, each read by one task through Spark's binary source (so any store that Spark reads will do),
-    with a hidden row order. A file must fit in a task."""
-    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
-    first = files.orderBy("path").limit(1).collect()
-    if not first:
+def read_ipc(spark: SparkSession, paths: Sequence[str], storage_options: Mapping[str, str] | None = None) -> DataFrame:
+    """All files of equal schema, each read by one task through Spark's binary source (so any store that Spark reads will do,
+    with its options), with a hidden row order. A file must fit in a task; only its schema comes to the driver."""
+    files = spark.read.format("binaryFile").options(**(storage_options or {})).load(list(paths))
+    named = files.select("path").orderBy("path").collect()
+    if not named:
         raise SpecError(f"{', '.join(paths)}: no files", "file_not_found")
-    batches = list(_open(bytes(first[0].content)))
-    schema = from_arrow_schema(batches[0].schema) if batches else StructType([])
+
+    def header(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for content in batch.column(0):
+                schema = next((b.schema for b in _open(content.as_py())), pa.schema([]))
+                yield pa.RecordBatch.from_arrays([pa.array([schema.serialize().to_pybytes()])], names=["schema"])
+
+    found = files.filter(F.col("path") == named[0].path).select("content").mapInArrow(header, "schema binary").first()
+    schema = from_arrow_schema(pa.ipc.read_schema(pa.BufferReader(bytes(found.schema))))
     names = [f.name for f in schema.fields]
-    numbers = spark.createDataFrame([(r.path, i) for i, r in enumerate(files.select("path").orderBy("path").collect())], "path string, number long")
+    numbers = spark.createDataFrame([(r.path, i) for i, r in enumerate(named)], "path string, number long")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -46,4 +53,4 @@ def read_ipc(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array(range(at, at + len(part)), pa.int64())], names=[*names, ROW])
                     at += len(part)
 
-    return files.join(F.broadcast(numbers), "path").select("number", "content").mapInArrow(run, StructType([*schema.fields, StructField(ROW, LongType())]))
+    return files.select("path", "content").join(F.broadcast(numbers), "path").select("number", "content").mapInArrow(run, StructType([*schema.fields, StructField(ROW, LongType())]))

@@ -14,7 +14,7 @@ from ..operators.frames import Grouped, prepared
 from ..plans.logical import Limits, Planner
 from ..plans.request import Query
 from ..sources.catalog import normalized
-from ..types import NumericConfig
+from ..types import Scales
 
 
 def streaming_query(df: DataFrame, query: Any, *, event_time: str | None = None, watermark: str | None = None, window: str | None = None, functions: Mapping | None = None, aggregates: Mapping | None = None) -> DataFrame:
@@ -30,23 +30,16 @@ def streaming_query(df: DataFrame, query: Any, *, event_time: str | None = None,
         frame = frame.withColumn(event_time, name(event_time).cast("timestamp"))
         if watermark is not None:
             frame = frame.withWatermark(event_time, watermark)
-    plan = Planner(types, tuple(types), NumericConfig(), Limits(), functions or {}, aggregates or {}).plan(q)
+    plan = Planner(types, tuple(types), Scales(), Limits(), functions or {}, aggregates or {}).plan(q)
     rows = prepared(frame, plan)
-    if not plan.aggregated:
+    if plan.group is None:
         return rows.select(*[name(c) for c in plan.output])
     if plan.totals:
         raise SpecError("total() needs all rows, which a stream never has", "invalid_total", "/query/post")
-    grouped = Grouped(rows, plan)
     if window is None:
-        return grouped.finish(grouped.by(plan.group_by), plan.keys, None)
+        grouped = Grouped(rows, plan)
+        return grouped.finish(grouped.finest, plan.keys, None)
     if event_time is None:
         raise SpecError("windows need an event time", "invalid_request")
-    timed = Grouped(rows, plan)
-    timed.rows = rows.select(F.window(name(event_time), window).alias("window"), *[name(k) for k in plan.group_by], *_inputs(timed))
-    return timed.finish(timed.by(("window", *plan.group_by)), ("window", *plan.group_by), None)
-
-
-def _inputs(grouped: Grouped) -> list:
-    from ..operators.frames import _input
-
-    return [_input(h).alias("__in" + h.name) for h in grouped.hidden]
+    timed = Grouped(rows.withColumn("window", F.window(name(event_time), window)), plan, first=("window",))
+    return timed.finish(timed.finest, ("window", *plan.keys), None)

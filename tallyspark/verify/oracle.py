@@ -12,8 +12,8 @@ from typing import Any
 from ..functions.columns import ISO_DATE, NUMBER, WHOLE
 from ..operators.frames import label
 from ..plans.checker import Typed
-from ..plans.logical import LEVEL, Hidden, QueryPlan
-from ..types import WIDE, LType, NumericConfig, rounded
+from ..plans.logical import LEVEL, Partial, QueryPlan, Where
+from ..types import WIDE, ValueType, Scales, rounded
 
 Row = dict[str, Any]
 
@@ -25,13 +25,13 @@ class Overflow(ArithmeticError):
 class Evaluator:
     """Values of typed expressions in one row; `totals` holds measures over all rows."""
 
-    def __init__(self, numeric: NumericConfig, totals: Mapping[str, Any] | None = None) -> None:
+    def __init__(self, numeric: Scales, totals: Mapping[str, Any] | None = None) -> None:
         self.numeric, self.totals = numeric, totals or {}
 
     def value(self, t: Typed, row: Row) -> Any:
         return getattr(self, "_" + t.node.kind)(t, row)
 
-    def converted(self, t: Typed, row: Row, target: LType) -> Any:
+    def converted(self, t: Typed, row: Row, target: ValueType) -> Any:
         return as_type(self.value(t, row), target)
 
     def _lit(self, t: Typed, row: Row) -> Any:
@@ -105,7 +105,7 @@ class Evaluator:
         if t.plugin is not None:
             if t.plugin.nulls == "propagate" and None in args:
                 return None
-            given = [as_type(v, a.type.rigid()) for v, a in zip(args, t.args, strict=True)]
+            given = [as_type(v, a.type.settled()) for v, a in zip(args, t.args, strict=True)]
             return as_type(t.plugin.reference(*given), t.type)
         if name in ("min", "max", "coalesce"):
             there = [as_type(v, t.meet) for v in args if v is not None]
@@ -176,7 +176,7 @@ def _quotient(x: Decimal, y: Decimal, scale: int) -> Decimal:
     return WIDE.add(cut, Decimal(sign).scaleb(-scale - 5))
 
 
-def as_type(v: Any, t: LType) -> Any:
+def as_type(v: Any, t: ValueType) -> Any:
     if v is None:
         return None
     if t.kind == "float":
@@ -194,21 +194,21 @@ def _key(v: Any) -> tuple:
 class Table:
     """A plan run over rows of one view."""
 
-    def __init__(self, rows: Sequence[Row], plan: QueryPlan, numeric: NumericConfig) -> None:
+    def __init__(self, rows: Sequence[Row], plan: QueryPlan, numeric: Scales) -> None:
         self.plan, self.numeric, self.plain = plan, numeric, Evaluator(numeric)
-        self.rows = [dict(r) for r in rows if plan.filter is None or self.plain.value(plan.filter, r) is True]
-        for d in plan.derives:
-            for r in self.rows:
-                if d.where is None or self.plain.value(d.where, r) is True:
-                    r[d.name] = self.plain.converted(d.value, r, d.type)
-                else:
-                    r[d.name] = self.plain.converted(d.otherwise, r, d.type) if d.otherwise is not None else None
-
-    def _aggregate(self, h: Hidden, rows: list[Row]) -> Any:
-        counted = [r for r in rows if all(self.plain.value(m, r) is True for m in h.masks) and (h.also is None or self.plain.value(h.also, r) is not None)]
+        self.rows = [dict(r) for r in rows]
+        for step in plan.before:
+            if isinstance(step, Where):
+                self.rows = [r for r in self.rows if self.plain.value(step.test, r) is True]
+            else:
+                for r in self.rows:
+                    r[step.name] = self.plain.converted(step.value, r, step.type)
+
+    def _aggregate(self, h: Partial, rows: list[Row]) -> Any:
+        counted = [r for r in rows if all(self.plain.value(t, r) is True for t in h.only)]
         if h.fn == "count_rows":
             return len(counted)
-        values = [v for r in counted if (v := self.plain.converted(h.input, r, h.input.type.rigid())) is not None]
+        values = [v for r in counted if (v := self.plain.converted(h.input, r, h.input.type.settled())) is not None]
         if h.fn == "count":
             return len(values)
         if h.fn == "count_distinct":
@@ -222,11 +222,8 @@ class Table:
         return math.fsum(values) if h.type.kind == "float" else sum(values)
 
     def _measures(self, rows: list[Row]) -> Row:
-        out = {}
-        for m in self.plan.measures:
-            hidden = {h.name: self._aggregate(h, rows) for h in m.hidden}
-            out[m.name] = self.plain.converted(m.final, hidden, m.type)
-        return out
+        parts = {p.name: self._aggregate(p, rows) for p in self.plan.group.partials}
+        return {m.name: self.plain.converted(m.value, parts, m.type) for m in self.plan.group.measures}
 
     def _level(self, keys: Sequence[str], fixed: Row, totals: Mapping[str, Any], extra: Sequence[str] = ()) -> list[Row]:
         groups: dict[tuple, list[Row]] = {}
@@ -237,47 +234,49 @@ class Table:
             groups[()] = []
         judge, out = Evaluator(self.numeric, totals), []
         for key, rows in groups.items():
-            row = {**dict.fromkeys(self.plan.group_by), **fixed, **dict(zip(names, key, strict=True)), **self._measures(rows)}
-            for p in self.plan.post:
-                row[p.name] = judge.converted(p.value, row, p.type)
-            if self.plan.having is None or judge.value(self.plan.having, row) is True:
+            row = {**dict.fromkeys(self.plan.group.keys), **fixed, **dict(zip(names, key, strict=True)), **self._measures(rows)}
+            passes = True
+            for step in self.plan.after:
+                if isinstance(step, Where):
+                    passes = passes and judge.value(step.test, row) is True
+                else:
+                    row[step.name] = judge.converted(step.value, row, step.type)
+            if passes:
                 out.append(row)
         return out
 
     def _levels(self, totals: Mapping[str, Any], extra: Sequence[str] = ()) -> list[Row]:
-        keys = self.plan.group_by
-        if not self.plan.rollup:
-            return self._level(keys, {}, totals, extra)
-        return [r for n in range(len(keys), -1, -1) for r in self._level(keys[:n], {LEVEL: n}, totals, extra)]
+        levels = self.plan.group.levels
+        return [r for keys in levels for r in self._level(keys, {LEVEL: len(keys)} if self.plan.rollup else {}, totals, extra)]
 
     def result(self) -> list[Row]:
         """All rows of the answer, in order, before paging."""
         plan = self.plan
-        if not plan.aggregated:
+        if plan.group is None:
             return [{c: r[c] for c in plan.output} for r in self._sorted(self.rows)]
         totals = self._measures(self.rows)
-        if plan.pivot is not None:
+        if plan.spread is not None:
             return self._sorted(self._pivot(totals))
         return [{c: r[c] for c in plan.output} for r in self._sorted(self._levels(totals))]
 
     def _pivot(self, totals: Mapping[str, Any]) -> list[Row]:
-        p = self.plan.pivot
+        p = self.plan.spread
         found = {tuple(r[k] for k in p.on) for r in self.rows}
         domain = p.domain if p.domain is not None else sorted(found, key=lambda d: [_key(v) for v in d])
-        names = {d: p.spec.separator.join(label(v, t, p.spec.null_label) for v, t in zip(d, p.types, strict=True)) for d in domain}
-        blank = {f"{names[d]}{p.spec.separator}{v}": None for d in domain for v in p.values}
+        names = {d: p.pivot.separator.join(label(v, t, p.pivot.null_label) for v, t in zip(d, p.types, strict=True)) for d in domain}
+        blank = {f"{names[d]}{p.pivot.separator}{v}": None for d in domain for v in p.values}
         out: dict[tuple, Row] = {}
         for r in self._levels(totals, p.on):
             cell = tuple(r[k] for k in p.on)
             key = tuple(r[k] for k in self.plan.keys)
             if cell in names or not domain:
                 row = out.setdefault(key, {**dict(zip(self.plan.keys, key, strict=True)), **blank})
-                row.update({f"{names[cell]}{p.spec.separator}{v}": r[v] for v in p.values} if domain else {})
+                row.update({f"{names[cell]}{p.pivot.separator}{v}": r[v] for v in p.values} if domain else {})
         if not self.plan.keys and domain and not out:
             out[()] = dict(blank)
         if not self.plan.keys and not domain:
             out.clear()
-        if p.spec.totals:
+        if p.pivot.totals:
             for r in self._levels(totals):
                 key = tuple(r[k] for k in self.plan.keys)
                 row = out.setdefault(key, {**dict(zip(self.plan.keys, key, strict=True)), **blank})
@@ -289,14 +288,14 @@ class Table:
         passes: list[tuple[Callable[[Row], Any], bool]] = []  # most important first
         given = {k.by: k for k in plan.sort}
         if plan.rollup:
-            for i, k in enumerate(plan.group_by):
+            for i, k in enumerate(plan.group.keys):
                 passes.append((lambda r, i=i: r[LEVEL] <= i, False))
                 passes += _passes(k, given[k].desc, given[k].nulls_last) if k in given else _passes(k)
         else:
             for k in plan.sort:
                 passes += _passes(k.by, k.desc, k.nulls_last)
-            if plan.aggregated:
-                passes += [x for k in plan.group_by if k not in given for x in _passes(k)]
+            if plan.group is not None:
+                passes += [x for k in plan.group.keys if k not in given for x in _passes(k)]
         for key, reverse in reversed(passes):
             rows = sorted(rows, key=key, reverse=reverse)
         return rows

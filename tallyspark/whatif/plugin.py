@@ -11,7 +11,7 @@ from ..engine import Caller
 from ..errors import SpecError, VersionConflict, pointer
 from ..functions.plugins import BindContext, Bound, PlanContext, Plugin, Registry, TransformDef
 from ..plans.request import DatasetRef, fingerprint
-from ..types import LType
+from ..types import ValueType
 from .scenarios import ScenarioManager, ScenarioStore
 from .steps import Step, WhatIf
 from .transform import StepsPlan
@@ -20,9 +20,9 @@ from .transform import StepsPlan
 class BoundSteps(Bound):
     def __init__(self, steps: Sequence[Step], strict: bool, version: str | None = None, saved: int = 0, scenario: dict | None = None) -> None:
         self.steps, self.strict, self.version, self.saved, self.scenario = list(steps), strict, version, saved, scenario
-        self.identity = fingerprint([self.steps, strict])
+        self.identity = fingerprint([self.steps, strict, saved, scenario])
 
-    def plan(self, env: dict[str, LType], df: DataFrame, context: PlanContext) -> StepsPlan:
+    def plan(self, env: dict[str, ValueType], df: DataFrame, context: PlanContext) -> StepsPlan:
         plan = StepsPlan(self.steps, self.strict, env, df, context, saved=self.saved)
         if self.scenario:
             plan.meta = lambda own=plan.meta: {**own(), "scenario": self.scenario}

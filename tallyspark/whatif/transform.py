@@ -19,7 +19,7 @@ from ..functions.columns import Compiler, half_even, name
 from ..functions.plugins import PlanContext, TransformPlan
 from ..plans.checker import Scope, Typed, materialized
 from ..plans.request import canonical
-from ..types import LType, checked, decimal, json_value, places, rounded
+from ..types import ValueType, checked, decimal, json_value, places, rounded
 from .steps import Disable, Formula, Override, Shock, Step
 
 MAX_STEPS, MAX_LOG, MAX_EDITS = 500, 10_000, 200_000
@@ -44,7 +44,7 @@ class Change:
     """A shock, checked: the column, its type, the exact amount, and where it holds."""
 
     step: Shock
-    type: LType
+    type: ValueType
     where: Typed | None
 
 
@@ -63,7 +63,7 @@ def effective(steps: Sequence[Step], path: str = "") -> list[tuple[int, Step]]:
 class StepsPlan(TransformPlan):
     """Checked steps over a dataset version."""
 
-    def __init__(self, steps: Sequence[Step], strict: bool, env: Mapping[str, LType], df: DataFrame, context: PlanContext, check_edits: bool = True, saved: int = 0) -> None:
+    def __init__(self, steps: Sequence[Step], strict: bool, env: Mapping[str, ValueType], df: DataFrame, context: PlanContext, check_edits: bool = True, saved: int = 0) -> None:
         self.path, self.keys = context.path, context.dataset.schema.keys
         self.editable = {c.name for c in context.dataset.schema.columns if c.editable}
         if len(steps) - saved > MAX_STEPS or len(steps) > MAX_LOG:
@@ -90,7 +90,7 @@ class StepsPlan(TransformPlan):
         if check_edits:
             self._match(df, strict)
 
-    def _writable(self, column: str, path: str) -> LType:
+    def _writable(self, column: str, path: str) -> ValueType:
         if column not in self.base:
             raise SpecError(f"unknown column: {column}", "unknown_column", path)
         if column in self.keys or column not in self.editable:
@@ -153,7 +153,7 @@ class StepsPlan(TransformPlan):
         if not told or told[-1] != what:
             told.append(what)
 
-    def _order(self) -> list[tuple[str, Typed, LType]]:
+    def _order(self) -> list[tuple[str, Typed, ValueType]]:
         """Formulas so that each comes after those that it reads."""
         self._inlined()  # finds cycles
         out, left = [], dict(self.formulas)
@@ -244,7 +244,7 @@ class StepsPlan(TransformPlan):
         return {"steps": self.canonical, "formulas": {n: to_formula(self.formulas[n]) for n, _, _ in self.columns}, "lineage": self.lineage}
 
 
-def moved(old: Any, step: Shock, kind: LType) -> Any:
+def moved(old: Any, step: Shock, kind: ValueType) -> Any:
     """A shocked value."""
     if kind.kind == "float":
         import math
