@@ -55,18 +55,26 @@ def release(spark: SparkSession) -> None:
 
 #: Keys of over HOT_ROWS rows are dealt to several tasks, HOT_TASKS at most, but for those beyond the commonest HOT_KEYS, which
 #: have at most a HOT_KEYS-th of all rows each.
-HOT_ROWS, HOT_TASKS, HOT_KEYS = 300, 500, 10_000
+HOT_ROWS, HOT_TASKS, HOT_KEYS, SMALL_BYTES = 300, 500, 10_000, 1 << 18
 
 
-def join_dealt(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+def hot_keys(rows: DataFrame, key: str, counts: DataFrame | None = None) -> list[tuple]:
+    """(key, tasks) of the common keys of `rows`, HOT_KEYS at most. `counts`: (hot, n), rows by key, where known. Tables of few
+    bytes, which any join takes in one task, are not looked at."""
+    if rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() < SMALL_BYTES:
+        return []
+    counts = rows.groupBy(F.col(key).alias("hot")).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    hot = counts.filter((F.col("n") > HOT_ROWS) & F.col("hot").isNotNull()).orderBy(F.desc("n"), "hot").limit(HOT_KEYS).collect()
+    return [(r.hot, min(HOT_TASKS, -(-r.n // HOT_ROWS))) for r in hot]
+
+
+def join_dealt(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: list[tuple] | None = None) -> DataFrame:
     """`left` joined by `key` with `right`, which has one row a key. Rows of a key that is common in `left` go to several tasks,
-    and its row of `right` to each of these. Null keys join nothing. `counts`: (hot, n), rows of `left` by key, where known."""
-    counts = left.groupBy(F.col(key).alias("hot")).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
-    hot = counts.filter((F.col("n") > HOT_ROWS) & F.col("hot").isNotNull()).orderBy(F.desc("n"), "hot").limit(HOT_KEYS).collect()  # HOT_KEYS rows at most
+    and its row of `right` to each of these. Null keys join nothing. `hot`: what hot_keys() says of left, where known."""
+    hot = hot_keys(left, key) if hot is None else hot
     if not hot:
         return left.join(right, key, how)
-    tasks = [(r.hot, min(HOT_TASKS, -(-r.n // HOT_ROWS))) for r in hot]
-    several = F.broadcast(left.sparkSession.createDataFrame(tasks, f"hot {left.schema[key].dataType.simpleString()}, tasks int"))
+    several = F.broadcast(left.sparkSession.createDataFrame(hot, f"hot {left.schema[key].dataType.simpleString()}, tasks int"))
     own = F.when(F.col("tasks").isNull(), 0).otherwise(F.pmod(F.xxhash64(*[F.col(c) for c, kind in left.dtypes if c != key and not kind.startswith("map")]), F.col("tasks"))).cast("int")
     a = left.join(several, F.col(key) == F.col("hot"), "left").withColumn("task", own).drop("hot", "tasks")
     b = right.join(several, F.col(key) == F.col("hot"), "left").withColumn("task", F.explode(F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1))).drop("hot", "tasks")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_dealt, materialize
+from .common import hot_keys, join_dealt, materialize
 
 
 def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -17,8 +17,9 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     """
     both = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
+    hubs = hot_keys(both, "b")
     for _ in range(max_rounds):
-        near = join_dealt(both, labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        near = join_dealt(both, labels.withColumnRenamed("node", "b"), "b", hot=hubs).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         closer = materialize(labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component")))
         roots = labels.select(F.col("node").alias("component"), F.col("component").alias("root")).filter("component <> root")
         jumped = materialize(join_dealt(closer, roots, "component", "left").select("node", "was", F.least("component", "root").alias("component")))

@@ -214,16 +214,17 @@ def near_duplicates(df: DataFrame, *, text: str = "text", row_key: str = "doc_id
     release(df.sparkSession)
     check = _Verifier(texts, nodes.select("node", "sketch"), width, threshold)
     links = check.links(members.filter("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")))
+    found = components(links)
     for turn in range(STAR_ROUNDS):
-        still = _open(members, links)
+        still = _open(members, found)
         if turn == STAR_ROUNDS - 1 or still.isEmpty():
             break
         centre = still.groupBy("band").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("centre"))
         star = join_dealt(still, centre, "band").filter("component <> centre.component").select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b"))
         links = links.union(check.links(star))
+        found = components(links)
     if not still.isEmpty():
-        links = links.union(_rest(still, nodes, check))
-    found = components(links)
+        found = components(links.union(_rest(still, nodes, check)))
     release(df.sparkSession)
     labelled = join_dealt(signed.select("doc_id", "text_key", "node", "n_shingles"), found, "node", "left")
     labelled = materialize(labelled.withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node"))))
@@ -233,9 +234,9 @@ def near_duplicates(df: DataFrame, *, text: str = "text", row_key: str = "doc_id
     return out.select("doc_id", "text_key", F.coalesce("component", "node").alias("node"), "n_shingles", "component_id", kept.alias("kept"))
 
 
-def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+def _open(members: DataFrame, found: DataFrame) -> DataFrame:
     """Members, with their component so far, of buckets that hold more than one component."""
-    labelled = join_dealt(members, components(links), "node", "left")
+    labelled = join_dealt(members, found, "node", "left")
     labelled = materialize(labelled.withColumn("component", F.coalesce("component", "node")).select("band", "node", "component"))
     several = materialize(labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high").select("band", "size"))
     return materialize(join_dealt(labelled, several, "band"))

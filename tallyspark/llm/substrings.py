@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import col, join_dealt, materialize, packed, read, release
+from .common import col, hot_keys, join_dealt, materialize, packed, read, release
 from .wordhash import _TABLE, U64, forget, mix, powers, runs, text_chunks
 
 LENGTH = 100
@@ -345,7 +345,7 @@ def dedup_substrings(df: DataFrame, *, text: str = "text", row_key: str = "doc_i
     release(spark)
     dictionary = known.filter(F.col("kind") == _PHRASE).drop("kind")
     shared = materialize(dictionary.groupBy("route").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    asked = join_dealt(dictionary, shared, "route", counts=shared.select(F.col("route").alias("hot"), "n")).withColumn("kind", F.when(F.col("n") > hot, _ASK_HOT).otherwise(_ASK))
+    asked = join_dealt(dictionary, shared, "route", hot=hot_keys(dictionary, "route", shared.select(F.col("route").alias("hot"), "n"))).withColumn("kind", F.when(F.col("n") > hot, _ASK_HOT).otherwise(_ASK))
     asks = materialize(asked.groupBy("d", "t").agg(F.collect_set(F.struct("lo", "hi", "route", "kind")).alias("asks")))
     texts = rows.dropDuplicates(["d", "t"]) if repeats else rows
     windows = texts.join(asks, ["d", "t"]).select("d", "t", "text", "asks").mapInArrow(lambda it: _windows(it, length), _COMPARED)

@@ -105,6 +105,7 @@ def test_hot_keys_are_dealt_to_several_tasks(spark, monkeypatch):
     from tallyspark.llm.graph import components
 
     monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(common, "SMALL_BYTES", 0)
     left = spark.createDataFrame([(1 if i < 60 else i, i) for i in range(80)] + [(None, 99)], "k long, x long")
     right = spark.createDataFrame([(i, i * 10) for i in range(70)], "k long, y long")
     for how, n in (("inner", 70), ("left", 81)):
