@@ -20,6 +20,8 @@ SAMPLES = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 WIDTH = 64
 #: PNG allows heights below 2**31; longer payloads go to wider rows.
 MOST_ROWS = 2**31 - 1
+#: A binary cell, and so an image that is read back, holds fewer bytes than this.
+MOST_BYTES = 2**31 - 1
 LEVEL = 6
 #: Images are reduced to SIDE x SIDE before the transform, of which LOW x LOW coefficients make the hash.
 SIDE, LOW = 32, 8
@@ -99,6 +101,8 @@ def decode_png(data: bytes) -> np.ndarray:
             raise PngError(f"checksum of chunk {kind!r} at {at} is wrong")
         at += 12 + size
         if kind == b"IHDR":
+            if len(content) != 13:
+                raise PngError("a header of the wrong length")
             head = struct.unpack(">IIBBBBB", content)
         elif kind == b"IDAT":
             body.append(content)
@@ -107,8 +111,14 @@ def decode_png(data: bytes) -> np.ndarray:
     if head is None or head[2] != 8 or head[3] not in SAMPLES or head[6]:
         raise PngError("only non-interlaced images of 8-bit samples can be read")
     columns, rows, step = head[0], head[1], SAMPLES[head[3]]
-    raw = zlib.decompress(b"".join(body))
-    if len(raw) != rows * (columns * step + 1):
+    if not (columns and rows):
+        raise PngError("an image without pixels")
+    size, stream = rows * (columns * step + 1), zlib.decompressobj()
+    try:
+        raw = stream.decompress(b"".join(body), min(size + 1, MOST_BYTES))  # no more than the header asks for, whatever is packed
+    except zlib.error as e:
+        raise PngError(f"its samples cannot be unpacked: {e}") from None
+    if len(raw) != size or not stream.eof:
         raise PngError("its size is not what the header says")
     lines = np.frombuffer(raw, np.uint8).reshape(rows, -1)
     return _unfilter(lines[:, 1:], lines[:, 0], step).reshape(rows, columns, step)
@@ -167,7 +177,9 @@ def _parts(batches: Iterator[pa.RecordBatch], size_of: int) -> Iterator[pa.Recor
 
 
 def add_media(df: DataFrame, *, text: str = "text", keep: list[str]) -> DataFrame:
-    """Columns `keep` with n_bytes (of the text's UTF-8) and media: the text's payload as a PNG in a binary column."""
+    """Columns `keep` with n_bytes (of the text's UTF-8) and media: the text's payload as a PNG in a binary column. Null texts
+    count as empty; equal texts give equal bytes; an empty table gives an empty result. Columns of `keep` named as an output
+    are replaced. A text must fit in a binary cell."""
     keep = [c for c in keep if c.lower() not in ("n_bytes", "media")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +206,7 @@ def media_features(df: DataFrame, *, media: str = "media", keep: list[str]) -> D
         stored = (len(data), hashlib.sha256(data).hexdigest())
         try:
             samples = decode_png(data)
-        except (PngError, zlib.error):
+        except PngError:
             return (None, None, None, *stored, None, None)
         payload = samples.tobytes()
         bits = cosine_hash(samples)
@@ -214,6 +226,7 @@ def media_features(df: DataFrame, *, media: str = "media", keep: list[str]) -> D
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of documents stored as a PNG, read back, and hashed. Null texts count as empty."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = media_features(add_media(docs, keep=["doc_id"]), keep=["doc_id", "n_bytes"])
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import struct
 import zlib
 
@@ -80,3 +81,50 @@ def test_damaged_media_are_null(spark):
     rows = spark.createDataFrame([(1, good), (2, good[:-9]), (3, None)], "k long, media binary")
     got = {r.k: r for r in M.media_features(rows, keep=["k"]).collect()}
     assert got[1].payload_bytes == 64 and got[2].payload_sha256 is None and got[2].media_bytes == len(good) - 9 and got[3].media_bytes is None
+
+
+def image(head, lines):
+    """A PNG of these header fields and filtered lines, with right checksums."""
+    return M.SIGNATURE + M._chunk(b"IHDR", head) + M._chunk(b"IDAT", zlib.compress(lines)) + M._chunk(b"IEND", b"")
+
+
+def test_malformed_images_with_right_checksums_give_nulls(spark):
+    head = lambda w, h, *more: struct.pack(">IIBBBBB", w, h, *(more or (8, 0, 0, 0, 0)))
+    bad = [
+        M.SIGNATURE + M._chunk(b"IHDR", b"12345") + M._chunk(b"IEND", b""),
+        image(head(4, 0), b""), image(head(0, 4), b"\0" * 4), image(head(4, 2), b"\0" * 9), image(head(4, 2), b"\0" * 11), image(head(4, 2), b"\7" + b"\0" * 9),
+        image(head(4, 2), b"\0" * 10_000_000), image(head(2**31 - 1, 2**31 - 1), b"\0" * 10), image(head(4, 2, 16, 0, 0, 0, 0), b"\0" * 18), image(head(4, 2, 8, 5, 0, 0, 0), b"\0" * 10),
+        M.SIGNATURE + M._chunk(b"IHDR", head(4, 2)) + M._chunk(b"IDAT", b"no zlib") + M._chunk(b"IEND", b""), M.SIGNATURE, b"", image(head(4, 2), b"\0" * 10)[:-3],
+    ]
+    for data in bad:
+        with pytest.raises(M.PngError):
+            M.decode_png(data)
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(bad)] + [(99, None), (100, bytearray(image(head(4, 2), bytes(10))))], "a long, `a.b` binary")
+    got = {r.a: r for r in M.media_features(df, media="a.b", keep=["a"]).collect()}
+    assert all(got[i].payload_bytes is None and got[i].media_bytes == len(b) for i, b in enumerate(bad))
+    assert got[99].media_bytes is None and got[100].payload_bytes == 8
+
+
+def naive_hash(samples):
+    """The cosine hash by its definition, coefficient by coefficient."""
+    rows, columns = len(samples), len(samples[0])
+    side, low = 32, 8
+
+    def part(n, i):
+        lo = i * n // side
+        return range(lo, max((i + 1) * n // side, lo + 1))
+
+    small = [[sum(samples[y][x] for y in part(rows, i) for x in part(columns, j)) / (len(part(rows, i)) * len(part(columns, j))) for j in range(side)] for i in range(side)]
+    cos = [[math.cos(math.pi * k * (2 * n + 1) / (2 * side)) for n in range(side)] for k in range(low)]
+    flat = [round(sum(cos[u][i] * cos[v][j] * small[i][j] for i in range(side) for j in range(side)), 6) if u or v else 0.0 for u in range(low) for v in range(low)]
+    middle = sum(sorted(flat)[31:33]) / 2
+    return f"{int(''.join(str(int(x > middle)) for x in flat), 2):016x}"
+
+
+def test_features_against_the_definition(spark):
+    texts = ["a", "some words of text " * 30, "é漢" * 100, "x" * 64, "ab" * 4000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.feature for r in M.media_features(M.add_media(df, keep=["doc_id"]), keep=["doc_id"]).collect()}
+    for i, t in enumerate(texts):
+        raw = t.encode() + bytes(-len(t.encode()) % 64)
+        assert got[i] == naive_hash([list(raw[k : k + 64]) for k in range(0, len(raw), 64)])

@@ -60,3 +60,46 @@ def test_folds(spark):
 
     got = spark.range(50).select(fold(F.col("id"), 5)).collect()
     assert [r[0] for r in got] == [zlib.crc32(str(i).encode()) % 5 for i in range(50)]
+
+
+def test_scores_against_the_definition(spark):
+    """Sentences, features and the noisy-or computed one by one."""
+    import math
+    import re
+
+    import numpy as np
+
+    from tallyspark.llm.wordhash import hash_of, mix
+
+    rng = np.random.default_rng(2)
+    model = X.Model(-3.0, rng.normal(0, 0.7, X.FEATURES).astype(np.float32))
+
+    def place(word, kind):
+        return (kind << X.FEATURE_BITS) | hash_of(word) >> (64 - X.FEATURE_BITS)
+
+    def slow(text):
+        clean, n = 1.0, 0
+        for sentence in re.split(r"[.!?\n]", text or ""):
+            found = set()
+            for w in re.findall(r"[^\x00-\x40\x5b-\x60\x7b-\x7f]+", sentence):
+                w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w)
+                found.add(place(w, 0))
+                found |= {place(w.encode()[:size].decode("utf-8", "surrogateescape"), k) for k, size in enumerate(X.STEM_BYTES, 1) if len(w.encode()) > size and w.isascii()}
+            if found:
+                n += 1
+                clean *= 1 - 1 / (1 + math.exp(3.0 - sum(float(model.weights[f]) for f in found)))
+        return 1 - clean if n else 1 / (1 + math.exp(3.0))
+
+    texts = ["One sentence here. Another, longer sentence!", "WORDS words Words", "no end", "", None, "a\nb\nc? d", "...", "it's 3 o'clock", "extraordinary extraordinarily extra"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in X.score(df, model, keep=["doc_id"]).collect()}
+    for i, t in enumerate(texts):
+        assert abs(got[i] - slow(t)) < 1e-5, t
+
+
+def test_long_texts_teach_and_names_clash_with_nothing(spark):
+    rows = [(i, ("calm words only. " * 4000 if i < 4 else "calm words. ") + ("you vilebeast." if i % 2 else ""), i % 2, 7) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int, `a.b` int")
+    model = X.train(df.select("doc_id", "text"), df.select("doc_id", "label"))
+    got = X.score(df, model, keep=["doc_id", "a.b", "text"]).collect()
+    assert all(r.predicted == r.doc_id % 2 and r["a.b"] == 7 for r in got)
