@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,11 +15,13 @@ from pyspark.sql import functions as F
 from .common import col, materialize, read, release
 
 #: Random-projection trees give the first graph; they are fitted on a sample of at most SAMPLE vectors.
-TREES, LEAF, SAMPLE = 6, 1500, 20_000
+TREES, LEAF, SAMPLE = 6, 200, 20_000
 #: Links out of a node, and links into it that are followed backwards.
 LINKS, BACK = 32, 32
 #: Rounds of NN-descent, and the share of new links under which they end early; a member of a neighbourhood is offered so many others.
-DESCENTS, SETTLED, OFFERS = 3, 0.02, 8
+DESCENTS, SETTLED, OFFERS = 6, 0.02, 8
+#: Nodes with which every query is compared for seeds, half of the largest norms and half by hash, and seeds that these give it.
+HUBS, HUB_SEEDS = 2048, 16
 #: Greedy search: best nodes kept, nodes expanded in a round; seeds a tree gives a query; candidates scored exactly, at least.
 BEAM, EXPAND, SEEDS, RESCORE = 256, 64, 8, 64
 #: Scores of half-float codes that differ by less may be in either order: each is wrong by 2 ** -10 at most.
@@ -67,13 +70,11 @@ class Trees:
 
 
 def usable(df: DataFrame, row_key: str, vector: str) -> DataFrame:
-    """(id, vec as doubles) of the rows that take part: a key, and a vector of the commonest length (of several the shortest)
-    that is not zero and holds no null, NaN or infinity. Repeated rows count once."""
+    """(id, vec as doubles, twin) of the rows that take part: a key, and a vector that is not zero and holds no null, NaN or
+    infinity. Repeated rows count once."""
     rows = df.select(col(row_key).cast("long").alias("id"), col(vector).cast("array<double>").alias("vec")).filter("id is not null and vec is not null")
     sound = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vec", lambda x: x != 0)
-    rows = rows.filter(F.coalesce(sound, F.lit(False)))
-    best = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.filter(F.size("vec") == (best.n if best else 0)).distinct()
+    return rows.filter(F.coalesce(sound, F.lit(False))).distinct()
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -148,22 +149,29 @@ def _merged(lists: DataFrame, n: int) -> DataFrame:
                 top = np.argsort(-sims, kind="stable")[:n]
                 out_ids.append(ids[top])
                 out_sims.append(sims[top])
-                fresh.append(len(top) - np.isin(ids[top], before.values.to_numpy()).sum())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out_ids, pa.list_(pa.int64())), pa.array(out_sims, pa.list_(pa.float32())), pa.array(fresh, pa.int64())], names=["node", "ids", "sims", "fresh"])
+                fresh.append(~np.isin(ids[top], before.values.to_numpy()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out_ids, pa.list_(pa.int64())), pa.array(out_sims, pa.list_(pa.float32())), pa.array(fresh, pa.list_(pa.bool_()))], names=["node", "ids", "sims", "fresh"])
 
-    return grouped.mapInArrow(run, _LISTS + ", fresh long")
+    return grouped.mapInArrow(run, _LISTS + ", fresh array<boolean>")
 
 
 def _around(graph: DataFrame) -> DataFrame:
-    """(node, other): a node's links, and of the links into it the BACK nearest."""
-    out = graph.select("node", F.explode(F.arrays_zip("ids", "sims")).alias("x")).select("node", F.col("x.ids").alias("other"), F.col("x.sims").alias("sim"))
+    """(node, other, fresh): a node's links, and of the links into it the BACK nearest; whether either is new."""
+    out = graph.select("node", F.explode(F.arrays_zip("ids", "sims", "fresh")).alias("x")).select("node", F.col("x.ids").alias("other"), F.col("x.sims").alias("sim"), F.col("x.fresh").alias("fresh"))
     rank = F.row_number().over(Window.partitionBy("other").orderBy(F.desc("sim"), "node"))
-    back = out.withColumn("rank", rank).filter(F.col("rank") <= BACK).select(F.col("other").alias("node"), F.col("node").alias("other"))
-    return out.select("node", "other").union(back).distinct()
+    back = out.withColumn("rank", rank).filter(F.col("rank") <= BACK).select(F.col("other").alias("node"), F.col("node").alias("other"), "fresh")
+    return out.select("node", "other", "fresh").union(back)
+
+
+def _neighbourhoods(graph: DataFrame) -> DataFrame:
+    """(node, members): struct (other, fresh), each other once."""
+    once = _around(graph).groupBy("node", "other").agg(F.max("fresh").alias("fresh"))
+    return once.groupBy("node").agg(F.collect_list(F.struct("other", "fresh")).alias("members"))
 
 
 def _offers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each neighbourhood, to each member the nearest other members that beat its worst link."""
+    """For each neighbourhood, to each member the nearest other members that beat its worst link. Two members that were there
+    before have met, and are not compared again."""
     for batch in batches:
         names, ids, sims = [], [], []
         for members in batch.column("members"):
@@ -173,6 +181,8 @@ def _offers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             x = _halves(values.field("code").to_pylist())
             near = x @ x.T
+            fresh = values.field("fresh").to_numpy(zero_copy_only=False).astype(bool)
+            near[np.ix_(~fresh, ~fresh)] = -np.inf
             np.fill_diagonal(near, -np.inf)
             at = _best(near, min(OFFERS, len(own) - 1))
             top = np.take_along_axis(near, at, 1)
@@ -197,23 +207,26 @@ def _dealt(codes: DataFrame, trees: Trees, sizes: DataFrame | None = None) -> tu
 def build_graph(codes: DataFrame, placed: DataFrame, n: int) -> DataFrame:
     """NN-descent: (node, ids, sims) with the LINKS nearest found of each node.
 
-    The first links are those within the parts of leaves of `placed` (see _dealt). Then, round
-    by round, every node's neighbourhood (links both ways, with codes joined on) offers its members to each other:
-    neighbours of neighbours. A node's lists are merged, the best stay; links into popular nodes are followed from the
-    BACK nearest only, so no neighbourhood outgrows LINKS + BACK.
+    The first links are those within the parts of small leaves of `placed` (see _dealt). Then, round by round, every node's
+    neighbourhood (links both ways) offers its members to each other: neighbours of neighbours. Neighbourhoods are formed of
+    ids; codes are joined on only to those that hold a new link, and only pairs with a new one are compared. A node's lists are
+    merged, the best stay; links into popular nodes are followed from the BACK nearest only, so no neighbourhood outgrows
+    LINKS + BACK. Rounds are the same whatever the table's size, and end when few links are new.
     """
     lists = placed.groupBy("tree", "leaf", "part").applyInPandas(_leaf_links, _LISTS)
     graph = materialize(_merged(lists.withColumn("old", F.lit(False)), LINKS))
-    for _ in range(DESCENTS if n > 2 * LEAF else 0):
+    for _ in range(DESCENTS):
         worst = graph.select("node", F.when(F.size("sims") < LINKS, F.lit(-2.0)).otherwise(F.array_min("sims")).cast("float").alias("worst"))
         known = codes.join(worst, "node").select(F.col("node").alias("other"), "code", "worst")
-        rows = _around(graph).join(known, "other").groupBy("node").agg(F.collect_list(F.struct("other", "code", "worst")).alias("members"))
+        active = _neighbourhoods(graph).filter(F.exists("members", lambda m: m["fresh"])).select("node", F.explode("members").alias("m")).select("node", "m.other", "m.fresh")
+        rows = active.join(known, "other").groupBy("node").agg(F.collect_list(F.struct("other", "fresh", "code", "worst")).alias("members"))
         offers = rows.select("members").mapInArrow(_offers, _LISTS)
         graph = materialize(_merged(offers.withColumn("old", F.lit(False)).union(graph.select("node", "ids", "sims").withColumn("old", F.lit(True))), LINKS))
         release(codes.sparkSession)
-        if (graph.agg(F.sum("fresh")).first()[0] or 0) < SETTLED * n * LINKS:
+        new = graph.agg(F.sum(F.aggregate("fresh", F.lit(0), lambda n, x: n + x.cast("int")))).first()[0] or 0
+        if new < SETTLED * n * LINKS:
             break
-    return graph.select("node", "ids", "sims")
+    return graph.select("node", "ids", "sims", "fresh")
 
 
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,6 +267,20 @@ def _leaf_seeds(nodes, asked) -> object:
     return pd.DataFrame({"query": np.repeat(queries, at.shape[1]), "node": ids[at].ravel()})
 
 
+def _hub_seeds(queries: DataFrame, hubs: list, spark: SparkSession) -> DataFrame:
+    """(query, node): the HUB_SEEDS hubs nearest to each query."""
+    shared = spark.sparkContext.broadcast((np.array([r.node for r in hubs]), _halves([r.code for r in hubs])))  # HUBS rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = shared.value
+        for batch in batches:
+            if len(batch):
+                at = _best(_halves(batch.column("code").to_pylist()) @ x.T, HUB_SEEDS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), at.shape[1])), pa.array(ids[at].ravel())], names=["query", "node"])
+
+    return queries.select("node", "code").mapInArrow(run, "query long, node long")
+
+
 def search_graph(queries: DataFrame, graph: DataFrame, codes: DataFrame, begin: DataFrame, k: int) -> DataFrame:
     """Greedy search for (node, code) queries: (query, candidate), RESCORE each at least, if so many were found.
 
@@ -265,7 +292,7 @@ def search_graph(queries: DataFrame, graph: DataFrame, codes: DataFrame, begin:
     """
     spark = queries.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = _around(graph).join(codes.select(F.col("node").alias("other"), "code"), "other").groupBy("node").agg(F.collect_list(F.struct("other", "code")).alias("x"))
+    links = _around(graph).select("node", "other").distinct().join(codes.select(F.col("node").alias("other"), "code"), "other").groupBy("node").agg(F.collect_list(F.struct("other", "code")).alias("x"))
     links = links.mapInArrow(_packed, "node long, ids array<bigint>, codes binary")
     links = materialize(links).repartition(parts, "node").sortWithinPartitions("node").persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -306,24 +333,37 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("candidate"), pa.array(score)], names=["query", "node", "score"])
 
 
+_ANSWER = "query_id long, rank int, vec_id long, score double"
+
+
 def nearest(df: DataFrame, is_query: Column, *, row_key: str = "vec_id", vector: str = "embedding", k: int = 20) -> DataFrame:
     """For each row of `is_query` (a condition on column id), the k other rows of the largest inner product found: query_id,
     rank (from 1), vec_id, score. Ties go to the smaller id; the score is the product of the very vectors in doubles.
 
-    Equal vectors are one node, searched once, that stands for its k + 1 smallest ids (no answer can need more), so a vector
-    that a third of the rows share costs as much as one. See usable() for the rows that take no part.
+    Equal vectors are one node (told by a 128-bit hash), searched once, that stands for its k + 1 smallest ids (no answer can
+    need more), so a vector that a third of the rows share costs as much as one. See usable() for the rows that take no part.
+    Vectors of different lengths have no product: those of each length are searched among themselves. An empty table, or one
+    without queries, gives an empty result.
     """
-    rows = materialize(usable(df, row_key, vector).withColumn("node", F.xxhash64("vec")))
+    rows = materialize(usable(df, row_key, vector).withColumn("node", F.xxhash64("vec")).withColumn("twin", F.xxhash64(F.lit(1), "vec")))
+    lengths = [r[0] for r in rows.select(F.size("vec")).distinct().collect()]  # one row for each length there is
+    parts = [_nearest(rows.filter(F.size("vec") == n), is_query, k) for n in sorted(lengths)]
+    return functools.reduce(DataFrame.union, parts) if parts else df.sparkSession.createDataFrame([], _ANSWER)
+
+
+def _nearest(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
+    """nearest() among vectors of one length: (id, vec, node, twin)."""
+    clash = materialize(rows.groupBy("node").agg(F.min("twin").alias("low"), F.max("twin").alias("high")).filter("low < high").select("node", "low"))
+    if not clash.isEmpty():  # different vectors agree in the first 64 bits: the others tell them apart
+        rows = materialize(rows.join(clash, "node", "left").withColumn("node", F.when(F.col("low").isNull() | (F.col("low") == F.col("twin")), F.col("node")).otherwise(F.xxhash64("node", "twin"))).drop("low"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("id"))
     members = materialize(rows.select("node", "id", rank.alias("rank")).filter(F.col("rank") <= k + 1).select("node", "id"))
     nodes = materialize(rows.groupBy("node").agg(F.first("vec").alias("vec")))
-    n = nodes.count()
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
+    n, largest = nodes.agg(F.count(F.lit(1)), F.max(norm)).first()
     asked = rows.filter(is_query).select("node", "id")
-    if not n:
-        return asked.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
-    largest = nodes.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))).first()[0] ** 0.5
     codes = materialize(_placed(nodes, largest, False))
-    depth = max(0, int(np.ceil(np.log2(max(1, n / LEAF)))))
+    depth = max(0, int(np.ceil(np.log2(max(1, min(n, SAMPLE * LEAF / 8) / LEAF)))))  # 8 of the sample in a leaf, at least
     share = min(1.0, SAMPLE / n)
     drawn = codes.filter(F.pmod(F.xxhash64("node", F.lit("trees")), F.lit(1_000_000)) < int(share * 1e6)).orderBy("node").limit(2 * SAMPLE)
     trees = Trees.fit(_halves([r.code for r in drawn.select("code").collect()]) if depth else np.zeros((1, 1), np.float32), depth)
@@ -332,6 +372,10 @@ def nearest(df: DataFrame, is_query: Column, *, row_key: str = "vec_id", vector:
     wanted = materialize(_placed(nodes.join(asked.select("node").distinct(), "node"), largest, True))
     by = ["tree", "leaf", "part"]
     begin = placed.groupBy(*by).cogroup(_dealt(wanted, trees, sizes)[0].groupBy(*by)).applyInPandas(_leaf_seeds, "query long, node long")
+    chosen = nodes.select("node", norm.alias("norm")).orderBy(F.desc("norm"), "node").limit(HUBS // 2).select("node")
+    chosen = chosen.union(nodes.select("node").orderBy(F.xxhash64("node", F.lit("hub")), "node").limit(HUBS // 2)).distinct()
+    hubs = codes.join(F.broadcast(chosen), "node").collect()  # HUBS rows
+    begin = begin.union(_hub_seeds(wanted, hubs, rows.sparkSession))
     found = search_graph(wanted, graph, codes, begin, k + 1)
     found = found.union(wanted.select(F.col("node").alias("query"), F.col("node").alias("candidate"))).distinct()
     vec = lambda key, name: nodes.select(F.col("node").alias(key), F.col("vec").alias(name))
@@ -345,4 +389,5 @@ def nearest(df: DataFrame, is_query: Column, *, row_key: str = "vec_id", vector:
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every embedding whose id is divisible by 20, against all others; see nearest()."""
     return nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)

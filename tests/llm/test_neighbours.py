@@ -19,7 +19,7 @@ def test_small_tables_are_exact(spark):
     x = rng.normal(size=(80, 8)) * rng.uniform(0.5, 3, (80, 1))
     x[40:60] = x[7]  # equal vectors
     rows = [(i, v.tolist(), "clash") for i, v in enumerate(x)]
-    odd = [(100, None, ""), (200, [0.0] * 8, ""), (300, [1.0] * 7 + [None], ""), (400, [float("nan")] * 8, ""), (500, [float("inf")] * 8, ""), (600, [1.0] * 5, ""), (None, [1.0] * 8, ""), (20, x[20].tolist(), "again")]
+    odd = [(100, None, ""), (200, [0.0] * 8, ""), (300, [1.0] * 7 + [None], ""), (400, [float("nan")] * 8, ""), (500, [float("inf")] * 8, ""), (600, [1.0] * 5, ""), (640, [2.0] * 5, ""), (None, [1.0] * 8, ""), (20, x[20].tolist(), "again")]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, score string")
     got = N.nearest(df, F.col("id") % 20 == 0, k=5).collect()
     want = brute(np.arange(80), x, [0, 20, 40, 60], 5)
@@ -27,7 +27,8 @@ def test_small_tables_are_exact(spark):
         mine = [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q]
         assert [i for i, _ in mine] == [i for i, _ in best]
         assert [s for _, s in mine] == pytest.approx([s for _, s in best], rel=1e-12)
-    assert {r.query_id for r in got} == set(want)
+    assert {r.query_id for r in got} == {*want, 600, 640}
+    assert [(r.vec_id, r.score) for r in got if r.query_id == 600] == [(640, 10.0)]  # a length of its own
 
 
 def test_few_and_no_rows(spark):
@@ -37,9 +38,7 @@ def test_few_and_no_rows(spark):
     assert N.nearest(df, F.col("id") == 9).collect() == []
 
 
-def test_descent_and_search_reach_the_recall(spark, monkeypatch):
-    monkeypatch.setattr(N, "LEAF", 150)
-    monkeypatch.setattr(N, "SAMPLE", 500)
+def test_descent_and_search_reach_the_recall(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(12, 16))
     x = centres[rng.integers(0, 12, 1500)] + 0.6 * rng.normal(size=(1500, 16))
@@ -63,9 +62,7 @@ def recall(spark, x, k=20, step=20):
     return sum(r.vec_id in {i for i, _ in want[r.query_id]} for r in got) / (k * len(want))
 
 
-def test_clusters_larger_than_the_links_are_entered(spark, monkeypatch):
-    monkeypatch.setattr(N, "LEAF", 400)
-    monkeypatch.setattr(N, "SAMPLE", 1000)
+def test_clusters_larger_than_the_links_are_entered(spark):
     rng = np.random.default_rng(6)
     x = np.repeat(rng.normal(size=(60, 64)), 50, 0) + 0.05 * rng.normal(size=(3000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -78,3 +75,23 @@ def test_neighbours_in_another_cluster_are_found(spark):
     x = np.repeat(rng.normal(size=(20, 64)), 100, 0)
     x = (x / np.linalg.norm(x, axis=1, keepdims=True) + 0.005 * rng.normal(size=x.shape)) * np.tile(np.repeat([0.3, 1.0], 50), 20)[:, None]
     assert recall(spark, x) >= 0.95
+
+
+def test_plain_and_heavy_tailed_vectors(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 24))
+    assert recall(spark, x, step=40) >= 0.9
+    assert recall(spark, x[:3000] * rng.lognormal(0, 1.2, (3000, 1)), step=40) >= 0.9
+
+
+def test_descent_runs_on_a_small_table(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(N, "_neighbourhoods", lambda graph, own=N._neighbourhoods: rounds.append(1) or own(graph))
+    assert recall(spark, np.random.default_rng(9).normal(size=(500, 16))) >= 0.95
+    assert rounds
+
+
+def test_vectors_that_share_half_a_hash_are_told_apart(spark):
+    rows = spark.createDataFrame([(i, [float(i + 1), 1.0], 7, i % 3) for i in range(3)], "id long, vec array<double>, node long, twin long")
+    got = N._nearest(rows, F.col("id") == 0, 2).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(2, 4.0), (1, 3.0)]
