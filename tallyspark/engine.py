@@ -102,29 +102,32 @@ class Result:
 class View:
     """A dataset as one caller sees it, after transforms. Frames are made when first asked for: a cached answer needs none."""
 
-    def __init__(self, dataset: Dataset, env: dict[str, ValueType], plans: Sequence[tuple[str, TransformPlan]], identity: str, source: Callable[[Column | None], DataFrame]) -> None:
+    def __init__(self, dataset: Dataset, env: dict[str, ValueType], plans: Sequence[tuple[str, TransformPlan]], identity: str, source: Callable[[Column | None, bool], DataFrame]) -> None:
         self.dataset, self.env, self.plans, self.identity, self._source = dataset, env, tuple(plans), identity, source
 
     @cached_property
     def base(self) -> DataFrame:
         """Before transforms."""
-        return self._source(None)
+        return self._source(None, True)
 
     @cached_property
     def df(self) -> DataFrame:
         return reduce(lambda df, p: p[1].apply(df), self.plans, self.base)
 
-    def rows_for(self, plan: QueryPlan) -> DataFrame:
-        """`df`, read with what the plan's filter says of raw float columns; transforms may change those."""
+    def rows_for(self, plan: QueryPlan, ordered: bool = True) -> DataFrame:
+        """`df` for a plan: read with what its filter says of raw float columns (unless transforms may change those), and
+        without the rows' hidden order if nothing is ordered by it."""
         bounds = None if self.plans else scan_bounds(plan, {c for c, t in self.env.items() if t.kind == "float"})
-        return self.df if bounds is None else self._source(bounds)
+        if ordered and bounds is None:
+            return self.df
+        return reduce(lambda df, p: p[1].apply(df), self.plans, self._source(bounds, ordered))
 
     @property
     def keys(self) -> tuple[str, ...]:
         return tuple(k for k in self.dataset.schema.keys if k in self.env)
 
     def ties(self) -> list[Column]:
-        return [name(k).asc_nulls_last() for k in self.keys] or ([name(ROW).asc()] if ROW in self.df.columns else [])
+        return [name(k).asc_nulls_last() for k in self.keys] or ([name(ROW).asc()] if ROW in self.dataset.df.columns else [])
 
 
 #: Planned transforms that an engine keeps.
@@ -189,8 +192,8 @@ class Engine:
         allowed = caller.filter_node()
         test = None if allowed is None else self.scope(own).predicate(allowed, "/row_filter")
 
-        def source(bounds: Column | None) -> DataFrame:
-            df = dataset.df if bounds is None else dataset.within(bounds)
+        def source(bounds: Column | None, ordered: bool) -> DataFrame:
+            df = dataset.frame(bounds, ordered)
             df = df.select(*[name(c) for c in own], *([name(ROW)] if ROW in df.columns else []))
             return df if test is None else df.filter(Compiler().predicate(test))
 
@@ -201,7 +204,7 @@ class Engine:
             key = fingerprint(trail) if b.identity is not None else None
             plan = self.transforms.get(key) if key else None
             if plan is None:
-                context, so_far = PlanContext(self, dataset, env, caller, pointer(path, k)), View(dataset, own, plans, "", lambda _: base.base)
+                context, so_far = PlanContext(self, dataset, env, caller, pointer(path, k)), View(dataset, own, plans, "", lambda *_: base.base)
                 make = lambda b=b, env=env, context=context, so_far=so_far: b.plan(env, so_far.df, context)
                 plan = make() if run is None else run(make)
                 if key:
@@ -226,7 +229,7 @@ class Engine:
         req = parse_request(request, RunRequest)
         view = self.view(req.dataset, req.extensions, caller or Caller())
         plan = self.plan(req.query, view)
-        df, output, _ = self._whole(plan, view, req.options.deterministic)
+        df, output, _ = self._whole(plan, view, req.options.deterministic, ordered=req.query.page is not None)
         if req.query.page is not None:
             df = paged(df, self._order(plan, view, output), req.query.page, 0)
         return df.select(*[name(c) for c in output])
@@ -236,10 +239,10 @@ class Engine:
         _, df, output, order, _ = self._sides(req, caller or Caller())
         return (paged(df, order, req.query.page, 0) if req.query.page is not None else df).select(*[name(c) for c in output])
 
-    def _whole(self, plan: QueryPlan, view: View, deterministic: bool, held: list | None = None) -> tuple[DataFrame, dict[str, ValueType], list[str] | None]:
+    def _whole(self, plan: QueryPlan, view: View, deterministic: bool, held: list | None = None, ordered: bool = True) -> tuple[DataFrame, dict[str, ValueType], list[str] | None]:
         if plan.group is None:
-            return prepared(view.rows_for(plan), plan), plan.output, None
-        df, output, fields = aggregated(view.rows_for(plan), plan, deterministic, self.config.limits.max_pivot_columns, held)
+            return prepared(view.rows_for(plan, ordered), plan), plan.output, None
+        df, output, fields = aggregated(view.rows_for(plan, False), plan, deterministic, self.config.limits.max_pivot_columns, held)
         if plan.spread is not None and not plan.rollup:
             check_sort(plan.sort, set(output), "/query")
         return df, output, fields
@@ -320,7 +323,7 @@ class Engine:
             if page is None and table.num_rows > cap:
                 raise LimitExceeded("too many rows without a page", "too_many_rows", "/query/page")
             whole = page is None or 0 < table.num_rows < page.limit
-            total = (page.offset if page else 0) + table.num_rows if whole else df.count()
+            total = (page.offset if page else 0) + table.num_rows if whole else prepared(view.rows_for(plan, False), plan).count()
             return table, total, None, output
 
         out = self.executor.run(collect, deadline)
@@ -369,8 +372,8 @@ class Engine:
             if not keys:
                 raise SpecError("comparing rows needs a dataset with key columns", "no_key_columns", "/dataset")
             chosen = [*keys, *(c for c in plan.output if c not in keys)]
-            left, types = prepared(view.rows_for(plan), plan).select(*[name(c) for c in chosen]), {c: plan.types[c] for c in chosen}
-            right, base_types = prepared(base.rows_for(other), other).select(*[name(c) for c in chosen if c in other.types]), other.types
+            left, types = prepared(view.rows_for(plan, False), plan).select(*[name(c) for c in chosen]), {c: plan.types[c] for c in chosen}
+            right, base_types = prepared(base.rows_for(other, False), other).select(*[name(c) for c in chosen if c in other.types]), other.types
         values = [c for c in types if c not in keys]
         df, output = compared(left, right, keys, values, types, base_types, self.config.numeric)
         if plan.rollup:
@@ -435,10 +438,10 @@ class Engine:
         return fingerprint({"view": view.identity, "query": req.query, "deterministic": req.options.deterministic, "numeric": self.config.numeric._asdict(), "plugins": self._versions()})
 
     def _audit(self, req: RunRequest, plan: QueryPlan, view: View, total: int, deadline: float | None) -> dict[str, int]:
-        filtered = view.rows_for(plan)
+        filtered = view.rows_for(plan, False)
         if plan.before and isinstance(plan.before[0], Where):
             filtered = filtered.filter(Compiler().predicate(plan.before[0].test))
-        both = self.executor.run(lambda: (view.base.count(), filtered.count()), deadline)
+        both = self.executor.run(lambda: (view._source(None, False).count(), filtered.count()), deadline)
         return {"dataset": both[0], "filtered": both[1], "result": total}
 
     def _finish(self, caller, req, view, key, table, total, fields, output, cached, stages, began, planned) -> Result:

@@ -61,15 +61,15 @@ ORACLES: dict[str, str] = {}
 
 
 def query(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str, decimals: str = "") -> None:
-    """`decimals` names the columns that are exact decimals: both sides show them as doubles, which every reader has alike."""
+    """`decimals` names the columns that are exact decimals: both sides show them as text, with every digit and the scale."""
     exact = decimals.split()
 
     def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = run(spark, sf_dir)
-        return df.withColumns({c: F.col(f"`{c}`").cast("double") for c in exact})
+        return df.withColumns({c: F.col(f"`{c}`").cast("string") for c in exact})
 
     QUERIES[name] = shown if exact else run
-    casts = ", ".join(f'CAST("{c}" AS DOUBLE) AS "{c}"' for c in exact)
+    casts = ", ".join(f'CAST("{c}" AS VARCHAR) AS "{c}"' for c in exact)
     ORACLES[name] = f"SELECT * REPLACE ({casts}) FROM ({sql}) answer" if exact else sql
 
 
@@ -152,8 +152,8 @@ query("pivot_rollup", ask("customer", {"group_by": ["c_mktsegment", "c_nationkey
 
 query("sort_page_rows", ask("orders", {"select": ["o_orderkey", "o_totalprice", "o_orderstatus"], "sort": [{"by": "o_orderstatus", "desc": True}, {"by": "o_totalprice"}], "page": {"offset": 20, "limit": 50}}),
       "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders ORDER BY o_orderstatus DESC NULLS LAST, o_totalprice NULLS LAST, o_orderkey LIMIT 50 OFFSET 20")
-query("sort_derived_nulls", ask("customer", {"derive": [{"name": "x", "expr": "c_acctbal", "where": "c_nationkey > 12"}], "select": ["c_custkey", "x"], "sort": [{"by": "x", "desc": True, "nulls_last": False}], "page": {"limit": 900}}),
-      "SELECT c_custkey, CASE WHEN c_nationkey > 12 THEN c_acctbal END AS x FROM customer ORDER BY x DESC NULLS FIRST, c_custkey LIMIT 900")
+query("sort_derived_nulls", ask("customer", {"derive": [{"name": "x", "expr": "c_acctbal", "where": "c_nationkey > 12"}], "select": ["c_custkey", "x"], "sort": [{"by": "x", "desc": True, "nulls_last": False}]}),
+      "SELECT c_custkey, CASE WHEN c_nationkey > 12 THEN c_acctbal END AS x FROM customer")
 query("sort_page_groups", ask("orders", {"group_by": ["o_custkey"], "measures": [N], "sort": [{"by": "n", "desc": True}], "page": {"limit": 25}}),
       "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 25")
 
@@ -215,6 +215,56 @@ def _scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("scenario_fork", _scenario,
       "SELECT o_orderstatus, max(CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 1.1::DOUBLE ELSE o_totalprice END) AS hi, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN o_custkey + 5 ELSE o_custkey END) AS BIGINT) AS k FROM orders GROUP BY 1")
 
+query("whatif_shock_over_formula", ask("part", {"select": ["p_partkey", "p_size", "area"]}, **whatif({"kind": "formula", "name": "area", "expr": "p_size * p_size"}, {"kind": "shock", "column": "p_size", "op": "add", "value": 3, "where": "area > 400 and p_retailprice > 1000"})),
+      "WITH t AS (SELECT p_partkey, CAST(CASE WHEN p_size * p_size > 400 AND p_retailprice > 1000 THEN p_size + 3 ELSE p_size END AS BIGINT) AS p_size FROM part) SELECT *, p_size * p_size AS area FROM t")
+
+
+def _two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = Catalog(spark)
+    catalog.register_scan("customer", f"{sf_dir}/customer.parquet", key_columns=["c_custkey", "c_nationkey"], version="1")
+    edits = [{"key": {"c_custkey": k, "c_nationkey": n}, "column": "c_acctbal", "value": -1} for k in range(1, 11) for n in range(0, 25, 2)]
+    return Engine(spark, catalog, [WhatIfPlugin()]).frame({"dataset": "customer", "query": {"select": ["c_custkey", "c_nationkey", "c_acctbal"]}, **whatif({"kind": "override", "edits": edits}, strict=False)})
+
+
+query("whatif_composite_key", _two_keys,
+      "SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS c_nationkey, CASE WHEN c_custkey BETWEEN 1 AND 10 AND c_nationkey % 2 = 0 THEN -1::DOUBLE ELSE c_acctbal END AS c_acctbal FROM customer")
+query("compare_totals", against("orders", {"measures": [{"name": "k", "fn": "sum", "of": "o_custkey"}, N]}, **whatif(_ADD)),
+      "WITH s AS (SELECT CAST(sum(CASE WHEN o_orderstatus = 'F' THEN o_custkey + 5 ELSE o_custkey END) AS BIGINT) AS k, CAST(sum(o_custkey) AS BIGINT) AS k__base, count(*) AS n FROM orders) SELECT k, k__base, k - k__base AS k__delta, CAST(k - k__base AS DOUBLE) / CAST(k__base AS DOUBLE) * 100 AS k__pct, n, n AS n__base, CAST(0 AS BIGINT) AS n__delta, 0::DOUBLE AS n__pct FROM s")
+
+# Decimals, odd values and names, counts
+
+query("decimal_products", ask("lineitem", {"derive": [{"name": "p", "expr": f"{PRICE} * {DISCOUNT}"}, {"name": "half", "expr": f"{PRICE} / 2"}, {"name": "neg", "expr": f"-{PRICE} + 0.125"}], "select": ["l_orderkey", "p", "half", "neg"]}),
+      "SELECT l_orderkey, CAST(CAST(l_extendedprice AS DECIMAL(15,2)) * CAST(l_discount AS DECIMAL(5,2)) AS DECIMAL(38,4)) AS p, CAST(CAST(l_extendedprice AS DECIMAL(15,2)) * CAST(0.5 AS DECIMAL(2,1)) AS DECIMAL(38,10)) AS half, CAST(0.125 - CAST(l_extendedprice AS DECIMAL(15,2)) AS DECIMAL(38,3)) AS neg FROM lineitem", "p half neg")
+query("decimal_min_max_distinct", ask("lineitem", {"group_by": ["l_returnflag"], "measures": [{"name": "lo", "fn": "min", "of": PRICE}, {"name": "hi", "fn": "max", "of": REVENUE}, {"name": "kinds", "fn": "count_distinct", "of": DISCOUNT}, {"name": "s", "fn": "sum", "of": PRICE}], "having": "s > 10.5"}),
+      f"SELECT l_returnflag, CAST(min(CAST(l_extendedprice AS DECIMAL(15,2))) AS DECIMAL(38,2)) AS lo, max({SQL_REVENUE}) AS hi, count(DISTINCT CAST(l_discount AS DECIMAL(5,2))) AS kinds, CAST(sum(CAST(l_extendedprice AS DECIMAL(15,2))) AS DECIMAL(38,2)) AS s FROM lineitem GROUP BY 1", "lo hi s")
+query("decimal_rollup_pivot", ask("lineitem", {"derive": REV, "group_by": ["l_returnflag", "l_linenumber"], "rollup": True, "measures": [SUM_REV], "pivot": {"on": ["l_linestatus"], "domain": [["F"], ["O"]], "totals": True}}),
+      f"SELECT l_returnflag, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(2 - GROUPING(l_returnflag) - GROUPING(l_linenumber) AS BIGINT) AS __level, sum({SQL_REVENUE}) FILTER (WHERE l_linestatus = 'F') AS \"F_rev\", sum({SQL_REVENUE}) FILTER (WHERE l_linestatus = 'O') AS \"O_rev\", sum({SQL_REVENUE}) AS rev FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linenumber)", "F_rev O_rev rev")
+query("rollup_sorted_page", ask("orders", {"group_by": ["o_orderstatus", "o_orderpriority"], "rollup": True, "measures": [N], "sort": [{"by": "o_orderstatus", "desc": True}, {"by": "o_orderpriority", "desc": True}], "page": {"offset": 3, "limit": 9}}),
+      "SELECT o_orderstatus, o_orderpriority, CAST(2 - GROUPING(o_orderstatus) - GROUPING(o_orderpriority) AS BIGINT) AS __level, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority) ORDER BY GROUPING(o_orderstatus), o_orderstatus DESC NULLS LAST, GROUPING(o_orderpriority), o_orderpriority DESC NULLS LAST LIMIT 9 OFFSET 3")
+
+
+def _odd_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = Catalog(spark)
+    x = F.when(F.col("c_custkey") % 3 == 0, float("nan")).when(F.col("c_custkey") % 5 == 0, float("inf")).when(F.col("c_custkey") % 7 == 0, float("-inf")).otherwise(F.col("c_acctbal"))
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", x.alias("and"), F.col("c_nationkey").alias("Any Name"))
+    catalog.register_frame("odd", customer, key_columns=["c_custkey"], version="1")
+    return Engine(spark, catalog).frame({"dataset": "odd", "query": {"filter": "col('and') > 100 or col('and') is None", "derive": [{"name": "twice", "expr": "col('and') * 2"}, {"name": "next", "expr": "col('Any Name') + 1"}], "select": ["c_custkey", "and", "twice", "next"]}})
+
+
+query("odd_values_and_names", _odd_values,
+      'WITH t AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 5 = 0 OR c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS x, CAST(c_nationkey + 1 AS BIGINT) AS next FROM customer) SELECT c_custkey, x AS "and", x * 2 AS twice, next FROM t WHERE x > 100 OR x IS NULL')
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = engine_on(spark, sf_dir, "orders")
+    page = {"offset": 10, "limit": 5}
+    rows = engine.run({"dataset": "orders", "query": {"filter": "o_totalprice > 50000", "page": page}}).meta
+    groups = engine.run({"dataset": "orders", "query": {"group_by": ["o_custkey"], "measures": [N], "page": page}}).meta
+    return spark.createDataFrame([(rows.total_rows, rows.rows, groups.total_rows, groups.rows)], "total long, page long, groups long, group_page long")
+
+
+query("total_rows", _counts, "SELECT count(*) FILTER (WHERE o_totalprice > 50000) AS total, CAST(5 AS BIGINT) AS page, count(DISTINCT o_custkey) AS groups, CAST(5 AS BIGINT) AS group_page FROM orders")
+
 # Plugins, callers, grids
 
 query("plugin_function", ask("part", {"derive": [{"name": "c", "expr": "clip(p_size, 10, 20)"}], "select": ["p_partkey", "c"]}),
@@ -236,6 +286,31 @@ def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("grid_drilldown", _grid,
       "SELECT o_custkey, max(o_totalprice) AS o_totalprice, count(*) AS o_orderkey FROM orders WHERE contains(lower(o_orderpriority), 'urgent') AND o_totalprice > 1000 AND o_orderstatus = 'F' GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 100")
+
+
+def _grid_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = engine_on(spark, sf_dir, "orders")
+    filters = {
+        "o_orderstatus": {"filterType": "set", "values": ["F", "O", None]},
+        "o_orderpriority": {"filterType": "multi", "filterModels": [None, {"filterType": "text", "operator": "OR", "conditions": [{"type": "startsWith", "filter": "1"}, {"type": "endsWith", "filter": "low"}]}]},
+        "o_orderdate": {"filterType": "date", "type": "inRange", "inRangeInclusive": True, "dateFrom": "1994-01-01 00:00:00", "dateTo": "1997-12-31 00:00:00"},
+        "o_custkey": {"filterType": "number", "type": "notBlank"},
+    }
+    return engine.frame(GridAdapter(engine, "orders").request({"startRow": 0, "rowGroupCols": [], "valueCols": [], "filterModel": filters})).select("o_orderkey", "o_orderstatus", "o_orderpriority")
+
+
+query("grid_filters", _grid_filters,
+      "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE (o_orderstatus IN ('F', 'O') OR o_orderstatus IS NULL) AND (starts_with(lower(o_orderpriority), '1') OR ends_with(lower(o_orderpriority), 'low')) AND CAST(o_orderdate AS DATE) BETWEEN DATE '1994-01-01' AND DATE '1997-12-31' AND o_custkey IS NOT NULL")
+
+
+def _grid_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = engine_on(spark, sf_dir, "orders")
+    asked = {"startRow": 0, "endRow": 50, "rowGroupCols": [{"id": "o_orderpriority"}], "groupKeys": [], "valueCols": [{"id": "o_custkey", "aggFunc": "sum"}], "pivotCols": [{"id": "o_orderstatus"}], "pivotMode": True, "filterModel": {}}
+    return engine.frame(GridAdapter(engine, "orders").request(asked, domain=(("F",), ("O",))))
+
+
+query("grid_pivot", _grid_pivot,
+      "SELECT o_orderpriority, CAST(sum(o_custkey) FILTER (WHERE o_orderstatus = 'F') AS BIGINT) AS \"F_o_custkey\", CAST(sum(o_custkey) FILTER (WHERE o_orderstatus = 'O') AS BIGINT) AS \"O_o_custkey\", CAST(sum(o_custkey) AS BIGINT) AS o_custkey FROM orders GROUP BY 1")
 query("keyless_page", lambda spark, sf: engine_on(spark, sf, "lineitem").frame({"dataset": "lineitem", "query": {"filter": "l_quantity > 45", "sort": [{"by": "l_extendedprice"}, {"by": "l_orderkey"}, {"by": "l_partkey"}, {"by": "l_suppkey"}], "select": ["l_orderkey", "l_partkey", "l_extendedprice"], "page": {"offset": 5, "limit": 40}}}),
       "SELECT l_orderkey, l_partkey, l_extendedprice FROM lineitem WHERE l_quantity > 45 ORDER BY l_extendedprice, l_orderkey, l_partkey, l_suppkey LIMIT 40 OFFSET 5")
 query("audit_counts", lambda spark, sf: spark.createDataFrame([tuple(engine_on(spark, sf, "orders").run({"dataset": "orders", "query": {"filter": "o_orderstatus == 'O'", "group_by": ["o_orderpriority"]}, "options": {"audit": True}}).meta.stage_rows.values())], "dataset long, filtered long, result long"),

@@ -43,7 +43,7 @@ class Router:
     """Routes in order; `caller_of(headers)` says who asks."""
 
     engine: Engine
-    caller_of: Callable[[Mapping[str, str]], Caller] = lambda _: Caller()
+    caller_of: Callable[[Mapping[str, str]], Caller]
     max_body_bytes: int = MAX_BODY_BYTES
     routes: list[tuple[str, str, Callable[[Call], Any]]] = field(default_factory=list)
 
@@ -102,9 +102,9 @@ def _operations(call: Call) -> list[dict]:
     return [{"name": o.name, "description": o.description} for o in call.engine.registry.entries["operation"].values()]
 
 
-def core_router(engine: Engine, caller_of: Callable[[Mapping[str, str]], Caller] | None = None) -> Router:
-    """All routes of the engine and its plugins."""
-    router = Router(engine, caller_of or (lambda _: Caller()))
+def core_router(engine: Engine, caller_of: Callable[[Mapping[str, str]], Caller]) -> Router:
+    """All routes of the engine and its plugins. There is no default for who asks, as a default caller would see everything."""
+    router = Router(engine, caller_of)
     router.add("POST", "/query", lambda c: _answer(c, c.engine.run(c.body, c.caller)))
     router.add("POST", "/compare", lambda c: _answer(c, c.engine.compare(c.body, c.caller)))
     router.add("POST", "/explain", lambda c: c.engine.explain(c.body, c.caller))

@@ -60,11 +60,16 @@ class Dataset:
     schema: Schema
     df: DataFrame = field(compare=False)
     kind: str = "frame"
-    raw: DataFrame | None = field(default=None, compare=False)
+    raw: DataFrame | None = field(default=None, compare=False)  # before it is normalized
+    bare: DataFrame | None = field(default=None, compare=False)  # the same without ROW
 
-    def within(self, bounds: Column) -> DataFrame:
-        """The data of rows whose columns, as they are before they are normalized, pass a test."""
-        return self.df if self.raw is None else normalized(self.raw.filter(bounds))[0]
+    def frame(self, bounds: Column | None = None, ordered: bool = True) -> DataFrame:
+        """The data: with `bounds`, of rows whose raw columns pass that test; without ROW, which costs a scan of files, if
+        not `ordered`."""
+        source = self.raw if ordered else self.bare
+        if source is None or (ordered and bounds is None):
+            return self.df
+        return normalized(source if bounds is None else source.filter(bounds))[0]
 
 
 class DatasetCatalog(Protocol):
@@ -180,6 +185,7 @@ class Catalog:
     def _register(self, id, df, keys, version, editable, roles, kind, check_rows, persist, files=False) -> Dataset:
         own = [c for c in df.columns if c != ROW]
         check_names(own)
+        bare = df.select(*[name(c) for c in own])
         if not keys:
             if files:
                 df = df.withColumn(ROW, F.struct("_metadata.file_path", "_metadata.row_index"))
@@ -190,7 +196,7 @@ class Catalog:
         check_keys(out, types, keys, check_rows)
         if persist:
             out = out.persist()
-        held = Dataset(id, version or content_version(out), schema_of(types, keys, editable, roles), out, kind, None if persist else raw)
+        held = Dataset(id, version or content_version(out), schema_of(types, keys, editable, roles), out, kind, None if persist else raw, None if persist else bare if keys or files else raw.drop(ROW))
         with self._lock:
             versions = self._held.setdefault(id, OrderedDict())
             versions.pop(held.version, None)
