@@ -109,8 +109,11 @@ class Tree:
 def build_tree(records: DataFrame, span: int = SPAN, fan_out: int = FAN_OUT, depth: int | None = None) -> Tree:
     """From (file, offset, length, digest, ...). A range hashes its records in order of offset, a node its children in
     order of number; a record belongs to the range that it begins in. Groups hold the records that begin within `span`
-    bytes, or `fan_out` nodes: no file is gathered in one task. A digest may be null (unreadable)."""
+    bytes, or `fan_out` nodes: no file is gathered in one task. A digest may be null (unreadable); a row may stand for several
+    `copies` side by side, which then count in its hash."""
     line = F.concat_ws(":", F.col("offset").cast("string"), F.col("length").cast("string"), F.coalesce("digest", F.lit("")))
+    if "copies" in records.columns:
+        line = F.concat_ws(":", line, F.when(F.col("copies") != 1, F.col("copies").cast("string")))
 
     def fold(nodes: DataFrame, item: Column, order: Column) -> DataFrame:
         ordered = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), item.alias("i")))), lambda x: x["i"])
@@ -128,8 +131,11 @@ def audit(expected: DataFrame, found: DataFrame, *, span: int = SPAN, fan_out: i
     with kind changed, missing (not there, or its digest null) or extra; and the differing nodes of each level, roots first.
 
     Roots are compared for all files; below, only children of nodes that differ. Equal replicas cost one comparison of
-    roots. Null digests on both sides are equal. Empty tables are replicas without files.
+    roots. Null digests on both sides are equal. A column `copies` (1 without it) says how many equal records lie side by side;
+    another number is a change. Empty tables are replicas without files.
     """
+    given = "copies" in expected.columns
+    expected, found = (x if "copies" in x.columns else x.withColumn("copies", F.lit(1).cast("long")) for x in (expected, found))
     good, bad = (build_tree(x, span, fan_out) for x in (expected, found))
     depth = max(len(good.levels), len(bad.levels))
     good, bad = (t if len(t.levels) == depth else build_tree(t.records, span, fan_out, depth) for t in (good, bad))
@@ -144,11 +150,11 @@ def audit(expected: DataFrame, found: DataFrame, *, span: int = SPAN, fan_out: i
         trail.append(above)
     spans = above.withColumnRenamed("node", "range")
     a, b = (x.withColumn("range", F.floor(F.col("offset") / span)).join(spans, ["file", "range"], "left_semi").drop("range") for x in (expected, found))
-    b = b.select("file", "offset", F.col("length").alias("found_length"), F.col("digest").alias("found_digest"), F.lit(True).alias("there"))
+    b = b.select("file", "offset", F.col("length").alias("found_length"), F.col("digest").alias("found_digest"), F.col("copies").alias("found_copies"), F.lit(True).alias("there"))
     both = a.withColumn("wanted", F.lit(True)).join(b, ["file", "offset"], "full")
-    differs = F.col("wanted").isNull() | F.col("there").isNull() | ~F.col("digest").eqNullSafe(F.col("found_digest")) | ~F.col("length").eqNullSafe(F.col("found_length"))
+    differs = F.col("wanted").isNull() | F.col("there").isNull() | ~F.col("digest").eqNullSafe(F.col("found_digest")) | ~F.col("length").eqNullSafe(F.col("found_length")) | ~F.col("copies").eqNullSafe(F.col("found_copies"))
     kind = F.when(F.col("wanted").isNull(), "extra").when(F.col("there").isNull() | F.col("found_digest").isNull(), "missing").otherwise("changed")
-    return both.filter(differs).withColumn("kind", kind).drop("wanted", "there", "found_length"), trail
+    return both.filter(differs).withColumn("kind", kind).drop("wanted", "there", "found_length", "found_copies", *([] if given else ["copies"])), trail
 
 
 #: The replica that op5 audits: of pages whose id leaves these remainders, one was overwritten in its first byte, one cannot be read.
@@ -156,6 +162,8 @@ CHANGED, LOST = (97, 11), (193, 7)
 
 
 def op5_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages in which a damaged replica differs. Null columns count as empty in a record's bytes, null keys are
+    a key of their own and are not damaged, repeated pages are one row with their copies, no pages are no files."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
     pages = pages.withColumn("raw", warc_record(F.col("page_id"), F.col("url"), F.col("html")))
     hashed = pages.select(F.col("page_id").alias("record_key"), F.octet_length("raw").cast("long").alias("length"), F.sha2("raw", 256).alias("digest"))
@@ -166,7 +174,7 @@ def op5_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = pages.withColumn("held", held).select(F.col("page_id").alias("k"), F.sha2("raw", 256).alias("d"), F.octet_length("held").cast("long").alias("size"), F.sha2("held", 256).alias("hash"))
     held = materialize(held.distinct())
     there = manifest.join(held, F.col("record_key").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("d")), "left")
-    replica = materialize(there.select("file", "offset", F.coalesce("size", "length").alias("length"), F.col("hash").alias("digest")))
+    replica = materialize(there.select("file", "offset", F.coalesce("size", "length").alias("length"), "copies", F.col("hash").alias("digest")))
     found, _ = audit(manifest, replica)
     return found.select("file", "offset", "length", F.col("record_key").alias("page_id"), "copies", "digest", "found_digest", "kind")
 

@@ -69,3 +69,22 @@ def test_the_query_hashes_every_record_of_the_replica(spark, tmp_path, monkeypat
     lay_out = W.lay_out
     monkeypatch.setattr(W, "lay_out", lambda records: lay_out(records).withColumn("digest", F.when(F.col("record_key") == 50, "false").otherwise(F.col("digest"))))
     assert {r.page_id for r in W.op5_warc_audit(spark, str(tmp_path)).collect()} == {50, *hurt}
+
+
+def test_lost_copies_of_a_record_are_found(spark):
+    """The last record of a file in three copies, of which a replica holds one: offsets say nothing of it."""
+    names = "file string, offset long, length long, record_key long, copies long, digest string"
+    good = spark.createDataFrame([("f", 0, 10, 1, 1, "a"), ("f", 10, 10, 2, 3, "b"), ("g", 0, 5, None, 1, "c")], names)
+    bad = spark.createDataFrame([("f", 0, 10, 1, 1, "a"), ("f", 10, 10, 2, 1, "b"), ("g", 0, 5, None, 1, "c")], names)
+    found, _ = W.audit(good, bad)
+    assert [(r.file, r.offset, r.kind) for r in found.collect()] == [("f", 10, "changed")]
+    assert W.audit(good, good)[0].collect() == []
+    plain = W.audit(good.drop("copies"), bad.drop("copies"))[0]
+    assert plain.collect() == [] and "copies" not in plain.columns
+
+
+def test_null_keys_and_repeated_pages_through_the_query(spark, tmp_path):
+    rows = [(None, None, None), (11, "http://a/", "<p>x"), (11, "http://a/", "<p>x"), (7, "http://b/", None), (3, "http://c/", "fine")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {(r.page_id, r.kind, r.copies) for r in W.op5_warc_audit(spark, str(tmp_path)).collect()}
+    assert got == {(11, "changed", 2), (7, "missing", 1)}
