@@ -64,7 +64,7 @@ HOT_ROWS, HOT_TASKS, HOT_KEYS, SMALL_BYTES = 300, 500, 10_000, 1 << 18
 def hot_keys(rows: DataFrame, key: str, counts: DataFrame | None = None) -> list[tuple]:
     """(key, tasks) of the common keys of `rows`, HOT_KEYS at most. `counts`: (hot, n), rows by key, where known. Tables of few
     bytes, which any join takes in one task, are not looked at."""
-    if rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() < SMALL_BYTES:
+    if int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_BYTES:
         return []
     counts = rows.groupBy(F.col(key).alias("hot")).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
     hot = counts.filter((F.col("n") > HOT_ROWS) & F.col("hot").isNotNull()).orderBy(F.desc("n"), "hot").limit(HOT_KEYS).collect()

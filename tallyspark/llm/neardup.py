@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, join_dealt, materialize, packed, read, release, unpacked
+from .common import col, hot_keys, join_dealt, materialize, packed, read, release, unpacked
 from .graph import components
 from .wordhash import U64, find_words, forget, mix, text_chunks, word_hashes
 
@@ -169,13 +169,19 @@ class _Verifier:
     def links(self, pairs: DataFrame) -> DataFrame:
         """Of (a, b), those that are links. Sketches first, then texts."""
         of = lambda side: self.nodes.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}"))
-        near = join_dealt(join_dealt(pairs.distinct(), of("a"), "a"), of("b"), "b")
-        near = materialize(near.filter(_differing("sketch_a", "sketch_b") <= MOST_DIFFERING).select("a", "b"))
         text = lambda side: self.texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
+        pairs = materialize(pairs.distinct())
+        near = self._joined(pairs, of).filter(_differing("sketch_a", "sketch_b") <= MOST_DIFFERING)
         width, over, under = self.rule
-        both = join_dealt(join_dealt(near, text("b"), "b"), text("a"), "a").select("a", "b", "text_a", "text_b")
+        both = self._joined(materialize(near.select("a", "b")), text).select("a", "b", "text_a", "text_b")
         return materialize(both.mapInArrow(lambda it: _verify(it, width, over, under), "a long, b long"))
 
+    @staticmethod
+    def _joined(pairs: DataFrame, of: Callable[[str], DataFrame]) -> DataFrame:
+        """Written pairs with what `of` gives both sides; a node may be in very many pairs."""
+        hot = {side: hot_keys(pairs, side) for side in "ba"}
+        return join_dealt(join_dealt(pairs, of("b"), "b", hot=hot["b"]), of("a"), "a", hot=hot["a"])
+
 
 def near_duplicates(df: DataFrame, *, text: str = "text", row_key: str = "doc_id", width: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """Components of documents whose sets of `width`-word shingles have a Jaccard similarity of `threshold` or more.
@@ -202,8 +208,9 @@ def near_duplicates(df: DataFrame, *, text: str = "text", row_key: str = "doc_id
     full = signed.filter("n_shingles > 0")
     nodes = materialize(full.groupBy("node").agg(first, F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    shared = materialize(banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("band", "low"))
-    members = materialize(join_dealt(banded, shared, "band"))
+    shared = materialize(banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high").select("band", "low", "n"))
+    hot = hot_keys(shared, "band", shared.select(F.col("band").alias("hot"), "n"))
+    members = materialize(join_dealt(banded, shared.drop("n"), "band", hot=hot))
     release(df.sparkSession)
     # One text of each node that shares a bucket with another.
     wanted = materialize(members.select("node").distinct().join(nodes.select("node", "one.doc_id", "one.text_key"), "node"))
@@ -216,11 +223,11 @@ def near_duplicates(df: DataFrame, *, text: str = "text", row_key: str = "doc_id
     links = check.links(members.filter("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")))
     found = components(links)
     for turn in range(STAR_ROUNDS):
-        still = _open(members, found)
+        still = _open(members, found, hot)
         if turn == STAR_ROUNDS - 1 or still.isEmpty():
             break
         centre = still.groupBy("band").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("centre"))
-        star = join_dealt(still, centre, "band").filter("component <> centre.component").select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b"))
+        star = join_dealt(still, centre, "band", hot=hot).filter("component <> centre.component").select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b"))
         links = links.union(check.links(star))
         found = components(links)
     if not still.isEmpty():
@@ -234,12 +241,12 @@ def near_duplicates(df: DataFrame, *, text: str = "text", row_key: str = "doc_id
     return out.select("doc_id", "text_key", F.coalesce("component", "node").alias("node"), "n_shingles", "component_id", kept.alias("kept"))
 
 
-def _open(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members, with their component so far, of buckets that hold more than one component."""
-    labelled = join_dealt(members, found, "node", "left")
+def _open(members: DataFrame, found: DataFrame, hot: list[tuple]) -> DataFrame:
+    """Members, with their component so far, of buckets that hold more than one component; `hot` are the hot buckets."""
+    labelled = members.join(found, "node", "left")  # a node is in BANDS buckets at most
     labelled = materialize(labelled.withColumn("component", F.coalesce("component", "node")).select("band", "node", "component"))
     several = materialize(labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high").select("band", "size"))
-    return materialize(join_dealt(labelled, several, "band"))
+    return materialize(join_dealt(labelled, several, "band", hot=hot))
 
 
 def _blocks(members: DataFrame) -> DataFrame:
@@ -265,7 +272,7 @@ def _rest(still: DataFrame, nodes: DataFrame, check: _Verifier) -> DataFrame:
     near = _blocks(many.drop("bands")).groupBy("band", "i", "j").applyInPandas(_near_in_block, "band long, node long").distinct()
     left = materialize(many.drop("size").join(near, ["band", "node"]))
     sizes = left.groupBy("band").agg(F.count(F.lit(1)).alias("size"))
-    left = join_dealt(join_dealt(left, sizes, "band"), check.texts, "node")
+    left = join_dealt(left, sizes, "band").join(check.texts, "node")
     rule = check.rule
     found = _blocks(left).select("band", "i", "j", "chunk", "node", "component", "bands", "sketch", "text").groupBy("band", "i", "j").applyInPandas(lambda key, rows: _cross(key, rows, *rule), "a long, b long")
     return links.union(materialize(found))
