@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import materialize, read, ship
+from tallyspark.llm.common import discard, materialize, read, resting, ship
 from tallyspark.llm.langid import UNKNOWN, learned, predict
 from tallyspark.llm.lines import dedup_lines
-from tallyspark.llm.mixing import mix_sources, number_copies, quality_weight, repeat_rows, with_quality
+from tallyspark.llm.mixing import mix_sources, number_copies, quality_weight, repeat_rows, row_hash, with_quality, word_count
 from tallyspark.llm.neardup import keep_one, near_duplicates
 from tallyspark.llm.pieces import encode_documents
 
@@ -38,10 +38,12 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = near_duplicates(docs)
     page = F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.xxhash64("text_key"))
     alike = materialize(found.select("doc_id", "text_key", page.alias("page")).distinct())
-    rows = dedup_lines(docs, site=F.col("source"), text=F.col("text"), ratio=LINE_RATIO, min_pages=LINE_DOCUMENTS, alike=alike)
-    rows = rows.filter((F.col("n_dropped") == 0) | (F.col("n_dropped") < F.col("n_lines")))
+    discard(found)
+    cut = dedup_lines(docs, site=F.col("source"), text=F.col("text"), ratio=LINE_RATIO, min_pages=LINE_DOCUMENTS, alike=alike)
+    discard(alike)
+    rows = cut.filter((F.col("n_dropped") == 0) | (F.col("n_dropped") < F.col("n_lines")))
     new = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_dropped") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
-    return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    return resting(rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns]), cut)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +55,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; documents labelled as good are likelier to be drawn. Rows without words are
     never taken; null sources are one source; an empty table stays empty."""
-    rated = with_quality(docs, read(spark, sf_dir, "labels"), output="__quality")
-    return repeat_rows(mix_sources(rated, weight=quality_weight(F.col("__quality"))), docs.columns)
+    sized = docs.withColumns({"__size": word_count(F.col("text")), "__tie": row_hash(docs)})  # before the join, of which keys then need no texts
+    rated = with_quality(sized, read(spark, sf_dir, "labels"), output="__quality")
+    mixed = mix_sources(rated, size=F.col("__size"), weight=quality_weight(F.col("__quality")), tie=F.col("__tie"))
+    return resting(repeat_rows(mixed, docs.columns), mixed)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,8 +74,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents, each written and read again."""
+    """Applies STAGES to documents, each written and read again; what a stage has read goes."""
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        step = stage(spark, docs, sf_dir)
+        before, docs = docs, materialize(step)
+        discard(before, step)
     return docs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import re
 import shutil
@@ -10,6 +11,7 @@ import tempfile
 import time
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,19 +35,56 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tallyspark-{uuid.uuid4().hex}"
 
 
+#: With this setting a query's shuffle files go when the query ends.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries begun within leave no shuffle files; the session's own setting comes back after."""
+    was = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(TIDY) if was is None else spark.conf.set(TIDY, was)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """`df` written as Parquet to the shared folder and read again.
 
     It cuts the lineage (a lost executor costs no recomputation of what came before), and its file sizes tell the planner
-    when a side is small enough to broadcast. The files go when the application ends.
+    when a side is small enough to broadcast. The files go with discard(), or when the application ends; the shuffle files
+    of the query that wrote them go at once.
     """
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    with tidy(spark):
+        df.write.parquet(path)
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+    return resting(spark.read.schema(df.schema).parquet(path), path)
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system, in the JVM."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def resting(df: DataFrame, *on: DataFrame | str) -> DataFrame:
+    """`df`, for which discard() deletes the written tables, or paths, that it is made `on`."""
+    df._tallyspark_paths = [p for x in on for p in ([x] if isinstance(x, str) else x.__dict__.get("_tallyspark_paths", []))]
+    return df
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of what materialize() or resting() gave, once nothing will read them. Other frames have none."""
+    for df in frames:
+        for path in df.__dict__.get("_tallyspark_paths", []):
+            place, files = _place(df.sparkSession, path)
+            files.delete(place, True)
+            files.cancelDeleteOnExit(place)
 
 
 def release(spark: SparkSession) -> None:
@@ -67,7 +106,8 @@ def hot_keys(rows: DataFrame, key: str, counts: DataFrame | None = None) -> list
     if int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_BYTES:
         return []
     counts = rows.groupBy(F.col(key).alias("hot")).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
-    hot = counts.filter((F.col("n") > HOT_ROWS) & F.col("hot").isNotNull()).orderBy(F.desc("n"), "hot").limit(HOT_KEYS).collect()
+    with tidy(rows.sparkSession):
+        hot = counts.filter((F.col("n") > HOT_ROWS) & F.col("hot").isNotNull()).orderBy(F.desc("n"), "hot").limit(HOT_KEYS).collect()
     return [(r.hot, min(HOT_TASKS, -(-r.n // HOT_ROWS))) for r in hot]
 
 

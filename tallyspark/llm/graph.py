@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, join_dealt, materialize
+from .common import discard, hot_keys, join_dealt, materialize, resting
 
 
 def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -23,9 +23,12 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
         closer = materialize(labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component")))
         roots = labels.select(F.col("node").alias("component"), F.col("component").alias("root")).filter("component <> root")
         jumped = materialize(join_dealt(closer, roots, "component", "left").select("node", "was", F.least("component", "root").alias("component")))
-        labels = jumped.select("node", "component")
-        if jumped.filter("was <> component").isEmpty():
+        settled = jumped.filter("was <> component").isEmpty()
+        discard(labels, closer)
+        labels = resting(jumped.select("node", "component"), jumped)
+        if settled:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    discard(both)
     return labels

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, packed, read, unpacked
+from .common import discard, materialize, packed, read, resting, unpacked
 
 #: A line is boilerplate if more than this share of its site's pages hold it, and at least so many pages.
 RATIO = 0.1
@@ -37,7 +37,7 @@ def dedup_lines(df: DataFrame, *, site: Column, text: Column, ratio: float = RAT
     would go. Blank lines stay. Null text: null, 0 and 0. Null sites are one site. An empty table gives an empty result.
     Repeated rows count as pages of their own, unless `alike` (doc_id, text_key, page; each pair of the first two once) names
     their page: rows of `df` (its doc_id, the MD5 of its text) of the same page then count as one, here and in the site's
-    pages, and a line counts if any of them holds it. Input columns named as an output are replaced; others clash with nothing.
+    pages, and a line counts if any of them holds it; `alike` is not read later. Input columns named as an output are replaced; others clash with nothing.
 
     Pages are counted by 64-bit line hashes with map-side sums, so neither a hot site nor a hot line meets in one task.
     A site has at most (mean lines a page) / ratio boilerplate lines, so its list of them is bounded; those lists join the
@@ -50,19 +50,21 @@ def dedup_lines(df: DataFrame, *, site: Column, text: Column, ratio: float = RAT
     seen = df.select(site.alias("site"), F.array_distinct(hashed(F.split(text, "\n"))).alias("h"))
     counted, lines = df.select(site.alias("site")), seen.select("site", F.explode("h").alias("h"))
     if alike is not None:
-        seen = materialize(df.select(site.alias("site"), F.array_distinct(hashed(F.split(text, "\n"))).alias("h"), F.col("doc_id").alias("id"), F.md5(text.cast("binary")).alias("digest")))  # no text is shuffled
-        seen = materialize(seen.join(alike, F.col("id").eqNullSafe(F.col("doc_id")) & F.col("digest").eqNullSafe(F.col("text_key"))).select("site", "page", "h"))
+        hashes = materialize(df.select(site.alias("site"), F.array_distinct(hashed(F.split(text, "\n"))).alias("h"), F.col("doc_id").alias("id"), F.md5(text.cast("binary")).alias("digest")))  # no text is shuffled
+        seen = materialize(hashes.join(alike, F.col("id").eqNullSafe(F.col("doc_id")) & F.col("digest").eqNullSafe(F.col("text_key"))).select("site", "page", "h"))
+        discard(hashes)
         counted = seen.select("site", "page").distinct()
         lines = seen.select("site", "page", F.explode("h").alias("h")).distinct()
     totals = materialize(counted.groupBy(F.col("site").alias("total_site")).agg(F.count(F.lit(1)).alias("pages")))
     everything = totals.agg(F.sum("pages")).first()[0] or 0
     tasks = F.least(F.ceil(F.col("pages") * MOST_HOT_SITES / F.lit(max(1, everything))), F.lit(SITE_TASKS)).cast("int")
-    totals = totals.withColumn("tasks", F.when(F.col("pages") * MOST_HOT_SITES > everything, tasks).otherwise(1))
+    totals = resting(totals.withColumn("tasks", F.when(F.col("pages") * MOST_HOT_SITES > everything, tasks).otherwise(1)), totals)
     same = F.col("site").eqNullSafe(F.col("total_site"))
     held = lines.groupBy("site", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
     common = held.join(totals, same).filter(F.col("n") > ratio * F.col("pages"))
     common = common.groupBy("site").agg(F.collect_list("h").alias("common"), F.first("tasks").alias("tasks"))
     common = materialize(common.select(F.col("site").alias("common_site"), "common", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task")))
+    discard(seen)  # written only where pages are alike
     hot = F.broadcast(totals.filter("tasks > 1").select("total_site", "tasks"))  # fewer than MOST_HOT_SITES rows
     base = packed(df, split).join(hot, same, "left").withColumn("own_task", F.pmod(F.xxhash64("lines"), F.coalesce("tasks", F.lit(1))).cast("int"))
     none = F.array().cast("array<bigint>")
@@ -72,7 +74,7 @@ def dedup_lines(df: DataFrame, *, site: Column, text: Column, ratio: float = RAT
     rows = rows.withColumn("kept", kept)
     filled = lambda lines: F.coalesce(F.size(F.filter(lines, lambda x: bare(x) != "")), F.lit(0))
     out = {"kept_text": F.array_join("kept", "\n"), "n_lines": F.greatest(filled(F.col("lines")), F.lit(0)).cast("long"), "n_dropped": F.greatest(filled(F.col("lines")) - filled(F.col("kept")), F.lit(0)).cast("long")}
-    return rows.select(*unpacked(df.columns, OUTPUTS), *[c.alias(n) for n, c in out.items()])
+    return resting(rows.select(*unpacked(df.columns, OUTPUTS), *[c.alias(n) for n, c in out.items()]), totals, common)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

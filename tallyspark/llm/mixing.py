@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, col, materialize, packed, read, unpacked
+from .common import WORD, col, discard, materialize, packed, read, resting, unpacked
 
 #: By the rank of a source in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -58,7 +58,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mix_sources(df: DataFrame, *, source: str = "source", size: Column | None = None, row_key: str = "doc_id", weight: Column | None = None, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+def mix_sources(df: DataFrame, *, source: str = "source", size: Column | None = None, row_key: str = "doc_id", weight: Column | None = None, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, tie: Column | None = None) -> DataFrame:
     """How often the mix takes each row, as `copies`, with `size`, `source_size`, `target` and `taken` = size * copies.
 
     Every row comes back once. A source is taken in complete epochs first; the rest of its target goes to the rows of the
@@ -66,6 +66,9 @@ def mix_sources(df: DataFrame, *, source: str = "source", size: Column | None =
     of one row. Prefix sums run over ranges of the key first (about sqrt(n) of them) and then over the rows of the single
     range in which the target falls: no task sees all rows of a hot source, and no text is shuffled.
 
+    `tie` (a long, equal for rows alike in all columns) and `size` may be given where `df` is a join of wide rows: with both
+    made before that join, the tables of keys need no texts of it.
+
     Null sources are one source, last in order. Size 0 (null or blank text): taken 0, in no way counted. Repeated rows, alike
     in key and in all columns, are rows of their own, of which as many are taken as come nearest the target: which ones cannot
     be told. Null row keys share one sampling key's draw and are told apart by their other columns. An empty table gives an
@@ -73,7 +76,7 @@ def mix_sources(df: DataFrame, *, source: str = "source", size: Column | None =
     """
     size = word_count(col("text")) if size is None else size
     weight = F.lit(1.0) if weight is None else weight
-    tie = F.xxhash64(*[col(c) for c, kind in df.dtypes if not kind.startswith("map")])
+    tie = row_hash(df) if tie is None else tie
     own = {"source": col(source), "size": F.coalesce(size.cast("long"), F.lit(0)), "key": sampling_key(col(row_key), weight, seed), "tie": tie}
     slim = materialize(df.select(*[c.alias(n) for n, c in own.items()]))
     ranges = max(16, 2 ** round(math.log2(max(1, slim.count())) / 2))
@@ -88,16 +91,18 @@ def mix_sources(df: DataFrame, *, source: str = "source", size: Column | None =
     upto = F.sum("words").over(Window.partitionBy("source").orderBy("b"))
     crossing = by_range.withColumn("end", upto).join(targets.select(F.col("source").alias("s"), "rest"), same).filter(F.col("end") > F.col("rest"))
     crossing = crossing.groupBy(F.col("source").alias("s")).agg(F.min("b").alias("cut_b"), F.min_by(F.col("end") - F.col("words"), "b").alias("before"))
-    plan = materialize(targets.join(crossing, same, "left").drop("s"))
+    started = materialize(targets.join(crossing, same, "left").drop("s"))
+    discard(by_range, targets)
     # Within that range, group by group of rows alike: the last group of which a row is taken, and how many of it.
-    edge = slim.filter("size > 0").join(plan.select(F.col("source").alias("s"), "cut_b", "before", "rest"), same & (bucket == F.col("cut_b")))
+    edge = slim.filter("size > 0").join(started.select(F.col("source").alias("s"), "cut_b", "before", "rest"), same & (bucket == F.col("cut_b")))
     edge = edge.groupBy("source", "before", "rest", "key", "tie", F.col("size").alias("each")).agg(F.count(F.lit(1)).alias("rows"))
     ahead = F.col("before") + F.sum(F.col("each") * F.col("rows")).over(Window.partitionBy("source").orderBy("key", "tie", "each")) - F.col("each") * F.col("rows")
     room = F.least(F.floor((F.col("rest") - F.col("ahead")) / F.col("each") + 0.5), F.col("rows"))
     last = edge.withColumn("ahead", ahead).withColumn("room", room).filter((F.col("room") > 0) & (F.col("rest") > 0))
     last = last.groupBy(F.col("source").alias("s")).agg(F.max(F.struct("key", "tie", "each", "room", "rows")).alias("cut"))
-    plan = materialize(plan.join(last, same, "left").drop("s"))
-    plan = plan.select(F.col("source").alias("s"), F.struct(*[c for c in plan.columns if c != "source"]).alias("plan"))
+    plan = materialize(started.join(last, same, "left").drop("s"))
+    discard(slim, started)
+    plan = resting(plan.select(F.col("source").alias("s"), F.struct(*[c for c in plan.columns if c != "source"]).alias("plan")), plan)
     rows = packed(df, own).join(plan, same)
     place, cut = F.struct("key", "tie", F.col("size").alias("each")), F.struct("plan.cut.key", "plan.cut.tie", "plan.cut.each")
     inside = F.when(bucket == F.col("plan.cut_b"), F.coalesce(place <= cut, F.lit(False))).otherwise(bucket < F.coalesce(F.col("plan.cut_b"), F.lit(ranges)))
@@ -108,7 +113,12 @@ def mix_sources(df: DataFrame, *, source: str = "source", size: Column | None =
         rows = rows.filter(~split).unionByName(_first_repeats(materialize(rows.filter(split).withColumn("part", F.spark_partition_id()))))
     copies = F.when(F.col("size") > 0, F.col("plan.epochs") + F.col("extra")).otherwise(0).cast("long")
     out = {"size": F.col("size"), "source_size": F.col("plan.source_size"), "target": F.col("plan.target"), "copies": copies, "taken": F.col("size") * copies}
-    return rows.select(*unpacked(df.columns, OUTPUTS), *[c.alias(n) for n, c in out.items()])
+    return resting(rows.select(*unpacked(df.columns, OUTPUTS), *[c.alias(n) for n, c in out.items()]), plan)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns but maps, which Spark does not hash."""
+    return F.xxhash64(*[col(c) for c, kind in df.dtypes if not kind.startswith("map")])
 
 
 def _first_repeats(rows: DataFrame) -> DataFrame:
@@ -125,7 +135,7 @@ def with_quality(docs: DataFrame, labels: DataFrame, *, row_key: str = "doc_id",
     """`docs` with the mean quality label of their key, if any. Null keys have none, and are dealt by their text's hash so
     that they do not meet in one task."""
     mean = labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("label_id")).agg(F.avg(F.col("quality").cast("double")).alias("quality"), F.lit(0).cast("long").alias("zero"))
-    spread = F.when(col(row_key).isNull(), F.xxhash64(*[col(c) for c, kind in docs.dtypes if not kind.startswith("map")])).otherwise(F.lit(0))
+    spread = F.when(col(row_key).isNull(), row_hash(docs)).otherwise(F.lit(0))
     rows = packed(docs, {"key": col(row_key), "spread": spread}).join(mean, (F.col("key") == F.col("label_id")) & (F.col("spread") == F.col("zero")), "left")
     return rows.select(*unpacked(docs.columns, [output]), F.col("quality").alias(output))
 

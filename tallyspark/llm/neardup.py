@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, hot_keys, join_dealt, materialize, packed, read, release, unpacked
+from .common import col, discard, hot_keys, join_dealt, materialize, packed, read, release, resting, unpacked
 from .graph import components
 from .wordhash import U64, find_words, forget, mix, text_chunks, word_hashes
 
@@ -173,8 +173,12 @@ class _Verifier:
         pairs = materialize(pairs.distinct())
         near = self._joined(pairs, of).filter(_differing("sketch_a", "sketch_b") <= MOST_DIFFERING)
         width, over, under = self.rule
-        both = self._joined(materialize(near.select("a", "b")), text).select("a", "b", "text_a", "text_b")
-        return materialize(both.mapInArrow(lambda it: _verify(it, width, over, under), "a long, b long"))
+        near = materialize(near.select("a", "b"))
+        discard(pairs)
+        both = self._joined(near, text).select("a", "b", "text_a", "text_b")
+        links = materialize(both.mapInArrow(lambda it: _verify(it, width, over, under), "a long, b long"))
+        discard(near)
+        return links
 
     @staticmethod
     def _joined(pairs: DataFrame, of: Callable[[str], DataFrame]) -> DataFrame:
@@ -197,20 +201,25 @@ def near_duplicates(df: DataFrame, *, text: str = "text", row_key: str = "doc_id
     hold several components, except pairs that are in one component already: a group of m copies costs about m comparisons, and
     no link that would join components is left out. Odd sketches (150 samples in 512 bits) drop pairs well below the threshold
     before texts are compared as full sets. Joins deal the members of a large bucket to several tasks (join_dealt). An empty
-    table gives an empty result.
+    table gives an empty result. Written tables go as soon as nothing reads them; what the result reads goes with discard().
     """
     rows = df.select(col(row_key).cast("long").alias("doc_id"), col(text).alias("text"), F.md5(col(text).cast("binary")).alias("text_key"))
     signed = materialize(rows.mapInArrow(lambda it: _sign(it, width), "doc_id long, text_key string, node long, twin long, n_shingles long, bands array<bigint>, sketch array<bigint>"))
     clash = materialize(signed.groupBy("node").agg(F.min("twin").alias("low"), F.max("twin").alias("high")).filter("low < high").select("node", "low"))
     if not clash.isEmpty():  # different sets agree in the first 64 bits: the others tell them apart
-        signed = materialize(signed.join(clash, "node", "left").withColumn("node", F.when(F.col("low").isNull() | (F.col("low") == F.col("twin")), F.col("node")).otherwise(F.xxhash64("node", "twin"))).drop("low"))
+        whole, signed = signed, materialize(signed.join(clash, "node", "left").withColumn("node", F.when(F.col("low").isNull() | (F.col("low") == F.col("twin")), F.col("node")).otherwise(F.xxhash64("node", "twin"))).drop("low"))
+        discard(whole)
+    discard(clash)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("keyless"), "doc_id", "text_key")).alias("one")
     full = signed.filter("n_shingles > 0")
     nodes = materialize(full.groupBy("node").agg(first, F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    whole, signed = signed, materialize(signed.select("doc_id", "text_key", "node", "n_shingles"))
+    discard(whole)  # bands and sketches are with the nodes
     banded = nodes.select("node", F.explode("bands").alias("band"))
     shared = materialize(banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high").select("band", "low", "n"))
     hot = hot_keys(shared, "band", shared.select(F.col("band").alias("hot"), "n"))
     members = materialize(join_dealt(banded, shared.drop("n"), "band", hot=hot))
+    discard(shared)
     release(df.sparkSession)
     # One text of each node that shares a bucket with another.
     wanted = materialize(members.select("node").distinct().join(nodes.select("node", "one.doc_id", "one.text_key"), "node"))
@@ -218,27 +227,34 @@ def near_duplicates(df: DataFrame, *, text: str = "text", row_key: str = "doc_id
     same = (F.col("t_id") == F.col("w_id")) & (F.col("t_none") == F.col("w_none")) & (F.col("t_key") == F.col("w_key"))
     texts = rows.select("text", *key("t")).join(wanted.select("node", *key("w")), same)
     texts = materialize(texts.groupBy("node").agg(F.first("text").alias("text")))  # rows repeated in key and text
+    discard(wanted)
     release(df.sparkSession)
     check = _Verifier(texts, nodes.select("node", "sketch"), width, threshold)
-    links = check.links(members.filter("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")))
-    found = components(links)
+    links = [check.links(members.filter("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")))]
+    found = components(links[0])
     for turn in range(STAR_ROUNDS):
         still = _open(members, found, hot)
         if turn == STAR_ROUNDS - 1 or still.isEmpty():
             break
         centre = still.groupBy("band").agg(F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("centre"))
         star = join_dealt(still, centre, "band", hot=hot).filter("component <> centre.component").select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b"))
-        links = links.union(check.links(star))
-        found = components(links)
+        links.append(check.links(star))
+        discard(found, still)
+        found = components(functools.reduce(DataFrame.union, links))
+    discard(members)
     if not still.isEmpty():
-        found = components(links.union(_rest(still, nodes, check)))
+        links += _rest(still, nodes, check)
+        discard(found, texts)
+        found = components(functools.reduce(DataFrame.union, links))
+    discard(texts, nodes, still, *links)
     release(df.sparkSession)
     labelled = join_dealt(signed.select("doc_id", "text_key", "node", "n_shingles"), found, "node", "left")
     labelled = materialize(labelled.withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node"))))
+    discard(signed, found)
     smallest = materialize(labelled.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("smallest")))
     out = join_dealt(labelled, smallest, "component", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("doc_id")))
     kept = F.when(F.col("doc_id").isNull(), F.col("component_id").isNull()).otherwise(F.col("doc_id") == F.col("component_id"))
-    return out.select("doc_id", "text_key", F.coalesce("component", "node").alias("node"), "n_shingles", "component_id", kept.alias("kept"))
+    return resting(out.select("doc_id", "text_key", F.coalesce("component", "node").alias("node"), "n_shingles", "component_id", kept.alias("kept")), labelled, smallest)
 
 
 def _open(members: DataFrame, found: DataFrame, hot: list[tuple]) -> DataFrame:
@@ -246,7 +262,9 @@ def _open(members: DataFrame, found: DataFrame, hot: list[tuple]) -> DataFrame:
     labelled = members.join(found, "node", "left")  # a node is in BANDS buckets at most
     labelled = materialize(labelled.withColumn("component", F.coalesce("component", "node")).select("band", "node", "component"))
     several = materialize(labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high").select("band", "size"))
-    return materialize(join_dealt(labelled, several, "band", hot=hot))
+    still = materialize(join_dealt(labelled, several, "band", hot=hot))
+    discard(labelled, several)
+    return still
 
 
 def _blocks(members: DataFrame) -> DataFrame:
@@ -256,8 +274,8 @@ def _blocks(members: DataFrame) -> DataFrame:
     return dealt.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("blocks", "other", "size")
 
 
-def _rest(still: DataFrame, nodes: DataFrame, check: _Verifier) -> DataFrame:
-    """Links between different components in the same bucket: pairs of small buckets by a join; large ones in blocks, of sketches
+def _rest(still: DataFrame, nodes: DataFrame, check: _Verifier) -> list[DataFrame]:
+    """Tables of links between different components in the same bucket: pairs of small buckets by a join; large ones in blocks, of sketches
     first, and then of the texts of members that are close to another. Full sets are compared in place, so no more rows come out
     of a block than it has members."""
     few = still.filter(F.col("size") <= SMALL_BUCKET).join(nodes.select("node", "sketch"), "node")
@@ -267,15 +285,17 @@ def _rest(still: DataFrame, nodes: DataFrame, check: _Verifier) -> DataFrame:
     links = check.links(x.join(y, "band").filter(close).select("a", "b"))
     many = still.filter(F.col("size") > SMALL_BUCKET)
     if many.isEmpty():
-        return links
+        return [links]
     many = materialize(many.join(nodes.select("node", "bands", "sketch"), "node"))
     near = _blocks(many.drop("bands")).groupBy("band", "i", "j").applyInPandas(_near_in_block, "band long, node long").distinct()
-    left = materialize(many.drop("size").join(near, ["band", "node"]))
-    sizes = left.groupBy("band").agg(F.count(F.lit(1)).alias("size"))
-    left = join_dealt(left, sizes, "band").join(check.texts, "node")
+    near_ones = materialize(many.drop("size").join(near, ["band", "node"]))
+    sizes = near_ones.groupBy("band").agg(F.count(F.lit(1)).alias("size"))
+    left = join_dealt(near_ones, sizes, "band").join(check.texts, "node")
     rule = check.rule
     found = _blocks(left).select("band", "i", "j", "chunk", "node", "component", "bands", "sketch", "text").groupBy("band", "i", "j").applyInPandas(lambda key, rows: _cross(key, rows, *rule), "a long, b long")
-    return links.union(materialize(found))
+    found = materialize(found)
+    discard(many, near_ones)
+    return [links, found]
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,8 +311,9 @@ def keep_one(docs: DataFrame, width: int = 5, threshold: Fraction = Fraction(4,
     key = [F.col("doc_id").alias("key_id"), F.col("text_key").alias("key_text")]
     gone = materialize(found.filter(~F.col("kept")).select(*key).distinct())
     twice = materialize(found.filter("kept and n_shingles > 0").groupBy(*key).count().filter("count > 1").select("key_id", "key_text"))
+    discard(found)
     same = F.col("id").eqNullSafe(F.col("key_id")) & (F.col("digest") == F.col("key_text"))
     rest = packed(docs, {"id": col("doc_id"), "digest": F.coalesce(F.md5(col("text").cast("binary")), F.lit(""))}).join(gone, same, "left_anti")
     if not twice.isEmpty():
         rest = rest.join(twice, same, "left_anti").unionByName(rest.join(twice, same, "left_semi").dropDuplicates(["id", "digest"]))
-    return rest.select(*unpacked(docs.columns, []))
+    return resting(rest.select(*unpacked(docs.columns, [])), gone, twice)

@@ -60,3 +60,52 @@ def test_groups_of_copies_are_no_boilerplate(spark, tmp_path):
     assert left == {i: t.removeprefix("Common header\n") for i, t in rows}
     stay = {r.doc_id for r in C.drop_near_duplicates(spark, cut, str(tmp_path)).collect()}
     assert stay == {0, 20, *range(40, 60)}
+
+
+def test_tables_and_shuffle_files_go_when_nothing_reads_them(spark, docs, tmp_path):
+    import time
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from tallyspark.llm import common
+    from tallyspark.llm.neardup import near_duplicates
+
+    docs.count()  # its own shuffle files, of a kept table, stay
+    folder = Path(urlparse(common.scratch(spark)).path).parent
+    tables = lambda: set(folder.glob("tallyspark-*"))
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before, files, setting = tables(), disk.getAllFiles().size(), spark.conf.get(common.TIDY, None)
+    common.discard(common.materialize(docs.groupBy("text").count()))
+    for _ in range(20):
+        if disk.getAllFiles().size() <= files:
+            break
+        time.sleep(0.5)
+    assert disk.getAllFiles().size() <= files and tables() == before and spark.conf.get(common.TIDY, None) == setting
+    found = near_duplicates(docs)
+    assert len(tables() - before) == 2 and found.count() == docs.count()
+    common.discard(found)
+    assert tables() == before
+    rated(spark, tmp_path)
+    table = materialize(docs.select(*COLUMNS))
+    before = tables()
+    for name, stage in C.STAGES[1:4]:
+        after = stage(spark, table, str(tmp_path))
+        assert len(tables() - before) <= 2, name
+        assert after.count() > 0
+        common.discard(after)
+
+
+def test_the_mix_makes_its_keys_without_texts(spark, docs, tmp_path, monkeypatch):
+    from tallyspark.llm import mixing
+
+    plans = []
+    monkeypatch.setattr(mixing, "materialize", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan()) or materialize(df))
+    rated(spark, tmp_path)
+    C.mix(spark, docs.select(*COLUMNS), str(tmp_path))
+
+    def nodes(plan):
+        return [plan] + [n for i in range(plan.children().size()) for n in nodes(plan.children().apply(i))]
+
+    sides = [n.children().apply(0).output() for n in nodes(plans[0]) if n.nodeName() == "Join"]
+    assert len(sides) == 1
+    assert [sides[0].apply(i).dataType().simpleString() for i in range(sides[0].size())].count("string") <= 1  # the source
